@@ -5,8 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, secret_scan, url_filter
-from ._common import table
+from . import chat_format, language_id, mixing, secret_scan, token_output, url_filter
+from ._common import table, work_path
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_path(spark, "tokens")
+    token_output.write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), path, tokenizer_path())
+    return token_output.digest(token_output.with_starts(spark, path))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    judged = language_id.identify(docs.select("doc_id", "text"), model)
+    return judged.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +48,8 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_output": op1_token_output,
+    "op2_language_id": op2_language_id,
     "op3_chat_formatting": op3_chat_formatting,
     "op5_secret_scans": op5_secret_scans,
     "op6_mixing": op6_mixing,
