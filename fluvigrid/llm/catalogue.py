@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, mixing, nearest, secret_scan, token_output, url_filter
+from . import chat_format, decontaminate, jaccard_join, language_id, mixing, nearest, secret_scan, token_output, url_filter
 from ._common import table, work_path
 
 
@@ -51,6 +51,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=85)
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_nearest": op7_nearest,
     "op8_decontamination": op8_decontamination,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_url_filters": op10_url_filters,
 }
 
