@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, jaccard_join, language_id, mixing, nearest, secret_scan, token_output, url_filter
+from . import chat_format, decontaminate, jaccard_join, language_id, mixing, nearest, secret_scan, substring_dedup, token_output, url_filter
 from ._common import table, work_path
 
 
@@ -33,6 +33,10 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_chats(turns.unionByName(chat_format.injection_case(spark))))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secret_scan.digest(secret_scan.scan_versions(docs, secret_scan.fresh_ledger(docs)))
@@ -63,6 +67,7 @@ QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_language_id": op2_language_id,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_secret_scans": op5_secret_scans,
     "op6_mixing": op6_mixing,
     "op7_nearest": op7_nearest,
