@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Labelled rows to fit on, at most: those with the smallest hashes of their id.
 SAMPLE_ROWS = 4_000
@@ -148,24 +149,30 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """``docs`` with ``lang_pred`` and ``score`` appended; one narrow pass over whole texts.
 
     Null texts and texts without a letter are ``und`` with score 0, as is everything where no language was learned.
+    Columns of ``docs`` with the new names are replaced; repeated rows are judged each.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
-    names = [*docs.columns, "lang_pred", "score"]
+    own = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
+    narrow = docs.select(*[f"`{f.name}`" for f in own])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = narrow.columns.index(text_col)
+    schema = T.StructType([*own, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, score = shared.value.predict(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score)], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score)], names=schema.names)
 
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return narrow.mapInArrow(run, schema)
 
 
 def reject_unknown(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
-    """The documents whose language is known: those that are ``und`` or score under ``least_score`` go."""
-    model = fit(docs.where(~held_out()))
-    return identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).drop("lang_pred", "score")
+    """The documents whose language is known, all columns: those that are ``und`` or score under ``least_score`` go."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs.where(~held_out())))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, score = shared.value.predict(batch.column(at).to_pylist())
+            yield batch.filter(pa.array([lang != "und" and s >= least_score for lang, s in zip(langs, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -87,8 +87,8 @@ def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
     words are kept once, as they cost nothing.
     """
     rounds = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).cast("int")
-    times = mix_sources(docs, **options).select("doc_id", rounds.alias("_rounds")).where("_rounds > 0")
-    times = times.groupBy("doc_id").agg(F.max("_rounds").alias("_rounds"))
-    d, t = docs.alias("d"), times.alias("t")
-    kept = d.join(t, F.col("d.doc_id").eqNullSafe(F.col("t.doc_id"))).select("d.*", "t._rounds")
-    return kept.withColumn("_rounds", F.explode(F.sequence(F.lit(1), F.col("_rounds")))).drop("_rounds")
+    times = mix_sources(docs, **options).select("doc_id", rounds.alias("rounds")).where("rounds > 0")
+    times = times.groupBy("doc_id").agg(F.max("rounds").alias("rounds"))
+    d, t = docs.select(F.struct("*").alias("doc")).alias("d"), times.alias("t")
+    kept = d.join(t, F.col("d.doc.doc_id").eqNullSafe(F.col("t.doc_id"))).select("d.doc", F.explode(F.sequence(F.lit(1), F.col("t.rounds"))))
+    return kept.select("doc.*")
