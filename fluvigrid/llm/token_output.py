@@ -11,6 +11,7 @@ through the tokenizer itself.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -39,6 +40,27 @@ WRITER = {
 SEPARATOR = "\x01"
 
 
+#: A comma or full stop beside another mark; the tokenizer takes a run of marks as one word.
+_RUN_OF_MARKS = re.compile(r"[.,](?:[^\w \n\r\t]|_)|(?:[^\w \n\r\t]|_)[.,]")
+
+
+def folded(text: str) -> str:
+    """The text with fewer different words and the same ids: lower case, commas and full stops on their own, blanks.
+
+    The tokenizer lower-cases, special tokens apart, which hold ``<|``. Beyond the first 256 code points its lower
+    case may differ from Python's, so such texts keep their case. Single commas and full stops are words of theirs.
+    """
+    if "<|" not in text:
+        try:
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
+    if not _RUN_OF_MARKS.search(text):
+        text = text.replace(",", " , ").replace(".", " . ")
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+
+
 class WordEncoder:
     """Texts to little-endian uint32 ids, through a memo of words."""
 
@@ -50,47 +72,35 @@ class WordEncoder:
         (self.separator,) = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = set()
-        for w in words:
-            new.update(w)
-        new.difference_update(self.memo)
+        words = [folded(t).split(" ") for t in texts]
+        known = [list(map(self.memo.get, w)) for w in words]
+        lacking = [i for i, k in enumerate(known) if None in k]
+        new = {w for i in lacking for w, k in zip(words[i], known[i], strict=True) if k is None}
         if len(self.memo) + len(new) > MEMO_WORDS:
             self.memo = {"": b""}
+            lacking = range(len(texts))
             new = set().union(*words)
             new.discard("")
-        self._learn(new)
-        get = self.memo.__getitem__
-        return [b"".join(map(get, w)) for w in words]
-
-    def _learn(self, new: set[str]) -> None:
-        """Encode words that the memo lacks.
-
-        The tokenizer lower-cases (special tokens apart, which hold ``<|``) and parts a mark from the letter before
-        it, so ``Word,`` is ``word`` and ``,``.
-        """
-        plain, made_of = set(), {}
-        for word in new:
-            low = word.lower() if word.isascii() and "<|" not in word else word
-            parts = (low[:-1], low[-1]) if low[-1] in ".,!?" and "a" <= low[-2:-1] <= "z" else (low,)
-            made_of[word] = parts
-            plain.update(parts)
-        plain.difference_update(self.memo)
-        memo = self.memo
-        for word in [w for w in plain if SEPARATOR in w]:
+        self._learn(list(new))
+        for i in lacking:
+            known[i] = map(self.memo.__getitem__, words[i])
+        return [b"".join(k) for k in known]
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode words that the memo lacks."""
+        memo, odd = self.memo, [w for w in new if SEPARATOR in w]
+        for word in odd:
             memo[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        todo = [w for w in plain if SEPARATOR not in w]
+        if odd:
+            new = [w for w in new if SEPARATOR not in w]
         joined = f" {SEPARATOR} "
-        for at in range(0, len(todo), JOINED_WORDS):
-            part = todo[at : at + JOINED_WORDS]
+        for at in range(0, len(new), JOINED_WORDS):
+            part = new[at : at + JOINED_WORDS]
             ids = np.array(self.tokenizer.encode(joined.join(part), add_special_tokens=False).ids, "<u4")
             cuts = np.flatnonzero(ids == self.separator)
             raw = ids.tobytes()
             for word, lo, hi in zip(part, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)], strict=True):
                 memo[word] = raw[lo:hi]
-        for word, parts in made_of.items():
-            if parts != (word,):
-                memo[word] = b"".join([memo[x] for x in parts])
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
