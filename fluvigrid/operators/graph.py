@@ -5,20 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
 
 
-def _round_path(df: DataFrame) -> str:
+def shared_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that ``spark.checkpoint.dir`` names; a folder of our own only where it is unset."""
-    base = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="fluvigrid-"))
         base = _OWN[0]
-    return f"{base.rstrip('/')}/reach-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def edges(data: DataFrame, id_col: str, out_col: str | None = None, in_col: str | None = None, sep: str = ",", none: object | None = None, directed: bool = True) -> DataFrame:
@@ -48,7 +48,7 @@ def reach(links: DataFrame, starts: DataFrame, mode: str = "out", order: int | N
     forward = links.select("src", "dst")
     backward = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     step = {"out": forward, "in": backward, "all": forward.unionByName(backward).distinct()}[mode]
-    base, rounds = _round_path(starts), 0
+    base, rounds = shared_path(spark, "reach"), 0
 
     def kept(df: DataFrame) -> DataFrame:
         df.write.parquet(f"{base}/{rounds}")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import hydro, scalar
 from ..operators import cube, graph, raster, stations, temporal, zonal
 from ..sources import adapters, radar
+from ..streaming import ingest
+from . import brook90
 from ..sources.catalog import RADAR, Grid
 
 DAY = 86_400
@@ -607,3 +609,72 @@ def soilpar(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("d")
     out = hydro.soil_constants(-5.0 - d, 0.2 + d / 100, F.lit(0.45), 4.0 + d / 2, F.lit(0.92), 3.0 + d)
     return _hydro(spark, sf_dir).select("id", *[F.round(c, 4 if k == "ksat" else 6).alias(k) for k, c in out.items()])
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Runs of five catchments (regions) by land cover and soil, and their weather: the tables' days, shifted by region."""
+    covers = ["Coniferous Forest", "Grass Land", "Cultivated", "Deciduous Forest"]
+    layer = spark.createDataFrame(
+        [(s, i, 0.1 + 0.05 * i, 0.05 * s, -5.0 - s, 0.25 + 0.02 * s, 0.42 + 0.01 * s, 4.5 + s, 5.0 + s, 0.92) for s in range(2) for i in range(5)],
+        "soil string, layer int, thick double, stonef double, psif double, thetaf double, thsat double, bexp double, kf double, wetinf double",
+    )
+    n = F.col("n_nationkey")
+    own = adapters.table(spark, sf_dir, "nation").where("n_nationkey < 15").select(
+        F.col("n_regionkey").cast("long").alias("catchment"), F.element_at(F.array(*[F.lit(c) for c in covers]), (n % 4 + 1).cast("int")).alias("cover"), (n % 2).cast("string").alias("soil"), (1.0 + n % 3).alias("area")
+    )
+    own = own.groupBy("catchment", "cover", "soil").agg(F.sum("area").alias("area"))
+    terrain = spark.range(5).select(F.col("id").alias("catchment"), (50.5 + F.col("id") * 0.1).alias("latitude"), (1.0 + F.col("id")).alias("slope"))
+    days = adapters.weather(spark, sf_dir).crossJoin(F.broadcast(spark.range(5).select(F.col("id").alias("catchment")))).withColumn("precip", F.col("precip") * (1 + F.col("catchment") / 10))
+    return brook90.parameters(own, brook90.soil_profile(layer), terrain), brook90.daily_input(days)
+
+
+@query()
+def brook90_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brook90.run(*_runs(spark, sf_dir))
+
+
+@query()
+def brook90_soil_water(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brook90.catchment_average(brook90.run(*_runs(spark, sf_dir)))
+
+
+@query(f"""WITH {HOURLY} SELECT t, ix, iy, v FROM cube""")
+def ingest_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the steps, then all of them twice: the target holds every step once."""
+    target = graph.shared_path(spark, "ingest")
+    data = adapters.cube(spark, sf_dir, 3600)
+    for part in (data.where("t % 7200 = 0"), data, data):
+        ingest.update(target, part)
+    return spark.read.parquet(target).select("t", "ix", "iy", "v")
+
+
+@query(f"""WITH {HOURLY} SELECT t, ix, iy, v FROM cube""")
+def stream_ingest_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream over files that arrive in two lots, one of them again."""
+    source, target, state = (graph.shared_path(spark, n) for n in ("arrivals", "ingested", "state"))
+    data = adapters.cube(spark, sf_dir, 3600)
+    for part in (data.where("t % 7200 = 0"), data):
+        part.write.mode("append").parquet(source)
+        ingest.stream_update(spark, source, "t bigint, ix int, iy int, v double", target, state).awaitTermination()
+    return spark.read.parquet(target).select("t", "ix", "iy", "v")
+
+
+@query(f"""WITH {FORECAST}, whole AS (SELECT run FROM forecast GROUP BY run HAVING count(DISTINCT f) = 7 AND run % 172800 = 0)
+SELECT run, f, 0 AS ix, 0 AS iy, round(v - coalesce(lag(v) OVER (PARTITION BY run ORDER BY f), 0), 6) AS v FROM forecast SEMI JOIN whole USING (run)""")
+def forecast_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = adapters.forecast(spark, sf_dir).withColumn("ix", F.lit(0)).withColumn("iy", F.lit(0))
+    there = runs.where("run % 172800 <> 0").select("run")
+    return r6(ingest.forecast_update(runs, there, F.lit(7)).select("run", "f", "ix", "iy", "v"), "v")
+
+
+@query(f"""SELECT id, lon, lat, round(6370.04 * (1 + sin(radians(60))) / (1 + sin(radians(lat))) * cos(radians(lat)) * sin(radians(lon - 10)), 6) AS x,
+  round(-6370.04 * (1 + sin(radians(60))) / (1 + sin(radians(lat))) * cos(radians(lat)) * cos(radians(lon - 10)), 6) AS y, true AS returns
+FROM (SELECT s_suppkey AS id, 11.0::DOUBLE + (s_suppkey * 37 % 500) / 100.0::DOUBLE AS lon, 50.0::DOUBLE + (s_suppkey * 61 % 200) / 100.0::DOUBLE AS lat FROM supplier)""")
+def stereographic_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions import crs
+
+    s = adapters.stations(spark, sf_dir).select(F.col("station").alias("id"), "lon", "lat")
+    x, y = crs.to_stereographic(F.col("lon"), F.col("lat"))
+    lon, lat = crs.from_stereographic(x, y)
+    back = (F.abs(lon - F.col("lon")) < 1e-9) & (F.abs(lat - F.col("lat")) < 1e-9)
+    return r6(s.select("id", "lon", "lat", x.alias("x"), y.alias("y"), back.alias("returns")), "x", "y")
