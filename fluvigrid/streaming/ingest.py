@@ -54,9 +54,10 @@ def deduplicated_stream(measurements: DataFrame, keys: tuple[str, ...] = ("stati
     return measurements.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def hourly_stream(measurements: DataFrame, late: str = "2 hours") -> DataFrame:
-    """Hourly means of a stream, emitted once an hour is final."""
-    buckets = measurements.withWatermark("ts", late).groupBy("station", F.window("ts", "1 hour"))
+def hourly_stream(measurements: DataFrame, late: str | None = "2 hours") -> DataFrame:
+    """Hourly means of a stream, emitted once an hour is final. ``late`` is None where the stream has a watermark."""
+    marked = measurements.withWatermark("ts", late) if late else measurements
+    buckets = marked.groupBy("station", F.window("ts", "1 hour"))
     return buckets.agg(F.avg("v").alias("v"), F.count(F.lit(1)).alias("n")).select("station", F.col("window.end").alias("hour"), "v", "n")
 
 
