@@ -47,10 +47,9 @@ def gram_buckets(texts: list[str], bits: int = BITS) -> Iterator[tuple[np.ndarra
         while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= CHUNK):
             size += len(texts[hi]) + 1
             hi += 1
-        joined = "\0".join(texts[lo:hi]) if hi - lo > 1 else texts[lo]
+        joined = "".join([f" {t} " for t in texts[lo:hi]])
         code = _fold()[np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)]
-        lengths = np.array([len(t) for t in texts[lo:hi]]) + 1
-        owner = np.repeat(np.arange(hi - lo), lengths)[: len(code)]
+        owner = np.repeat(np.arange(hi - lo), np.array([len(t) for t in texts[lo:hi]]) + 2)
         blank = code == 32
         letters = np.zeros(hi - lo, bool)
         letters[owner[~blank]] = True
