@@ -1,0 +1,28 @@
+"""The pipeline: columns, decisions, and agreement with its operators."""
+
+import corpus_pipeline
+from fluvigrid.llm._common import stored, table
+
+
+def test_stages(spark, sf):
+    docs = table(spark, sf, "documents")
+    columns, sizes = docs.columns, [docs.count()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf), name)
+        assert docs.columns == columns
+        sizes.append(docs.count())
+    assert sizes[1] <= sizes[0] and sizes[2] < sizes[1] and sizes[3] < sizes[2]
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert last.count() == sizes[4] and last.where("n_tokens < 1").count() == 0
+
+
+def test_run_is_the_stages(spark, sf):
+    assert len(corpus_pipeline.STAGES) == 5
+    assert set(corpus_pipeline.run(spark, sf).columns) >= {"doc_id", "start", "n_tokens", "ids_crc32"}
+
+
+def test_empty(spark, sf):
+    docs = table(spark, sf, "documents").where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, sf), name)
+    assert docs.count() == 0
