@@ -11,9 +11,10 @@ through the tokenizer itself.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -40,23 +41,24 @@ WRITER = {
 SEPARATOR = "\x01"
 
 
-#: A comma or full stop beside another mark; the tokenizer takes a run of marks as one word.
-_RUN_OF_MARKS = re.compile(r"[.,](?:[^\w \n\r\t]|_)|(?:[^\w \n\r\t]|_)[.,]")
+#: Kinds of the first 256 characters: a for letters and digits, blank, point for . and , and x for other marks.
+_KINDS = bytes(ord("a" if chr(c).isalnum() else " " if chr(c) in " \t\n\r" else "." if chr(c) in ".," else "x") for c in range(256))
 
 
 def folded(text: str) -> str:
     """The text with fewer different words and the same ids: lower case, commas and full stops on their own, blanks.
 
-    The tokenizer lower-cases, special tokens apart, which hold ``<|``. Beyond the first 256 code points its lower
-    case may differ from Python's, so such texts keep their case. Single commas and full stops are words of theirs.
+    The tokenizer lower-cases, special tokens apart, which hold ``<|``. It takes a run of marks as one word, so marks
+    are parted from words only in texts where none stands beside another. Texts with characters beyond the first
+    256, whose lower case may differ from Python's, stay as they are.
     """
-    if "<|" not in text:
-        try:
-            text.encode("latin-1")
-            text = text.lower()
-        except UnicodeEncodeError:
-            pass
-    if not _RUN_OF_MARKS.search(text):
+    try:
+        kinds = text.encode("latin-1").translate(_KINDS)
+    except UnicodeEncodeError:
+        kinds = b".."
+    if kinds != b".." and "<|" not in text:
+        text = text.lower()
+    if not (b".." in kinds or b".x" in kinds or b"x." in kinds):
         text = text.replace(",", " , ").replace(".", " . ")
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
 
@@ -75,7 +77,9 @@ class WordEncoder:
         words = [folded(t).split(" ") for t in texts]
         known = [list(map(self.memo.get, w)) for w in words]
         lacking = [i for i, k in enumerate(known) if None in k]
-        new = {w for i in lacking for w, k in zip(words[i], known[i], strict=True) if k is None}
+        new: set[str] = set()
+        for i in lacking:
+            new.update(compress(words[i], map(is_, known[i], repeat(None))))
         if len(self.memo) + len(new) > MEMO_WORDS:
             self.memo = {"": b""}
             lacking = range(len(texts))
