@@ -397,3 +397,24 @@ def test_flood_features(spark):
     fc = spark.createDataFrame([(600, 0, 9.0), (600, 1, 3.0)], "run long, f int, v double")
     got = {r["kind"]: r for r in app.flood_features(q, rain, fc).collect()}
     assert got["p"]["vals"] == "1.0,3.0" and got["p"]["times"] == "600,4200" and got["q"]["vals"] == "2.0"
+
+
+def test_forecast_files(spark, tmp_path):
+    import bz2
+    from dataclasses import replace
+
+    from fluvigrid.sources import forecast
+
+    p = replace(catalog.FORECAST["tot_prec"], grid=Grid(0, 2, 0, 1, 2, 1))
+    run = datetime(2024, 1, 1, 3)
+    for step, cells in ((0, [1.0, np.nan]), (1, [3.0, 4.0])):
+        file = tmp_path / forecast.file_path("", "tot_prec", run, step).lstrip("/")
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_bytes(bz2.compress(np.array(cells).tobytes()))
+    got = forecast.read_forecast(spark, str(tmp_path), p, lambda raw: np.frombuffer(raw).reshape(1, 2))
+    assert rows(got, "f", "ix", "v") == [(0, 0, 1.0), (1, 0, 3.0), (1, 1, 4.0)]
+    with pytest.raises(FileNotFoundError):
+        forecast.read_forecast(spark, str(tmp_path), p, lambda raw: None, [1, 2])
+    with pytest.raises(ValueError):
+        forecast.check_steps(datetime(2024, 1, 1, 6), [28])
+    assert forecast.check_steps(run, [45, 3, 3]) == [3, 45]
