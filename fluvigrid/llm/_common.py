@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: list[str] = []
 
@@ -33,6 +35,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Actions inside send Python at most ``rows`` rows at once: for rows that hold several whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -47,3 +61,26 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x *= np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
     return x
+
+
+#: Bits of the membership filter: 256 pages of 4 KB, 1 MB in all, whatever the number of keys.
+FILTER_BITS = 1 << 23
+
+
+def membership(keys: DataFrame, name: str):
+    """A function that adds ``_member`` to a table: never wrong about a member of ``keys[name]``, rarely about others.
+
+    It thins out a large side before it is shuffled. The bitmap's size is fixed, so it is broadcast safely: with far
+    more keys than bits it only lets more through. Expressions only.
+    """
+    place = F.pmod(F.xxhash64(name), F.lit(FILTER_BITS))
+    bits = keys.select(place.alias("p")).groupBy(F.floor(F.col("p") / 32768).cast("int").alias("_page")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("_bits"))
+
+    def marked(df: DataFrame, column: str) -> DataFrame:
+        at = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+        paged = df.withColumn("_page", F.floor(at / 32768).cast("int")).join(F.broadcast(bits), "_page", "left")
+        byte = F.conv(F.hex(F.col("_bits").substr((F.floor(at % 32768 / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        hit = byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0
+        return paged.withColumn("_member", F.coalesce(hit, F.lit(False))).drop("_page", "_bits")
+
+    return marked

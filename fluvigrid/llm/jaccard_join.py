@@ -5,67 +5,119 @@ ordered by how rare a fixed-size count sketch says they are, ties by hash. If tw
 share a shingle of their prefixes, so entries (shingle, class, set size, position) meet by shingle.
 
 A group of classes with one shingle in common is not expanded into pairs. First each is verified against the
-smallest of the group; links give components. Only classes that failed a test are then paired with those members of
-their groups that are still in other components, within the length and positional filters, and verified once. So no
-link between components is lost, and a group of near copies costs as many tests as it has members.
+smallest of the group; links give components. Only classes that failed a test or had none are then paired with
+those members of their groups that are still in other components, within the length and positional filters and the
+number of prefix shingles that a link implies, and verified once. So no link between components is lost, and a group
+of near copies costs as many tests as it has members.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import mix64, stored
+from ._common import membership, mix64, small_batches, stored
 from .components import components
 
-SKETCH_BITS = 20
-SKETCH_SLICES = 16
-MEMO_WORDS = 1_000_000
+SKETCH_BITS = 22
+SKETCH_SLICES = 64
 #: Entries that a mapper holds before it hands them out to buckets, and documents for each bucket.
-FLUSH_ENTRIES = 500_000
+FLUSH_ENTRIES = 250_000
 DOCS_PER_BUCKET = 2_048
 #: Classes of one shingle that meet in one bucket; beyond it (by the sketch) they are dealt over several.
 HOT_CLASSES = 20_000
+#: Pairs whose texts are in a Python worker at once.
+VERIFY_ROWS = 128
 _ENTRY = np.dtype([("t", "<u8"), ("s", "<i8"), ("n", "<i4"), ("p", "<i4")])
-_MEMO: dict[bytes, int] = {}
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words between blanks and the controls 9 to 13, A-Z lower-cased."""
-    return (text or "").encode("utf-8", "replace").lower().split()
+_BASE = 0x9E3779B97F4A7C15
+#: Bytes hashed together, at most, unless one text is longer; such a text is hashed alone.
+BUFFER = 1 << 20
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    new = set(words).difference(_MEMO)
-    if len(_MEMO) + len(new) > MEMO_WORDS:
-        _MEMO.clear()
-        new = set(words)
-    for w in new:
-        _MEMO[w] = xxhash.xxh64_intdigest(w)
-    return np.fromiter(map(_MEMO.__getitem__, words), np.uint64, len(words))
+@lru_cache(maxsize=1)
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """For each byte its random code, A-Z as a-z, and whether it parts words: a blank or a control from 9 to 13."""
+    folded = np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64)
+    return mix64(folded + np.uint64(1)), np.isin(np.arange(256), [32, *range(9, 14)])
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(BUFFER + 2, _BASE, np.uint64), np.full(BUFFER + 2, pow(_BASE, -1, 1 << 64), np.uint64)
+    with np.errstate(over="ignore"):
+        for x in (up, down):
+            x[0] = 1
+            np.multiply.accumulate(x, out=x)
+    return up, down
+
+
+def _hash_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of every word of a buffer of at most BUFFER bytes, by prefix polynomial hashes."""
+    codes, blank = _letters()
+    up, down = _powers()
+    gap = np.ones(len(data) + 2, bool)
+    gap[1:-1] = blank[data]
+    starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+    prefix = np.zeros(len(data) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(codes[data] * up[: len(data)], out=prefix[1:])
+        return mix64((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
+
+
+def _word_hashes(raw: bytes) -> np.ndarray:
+    """Hashes of the words of one text of any length: pieces are cut at blanks; a word longer than a piece is hashed by itself."""
+    if len(raw) <= BUFFER:
+        return _hash_words(np.frombuffer(raw, np.uint8))[0]
+    out = []
+    for word in raw.split():
+        out.append(_hash_words(np.frombuffer(word, np.uint8))[0] if len(word) <= BUFFER else np.array([xxhash.xxh64_intdigest(word.lower())], np.uint64))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _fold(h: np.ndarray, words: int) -> np.ndarray:
+    """Hashes of all runs of ``words`` neighbours."""
+    n = max(0, len(h) - words + 1)
+    total = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(words):
+            total = (total + h[k : k + n]) * np.uint64(_BASE)
+            total ^= total >> np.uint64(29)
+        return mix64(total + np.uint64(words))
 
 
 def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     """The sorted distinct 64-bit hashes of every text's word shingles; a shorter text is one shingle, none is empty."""
+    raw = [(t or "").encode("utf-8", "replace") for t in texts]
     out: list[np.ndarray] = []
-    for lo in range(0, len(texts), 256):
-        split = [words_of(t) for t in texts[lo : lo + 256]]
-        flat = _word_hashes([w for s in split for w in s])
-        at = 0
-        with np.errstate(over="ignore"):
-            for s in split:
-                h = flat[at : at + len(s)]
-                at += len(s)
-                n = min(words, len(h))
-                total = np.zeros(len(h) - n + 1 if n else 0, np.uint64)
-                for k in range(n):
-                    total = total * np.uint64(0x9E3779B97F4A7C15) + mix64(h[k : len(h) - n + 1 + k] + np.uint64(k))
-                out.append(np.unique(mix64(total + np.uint64(n))))
+    lo = 0
+    while lo < len(raw):
+        hi, size = lo, 0
+        while hi < len(raw) and size + len(raw[hi]) + 1 <= BUFFER:
+            size += len(raw[hi]) + 1
+            hi += 1
+        if hi == lo:
+            hashes, cuts = _word_hashes(raw[lo]), None
+            cuts = [0, len(hashes)]
+            hi = lo + 1
+        else:
+            hashes, starts = _hash_words(np.frombuffer(b" ".join(raw[lo:hi]), np.uint8))
+            cuts = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raw[lo:hi])])).tolist()
+        runs = _fold(hashes, words)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b - a >= words:
+                out.append(np.unique(runs[a : b - words + 1]))
+            else:
+                out.append(_fold(hashes[a:b], b - a) if b > a else np.zeros(0, np.uint64))
+        lo = hi
     return out
 
 
@@ -96,48 +148,58 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def summarise(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, n, sig`` of every document."""
+    """One pass over the texts: rows of kind 0 with ``doc_id, n, sig``, and of kind 1 with slices of a task's counts.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = shingle_sets(batch.column(1).to_pylist(), words)
-            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "sig"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, sig long")
-
-
-def count_sketch(docs: DataFrame, words: int) -> np.ndarray:
-    """Counts of hashed shingles over all documents, 2^SKETCH_BITS of them: each task adds up its own, slices meet."""
+    A task counts hashed shingles of every class once, in a fixed number of counters; slices are compressed.
+    """
     width = 1 << SKETCH_BITS
     part = width // SKETCH_SLICES
+    names = ["kind", "doc_id", "n", "sig", "slice", "counts"]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros(width, np.uint32), set()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen, id_type = np.zeros(width, np.uint32), set(), None
         for batch in batches:
+            id_type = batch.schema.field(0).type
+            sets = shingle_sets(batch.column(1).to_pylist(), words)
+            sigs = [signature(s) for s in sets]
             fresh = []
-            for s in shingle_sets(batch.column(0).to_pylist(), words):
-                if len(s) and (sig := signature(s)) not in seen:
+            for s, sig in zip(sets, sigs, strict=True):
+                if len(s) and sig not in seen:
                     seen.add(sig)
                     fresh.append(s)
             if fresh:
-                total += np.bincount(np.concatenate(fresh) >> np.uint64(64 - SKETCH_BITS), minlength=width).astype(np.uint32)
+                np.add.at(total, np.concatenate(fresh) >> np.uint64(64 - SKETCH_BITS), 1)
+            m = len(sets)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.zeros(m, np.int8)), batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names
+            )
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_SLICES), pa.int32()), pa.array([total[i * part : (i + 1) * part].tobytes() for i in range(SKETCH_SLICES)])], names=["slice", "counts"])
+            m = SKETCH_SLICES
+            blobs = [zlib.compress(np.minimum(total[i * part : (i + 1) * part], 65535).astype("<u2").tobytes(), 1) for i in range(m)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int8)), pa.nulls(m, id_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(range(m), pa.int32()), pa.array(blobs)], names=names)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"kind byte, doc_id {kind}, n long, sig long, slice int, counts binary")
+
+
+def count_sketch(passed: DataFrame) -> np.ndarray:
+    """Counts of hashed shingles over all documents, 2^SKETCH_BITS of them: slices meet and are added up."""
+    width = 1 << SKETCH_BITS
+    part = width // SKETCH_SLICES
 
     def add(slices: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
         for batch in slices:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                totals[k] = totals.get(k, 0) + np.frombuffer(raw, np.uint32).astype(np.uint64)
+                totals[k] = totals.get(k, 0) + np.frombuffer(zlib.decompress(raw), "<u2").astype(np.uint64)
         if totals:
-            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([np.minimum(v, 2**32 - 1).astype(np.uint32).tobytes() for v in totals.values()])], names=["slice", "counts"])
+            blobs = [np.minimum(v, 2**32 - 1).astype("<u4").tobytes() for v in totals.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(blobs)], names=["slice", "counts"])
 
-    schema = "slice int, counts binary"
-    merged = docs.select("text").mapInArrow(count, schema).repartition(SKETCH_SLICES, "slice").mapInArrow(add, schema)
+    merged = passed.where("kind = 1").select("slice", "counts").repartition(SKETCH_SLICES, "slice").mapInArrow(add, "slice int, counts binary")
     out = np.zeros(width, np.uint32)
-    for row in merged.collect():
-        out[row["slice"] * part : (row["slice"] + 1) * part] = np.frombuffer(row["counts"], np.uint32)
+    for row in merged.toLocalIterator():
+        out[row["slice"] * part : (row["slice"] + 1) * part] = np.frombuffer(row["counts"], "<u4")
     return out
 
 
@@ -153,15 +215,15 @@ def sketch_ranks(counts: np.ndarray) -> np.ndarray:
     return np.clip(np.ceil(4 * np.log2(np.maximum(counts, 1) / floor)), 0, 255).astype(np.uint8)
 
 
-def rank_count(rank: int, mean: float) -> float:
-    return max(2.0, 2.0 * mean) * 2 ** (rank / 4)
+def hot_spread(counts: np.ndarray) -> np.ndarray:
+    """Over how many buckets the classes of a shingle are dealt, by its rank."""
+    floor = max(2.0, 2.0 * float(counts.mean()))
+    return np.array([max(1, int(floor * 2 ** (r / 4) / HOT_CLASSES)) if r else 1 for r in range(256)], np.uint64)
 
 
 def prefix_entries(docs: DataFrame, words: int, percent: int, counts: np.ndarray, buckets: int) -> DataFrame:
     """``bucket, entries``: packed prefix entries of every class that a task sees, dealt by token."""
-    ranks, mean = sketch_ranks(counts), float(counts.mean())
-    spread = np.array([max(1, int(rank_count(r, mean) / HOT_CLASSES)) if r else 1 for r in range(256)], np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast((ranks, spread))
+    shared = docs.sparkSession.sparkContext.broadcast((sketch_ranks(counts), hot_spread(counts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, spread = shared.value
@@ -199,10 +261,12 @@ def prefix_entries(docs: DataFrame, words: int, percent: int, counts: np.ndarray
     return docs.select("text").mapInArrow(run, "bucket int, entries binary")
 
 
-def star_pairs(rows: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one bucket's entries: (pairs with the smallest class of their shingle, entries of shared shingles, failed classes).
+def star_pairs(rows: np.ndarray, percent: int, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one bucket's entries: pairs (a, b, size of a, size of b, times) with the smallest class of their shingle,
+    the entries of shared shingles, and classes that no test will decide.
 
-    A class whose size rules out a link with the smallest of its group has failed without a test.
+    A class whose size rules out a link with the smallest of its group has failed without a test. So have the
+    classes of a hot shingle that was dealt over several buckets, as those never meet here.
     """
     rows = rows[np.lexsort((rows["s"], rows["n"], rows["t"]))]
     if len(rows):
@@ -210,24 +274,29 @@ def star_pairs(rows: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray,
         fresh[1:] = (rows["t"][1:] != rows["t"][:-1]) | (rows["s"][1:] != rows["s"][:-1])
         rows = rows[fresh]
     same = rows["t"][1:] == rows["t"][:-1]
-    shared = np.zeros(len(rows), bool)
+    hot = spread[rows["t"] >> np.uint64(56)] > 1
+    shared = hot.copy()
     shared[1:] |= same
     shared[:-1] |= same
-    rows = rows[shared]
+    rows, hot = rows[shared], hot[shared]
     if not len(rows):
-        return np.zeros((0, 2), np.int64), rows, np.zeros(0, np.int64)
+        return np.zeros((0, 5), np.int64), rows, np.zeros(0, np.int64)
     starts = np.flatnonzero(np.concatenate(([True], rows["t"][1:] != rows["t"][:-1])))
     lengths = np.diff(np.append(starts, len(rows)))
     centre = np.repeat(starts, lengths)
     member = np.arange(len(rows))
-    fits = rows["n"][member].astype(np.int64) * percent <= rows["n"][centre].astype(np.int64) * 100
+    fits = rows["n"].astype(np.int64) * percent <= rows["n"][centre].astype(np.int64) * 100
     test = (member != centre) & fits
-    pairs = np.unique(np.stack([rows["s"][centre[test]], rows["s"][member[test]]], axis=1), axis=0)
-    return pairs, rows, np.unique(rows["s"][~fits])
+    c, m = centre[test], member[test]
+    found = np.stack([rows["s"][c], rows["s"][m], rows["n"][c], rows["n"][m]], axis=1) if len(c) else np.zeros((0, 4), np.int64)
+    pairs, times = np.unique(found, axis=0, return_counts=True) if len(found) else (found, np.zeros(0, np.int64))
+    return np.column_stack([pairs, times]), rows, np.unique(rows["s"][~fits | hot])
 
 
-def _meet(blobs: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """Rows of three kinds from all buckets: 0 a pair (a, b), 1 an entry (a = token, b = class, n, p), 2 a failed class b."""
+def _meet(blobs: DataFrame, percent: int, buckets: int, spread: np.ndarray) -> DataFrame:
+    """Rows of three kinds from all buckets: 0 a pair (a, b) with sizes n, p met k times; 1 an entry (a = token,
+    b = class, size n, position p); 2 a class b left undecided."""
+    shared = blobs.sparkSession.sparkContext.broadcast(spread)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
@@ -235,23 +304,22 @@ def _meet(blobs: DataFrame, percent: int, buckets: int) -> DataFrame:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.setdefault(k, []).append(raw)
         for k in list(held):
-            pairs, rows, failed = star_pairs(np.frombuffer(b"".join(held.pop(k)), _ENTRY), percent)
-            for kind, a, b, n, p in (
-                (0, pairs[:, 0], pairs[:, 1], None, None),
-                (1, rows["t"].astype(np.int64), rows["s"], rows["n"], rows["p"]),
-                (2, failed, failed, None, None),
+            pairs, rows, failed = star_pairs(np.frombuffer(b"".join(held.pop(k)), _ENTRY), percent, shared.value)
+            none = np.zeros(0, np.int64)
+            for kind, *columns in (
+                (0, *pairs.T),
+                (1, rows["t"].view(np.int64) if len(rows) else none, rows["s"], rows["n"], rows["p"], np.zeros(len(rows))),
+                (2, failed, failed, *[np.zeros(len(failed))] * 3),
             ):
-                for lo in range(0, len(a), 100_000):
-                    cut = slice(lo, lo + 100_000)
-                    m = len(a[cut])
-                    extra = [pa.array(np.zeros(m, np.int32) if x is None else np.ascontiguousarray(x[cut])) for x in (n, p)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int8)), pa.array(np.ascontiguousarray(a[cut])), pa.array(np.ascontiguousarray(b[cut])), *extra], names=["kind", "a", "b", "n", "p"])
+                for lo in range(0, len(columns[0]), 100_000):
+                    a, b, *rest = (np.ascontiguousarray(x[lo : lo + 100_000]) for x in columns)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b), *(pa.array(x.astype(np.int32)) for x in rest)], names=["kind", "a", "b", "n", "p", "k"])
 
-    return blobs.repartition(buckets, "bucket").mapInArrow(run, "kind byte, a long, b long, n int, p int")
+    return blobs.repartition(buckets, "bucket").mapInArrow(run, "kind byte, a long, b long, n int, p int, k int")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """``a, b, ok`` for pairs of classes; ``texts`` is (sig, text), one row per class."""
+    """``a, b, ok`` for pairs of classes, computed and stored; ``texts`` is (sig, text), one row per class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, np.ndarray] | None = None
@@ -266,7 +334,19 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
 
     second = pairs.join(texts.select(F.col("sig").alias("b"), F.col("text").alias("text_b")), "b")
     both = second.join(texts.select(F.col("sig").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, ok boolean")
+    judged = both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, ok boolean")
+    with small_batches(pairs.sparkSession, VERIFY_ROWS):
+        return stored(judged, "tested")
+
+
+def least_shared(n: Column, m: Column, percent: int) -> Column:
+    """How many prefix shingles two classes of sizes n and m have in common, at least, if they link.
+
+    Each lacks at most its size less the least overlap; what both prefixes hold of the overlap is its beginning.
+    """
+    need = F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
+    prefix = lambda x: x - F.ceil(F.lit(percent) * x / F.lit(100)) + 1
+    return F.greatest(F.lit(1), F.least(prefix(n) - n + need, prefix(m) - m + need))
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -277,23 +357,32 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     component. Repeated rows are reported each. Very long texts are one set as any other. An empty table gives no
     rows; extra columns are not read.
     """
-    summary = stored(summarise(docs, words), "sets")
+    passed = stored(summarise(docs, words), "sets")
+    summary = passed.where("kind = 0").select("doc_id", "n", "sig")
     classes = stored(summary.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep")), "classes")
     buckets = max(1, summary.count() // DOCS_PER_BUCKET)
-    counts = count_sketch(docs, words)
-    met = stored(_meet(prefix_entries(docs, words, percent, counts, buckets), percent, buckets), "met")
-    pairs = met.where("kind = 0").select("a", "b").distinct()
-    text_of = lambda nodes: (
-        classes.join(nodes.distinct(), "sig", "left_semi").join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep").select("sig", "text").dropDuplicates(["sig"])
-    )
-    ends = lambda p: p.select(F.col("a").alias("sig")).union(p.select(F.col("b").alias("sig")))
-    first = stored(verify(pairs, text_of(ends(pairs)), words, percent), "tested")
+    counts = count_sketch(passed)
+    met = stored(_meet(prefix_entries(docs, words, percent, counts, buckets), percent, buckets, hot_spread(counts)), "met")
     entries = met.where("kind = 1").select(F.col("a").alias("t"), F.col("b").alias("s"), "n", "p")
-    failed = met.where("kind = 2").select(F.col("b").alias("s")).union(first.where(~F.col("ok")).select(F.col("b").alias("s"))).distinct()
-    failed = stored(failed, "failed")
-    links = first.where("ok").select("a", "b")
+
+    def texts(pairs: DataFrame, name: str) -> DataFrame:
+        """(sig, text) of the classes in ``pairs``: documents are thinned out before they are shuffled."""
+        nodes = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
+        wanted = stored(classes.join(nodes, "sig"), name)
+        near = membership(wanted, "rep")(docs.select(F.col("doc_id").alias("rep"), "text"), "rep").where("_member").drop("_member")
+        return wanted.join(near, "rep").select("sig", "text").dropDuplicates(["sig"])
+
+    # tested first: pairs that meet often enough to be promising; the rest is left to the second round
+    pairs = met.where("kind = 0").groupBy("a", "b").agg(F.first("n").alias("n"), F.first("p").alias("p"), F.sum("k").alias("k"))
+    pairs = stored(pairs.withColumn("test", F.col("k") * 4 >= least_shared(F.col("n"), F.col("p"), percent)), "pairs")
+    promising = pairs.where("test").select("a", "b")
+    tested = verify(promising, texts(promising, "ends"), words, percent)
+    undecided = met.where("kind = 2").select(F.col("b").alias("s")).union(pairs.where("not test").select(F.col("b").alias("s")))
+    failed = stored(undecided.union(tested.where("not ok").select(F.col("b").alias("s"))).distinct(), "failed")
+    links = tested.where("ok").select("a", "b")
     if failed.limit(1).count():
-        links = links.unionByName(_second_round(entries, failed, first, links, text_of, ends, words, percent))
+        more = stored(_second_round(entries, failed, tested, links, percent), "more")
+        links = links.unionByName(verify(more, texts(more, "ends"), words, percent).where("ok").select("a", "b"))
     by_doc = links.join(classes.select(F.col("sig").alias("a"), F.col("rep").alias("x")), "a").join(classes.select(F.col("sig").alias("b"), F.col("rep").alias("y")), "b")
     found = components(by_doc.select(F.col("x").alias("a"), F.col("y").alias("b")))
     named = classes.join(found, classes["rep"] == found["node"], "left").select("sig", F.coalesce("component", "rep").alias("component"))
@@ -302,26 +391,33 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     return out.select("s.doc_id", F.col("s.n").alias("n_shingles"), F.coalesce("c.component", "s.doc_id").alias("component_id"))
 
 
-def _second_round(entries: DataFrame, failed: DataFrame, tested: DataFrame, links: DataFrame, text_of, ends, words: int, percent: int) -> DataFrame:
-    """Links between a failed class and a class of another component that shares a shingle with it."""
+def _second_round(entries: DataFrame, failed: DataFrame, tested: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Untested pairs (a, b) of different components, one of them failed or undecided, that pass all filters.
+
+    In each group the classes of its commonest component need no pairs among themselves: every other class is paired
+    with the group, and pairs must share as many prefix shingles as a link implies.
+    """
     known = components(links)
     tokens = entries.join(failed, "s", "left_semi").select("t").distinct()
     near = entries.join(tokens, "t", "left_semi").join(known.select(F.col("node").alias("s"), "component"), "s", "left")
     near = near.select("t", "s", "n", "p", F.coalesce("component", "s").alias("c"))
-    mixed = near.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("t")
-    near = stored(near.join(mixed, "t", "left_semi"), "near")
-    x = near.join(failed, "s", "left_semi").select("t", *[F.col(k).alias(f"x_{k}") for k in ("s", "n", "p", "c")])
-    y = near.select("t", *[F.col(k).alias(f"y_{k}") for k in ("s", "n", "p", "c")])
+    sizes = near.groupBy("t", "c").agg(F.count("*").alias("m"))
+    common = sizes.groupBy("t").agg(F.max_by("c", F.struct("m", "c")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    flagged = near.join(failed.withColumn("f", F.lit(True)), "s", "left")
+    near = stored(flagged.join(common, "t").select("t", "s", "n", "p", "c", F.coalesce("f", F.lit(False)).alias("f"), (F.col("c") != F.col("most")).alias("odd")), "near")
+    x = near.where("odd").select("t", *[F.col(k).alias(f"x_{k}") for k in ("s", "n", "p", "c", "f")])
+    y = near.select("t", *[F.col(k).alias(f"y_{k}") for k in ("s", "n", "p", "c", "f", "odd")])
     need = F.ceil(F.lit(percent) * (F.col("x_n") + F.col("y_n")) / F.lit(100 + percent))
-    shorter_first = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_s") < F.col("y_s")))
     length = F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent
     # the shared shingle and at most what follows it in the shorter rest can be in common, besides what came before
     position = F.least("x_p", "y_p") + 1 + F.least(F.col("x_n") - F.col("x_p") - 1, F.col("y_n") - F.col("y_p") - 1) >= need
+    once = ~F.col("y_odd") | (F.col("x_s") < F.col("y_s"))
+    met = x.join(y, "t").where((F.col("x_c") != F.col("y_c")) & once & length & position & (F.col("x_f") | F.col("y_f")))
+    shorter_first = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_s") < F.col("y_s")))
     pick = lambda one, two: F.when(shorter_first, F.col(one)).otherwise(F.col(two))
-    met = x.join(y, "t").where((F.col("x_c") != F.col("y_c")) & length & position)
-    pairs = met.select(pick("x_s", "y_s").alias("a"), pick("y_s", "x_s").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    pairs = stored(pairs, "pairs")
-    return verify(pairs, text_of(ends(pairs)), words, percent).where("ok").select("a", "b")
+    rows = met.select(pick("x_s", "y_s").alias("a"), pick("y_s", "x_s").alias("b"), pick("x_n", "y_n").alias("n"), pick("y_n", "x_n").alias("m"))
+    often = rows.groupBy("a", "b", "n", "m").agg(F.count("*").alias("k")).where(F.col("k") >= least_shared(F.col("n"), F.col("m"), percent))
+    return often.select("a", "b").join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
