@@ -20,14 +20,14 @@ Keys with more contexts than one task should sort are decided window by window,
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import mix64, stored
+from ._common import membership, mix64, stored
 
 LENGTH = 400
 CORE = 64
@@ -299,22 +299,41 @@ def sort_contexts(contexts: DataFrame, length: int, core: int) -> DataFrame:
     return dealt.mapInArrow(run, "key long, ctx long, lo long, hi long")
 
 
-def digest_contexts(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for keys with very many contexts: every window's digest meets its equals, one row each."""
-    whole = contexts.select("key", "ctx", F.concat("before", "after").alias("bytes"), F.length("before").alias("reach"))
-    back = F.explode(F.sequence(F.greatest(F.lit(0), F.lit(length) - F.length("bytes") + F.col("reach")), F.col("reach"))).alias("back")
-    able = whole.where(F.length("bytes") >= length).select("key", "ctx", "bytes", "reach", back)
-    windows = able.select("key", "ctx", "back", F.md5(F.col("bytes").substr(F.col("reach") - F.col("back") + F.lit(1), F.lit(length))).alias("digest"))
-    twice = windows.groupBy("key", "back", "digest").agg(F.min("ctx").alias("one"), F.max("ctx").alias("other")).where("one <> other")
-    hit = windows.join(twice.select("key", "back", "digest"), ["key", "back", "digest"], "left_semi")
-    return hit.select("key", "ctx", (-F.col("back")).cast("long").alias("lo"), (F.lit(length) - F.col("back")).cast("long").alias("hi"))
+def digest_contexts(contexts: DataFrame, length: int, core: int, steps: tuple[int, ...] = (85, 17, 1)) -> DataFrame:
+    """The same for keys with very many contexts, by digests that meet in any task.
+
+    Windows go in blocks of neighbours. What all windows of a block span together, if it occurs twice, makes all of
+    them repeated; what they have in common, if it does not, none of them. Only blocks between these are cut into
+    smaller ones, down to single windows, with one context standing for those that agree in the whole block.
+    """
+    whole = contexts.select("key", "ctx", F.concat("before", "after").alias("bytes"), F.length("before").alias("reach"), F.length("after").alias("ahead"))
+    first = F.greatest(F.lit(0), F.lit(length) - F.col("ahead"))
+    able = whole.where(first <= F.col("reach"))
+    open_, settled = able.select("key", "ctx", first.alias("lo"), F.col("reach").alias("hi")), []
+    cut = lambda back, end: F.xxhash64(F.col("bytes").substr(F.col("reach") - back + F.lit(1), back + end))  # noqa: E731  from back before the anchor to end after it
+    for step in steps:
+        dealt = open_.select("*", F.explode(F.sequence(F.floor(F.col("lo") / step), F.floor(F.col("hi") / step))).alias("block"))
+        bounds = dealt.withColumn("b0", (F.col("block") * step).cast("int")).withColumn("b1", F.least(F.col("b0") + step - 1, F.lit(length - core)))
+        ranges = bounds.select("key", "ctx", "b0", "b1", F.greatest("lo", "b0").alias("lo"), F.least("hi", "b1").alias("hi"))
+        # blocks that the document's ends clip have no span of their own, so they are never settled by it
+        unclipped = (F.col("lo") == F.col("b0")) & (F.col("hi") == F.col("b1"))
+        span = F.when(unclipped, cut(F.col("b1"), F.lit(length) - F.col("b0"))).alias("span")
+        hashed = stored(ranges.join(able, ["key", "ctx"]).select("key", "ctx", "b0", "b1", "lo", "hi", span, cut(F.col("b0"), F.lit(length) - F.col("b1")).alias("shared")), "blocks")
+        spans = hashed.where("span is not null").groupBy("key", "b0", "span").agg(F.min("ctx").alias("one"), F.max("ctx").alias("other")).where("one <> other").select("key", "b0", "span", "one")
+        commons = hashed.groupBy("key", "b0", "shared").agg(F.min("ctx").alias("x"), F.max("ctx").alias("y")).where("x <> y").select("key", "b0", "shared")
+        left = hashed.join(commons, ["key", "b0", "shared"], "left_semi")
+        judged = stored(left.join(spans, ["key", "b0", "span"], "left").select("key", "ctx", "b0", "b1", "lo", "hi", "one"), "judged")
+        settled.append(judged.where("one is not null").select("key", "ctx", (-F.col("b1")).cast("long").alias("lo"), (F.lit(length) - F.col("b0")).cast("long").alias("hi")))
+        open_ = judged.where("one is null or one = ctx").select("key", "ctx", "lo", "hi")
+    return reduce(DataFrame.unionByName, settled)
 
 
 def _cut_contexts(wanted: DataFrame, docs: DataFrame, length: int, core: int) -> DataFrame:
     """``key, ctx, before, after``: the bytes around one occurrence of each wanted context."""
     places = wanted.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("pos", "key", "ctx")).alias("places"))
     raw = F.encode(F.coalesce("text", F.lit("")), "utf-8")
-    d, w = docs.alias("d"), places.alias("w")
+    places = stored(places, "places")
+    d, w = membership(places, "doc_id")(docs.select("doc_id", "tag", "text"), "doc_id").where("_member").alias("d"), places.alias("w")
     texts = d.join(w, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.tag") == F.col("w.tag"))).select(raw.alias("raw"), F.explode("places").alias("p"))
     reach = F.least(F.col("p.pos"), F.lit(length - core)).cast("int")
     at = F.col("p.pos").cast("int")
@@ -334,7 +353,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, core: int = CORE) -> DataFra
     hot = keys.where(F.col("n") > HOT_CONTEXTS).select("key")
     spans = sort_contexts(cut.join(hot, "key", "left_anti"), length, core)
     if hot.limit(1).count():
-        spans = spans.unionByName(digest_contexts(cut.join(hot, "key", "left_semi"), length))
+        spans = spans.unionByName(digest_contexts(cut.join(hot, "key", "left_semi"), length, core))
     whole = contexts.where("twice").select("key", "ctx", F.lit(core - length).cast("long").alias("lo"), F.lit(length).cast("long").alias("hi"))
     covered = stored(spans.unionByName(whole).groupBy("key", "ctx").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "covered")
     here = found.join(covered, ["key", "ctx"]).select("doc_id", "tag", "pos", F.explode("spans").alias("s"))
@@ -372,9 +391,11 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, core: int = CORE) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    t, s = tagged.alias("t"), spans.alias("s")
+    marked = membership(spans, "doc_id")(tagged, "doc_id")
+    t, s = marked.where("_member").alias("t"), spans.alias("s")
     joined = t.join(s, F.col("t.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("t.tag") == F.col("s.tag")), "left").select("t.doc_id", "t.text", "s.spans")
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, spans array<struct<lo:long,hi:long>>, kept binary")
+    untouched = marked.where("not _member").select("doc_id", "text", F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>").alias("spans"))
+    return joined.unionByName(untouched).mapInArrow(run, f"doc_id {kind}, n_bytes long, spans array<struct<lo:long,hi:long>>, kept binary")
 
 
 def digest(removed: DataFrame) -> DataFrame:
