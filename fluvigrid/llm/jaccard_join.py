@@ -349,6 +349,17 @@ def least_shared(n: Column, m: Column, percent: int) -> Column:
     return F.greatest(F.lit(1), F.least(prefix(n) - n + need, prefix(m) - m + need))
 
 
+def extra_prefix(n: Column, m: Column, need: Column, percent: int) -> Column:
+    """By how much the shortest prefixes that find a pair of sizes n and m are prolonged.
+
+    A class lacks at most its size less ``need`` of a common overlap, so the first size - need + 1 + e shingles of
+    both hold the first 1 + e of it. A quarter more keeps out pairs that meet in a few shingles only, while what all
+    of a family has in common stays behind what each has alone. No longer than the prefixes that were kept.
+    """
+    kept = lambda x: need - F.ceil(F.lit(percent) * x / F.lit(100))
+    return F.greatest(F.lit(0), F.least(F.floor((F.least(n, m) - need) / 4), kept(n), kept(m)))
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id``: the smallest doc_id that links reach, the document's own included.
 
@@ -412,11 +423,14 @@ def _second_round(entries: DataFrame, failed: DataFrame, tested: DataFrame, link
     # the shared shingle and at most what follows it in the shorter rest can be in common, besides what came before
     position = F.least("x_p", "y_p") + 1 + F.least(F.col("x_n") - F.col("x_p") - 1, F.col("y_n") - F.col("y_p") - 1) >= need
     once = ~F.col("y_odd") | (F.col("x_s") < F.col("y_s"))
-    met = x.join(y, "t").where((F.col("x_c") != F.col("y_c")) & once & length & position & (F.col("x_f") | F.col("y_f")))
+    extra = extra_prefix(F.col("x_n"), F.col("y_n"), need, percent)
+    early = (F.col("x_p") <= F.col("x_n") - need + extra) & (F.col("y_p") <= F.col("y_n") - need + extra)
+    met = x.join(y, "t").where((F.col("x_c") != F.col("y_c")) & once & length & early & position & (F.col("x_f") | F.col("y_f")))
     shorter_first = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_s") < F.col("y_s")))
     pick = lambda one, two: F.when(shorter_first, F.col(one)).otherwise(F.col(two))
     rows = met.select(pick("x_s", "y_s").alias("a"), pick("y_s", "x_s").alias("b"), pick("x_n", "y_n").alias("n"), pick("y_n", "x_n").alias("m"))
-    often = rows.groupBy("a", "b", "n", "m").agg(F.count("*").alias("k")).where(F.col("k") >= least_shared(F.col("n"), F.col("m"), percent))
+    overlap = F.ceil(F.lit(percent) * (F.col("n") + F.col("m")) / F.lit(100 + percent))
+    often = rows.groupBy("a", "b", "n", "m").agg(F.count("*").alias("k")).where(F.col("k") > extra_prefix(F.col("n"), F.col("m"), overlap, percent))
     return often.select("a", "b").join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
 
