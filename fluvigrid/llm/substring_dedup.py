@@ -299,7 +299,7 @@ def sort_contexts(contexts: DataFrame, length: int, core: int) -> DataFrame:
     return dealt.mapInArrow(run, "key long, ctx long, lo long, hi long")
 
 
-def digest_contexts(contexts: DataFrame, length: int, core: int, steps: tuple[int, ...] = (85, 17, 1)) -> DataFrame:
+def digest_contexts(contexts: DataFrame, length: int, core: int, steps: tuple[int, ...] = (80, 20, 5, 1)) -> DataFrame:
     """The same for keys with very many contexts, by digests that meet in any task.
 
     Windows go in blocks of neighbours. What all windows of a block span together, if it occurs twice, makes all of
