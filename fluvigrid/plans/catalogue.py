@@ -619,7 +619,7 @@ def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         "soil string, layer int, thick double, stonef double, psif double, thetaf double, thsat double, bexp double, kf double, wetinf double",
     )
     n = F.col("n_nationkey")
-    own = adapters.table(spark, sf_dir, "nation").where("n_nationkey < 15").select(
+    own = adapters.table(spark, sf_dir, "nation").select(
         F.col("n_regionkey").cast("long").alias("catchment"), F.element_at(F.array(*[F.lit(c) for c in covers]), (n % 4 + 1).cast("int")).alias("cover"), (n % 2).cast("string").alias("soil"), (1.0 + n % 3).alias("area")
     )
     own = own.groupBy("catchment", "cover", "soil").agg(F.sum("area").alias("area"))
