@@ -4,7 +4,7 @@ from collections import defaultdict
 
 from fluvigrid.plans import catalogue
 
-from oracle import connect
+from oracle import connect, same
 
 
 def test_simulation_runs_all_nations(spark, sf):
@@ -14,3 +14,14 @@ def test_simulation_runs_all_nations(spark, sf):
         want[region, covers[n % 4], str(n % 2)] += 1 + n % 3
     got = catalogue.brook90_run(spark, sf).select("catchment", "cover", "soil", "area").distinct().collect()
     assert sorted(tuple(r) for r in got) == sorted((*k, area) for k, area in want.items())
+
+
+def whole(spark, sf, name, cut):
+    """The query equals its SQL with ``cut`` taken out."""
+    same(spark, catalogue.QUERIES[name], catalogue.ORACLES[name].replace(cut, ""), sf)
+
+
+def test_gap_fill_reads_all_stations_and_events(spark, sf):
+    whole(spark, sf, "gapfill_calendar", " WHERE user_id % 50 < 40 AND event_id % 5 = 0")
+    want = connect(sf).execute("select distinct user_id % 50 from events").fetchall()
+    assert catalogue.gapfill_calendar(spark, sf).select("station").distinct().count() == len(want)
