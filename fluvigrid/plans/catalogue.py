@@ -174,8 +174,8 @@ _SERIES = "series AS (SELECT DISTINCT user_id % 5 AS k, (epoch_us(ts) // 1000000
 
 
 def _series(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    e = adapters.table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("k"), adapters.epoch(F.col("ts")).alias("t"), "event_id")
-    return e.where("event_id % 3 = 0").select("k", "t").distinct(), e.select("k", (F.floor(F.col("t") / 3600) * 3600).cast("long").alias("t")).distinct()
+    e = adapters.table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("k"), adapters.epoch(F.col("ts")).alias("t"))
+    return e.distinct(), e.select("k", (F.floor(F.col("t") / 3600) * 3600).cast("long").alias("t")).distinct()
 
 
 _ASOF = f"""WITH {_SERIES}, ends AS (SELECT k, min(t) AS first, max(t) AS last FROM series GROUP BY k),

@@ -2,6 +2,8 @@
 
 from collections import defaultdict
 
+import pytest
+
 from fluvigrid.plans import catalogue
 
 from oracle import connect, same
@@ -25,3 +27,8 @@ def test_gap_fill_reads_all_stations_and_events(spark, sf):
     whole(spark, sf, "gapfill_calendar", " WHERE user_id % 50 < 40 AND event_id % 5 = 0")
     want = connect(sf).execute("select distinct user_id % 50 from events").fetchall()
     assert catalogue.gapfill_calendar(spark, sf).select("station").distinct().count() == len(want)
+
+
+@pytest.mark.parametrize("name", ["asof_leq", "asof_geq", "asof_nearest"])
+def test_as_of_looks_up_all_events(spark, sf, name):
+    whole(spark, sf, name, " WHERE event_id % 3 = 0")
