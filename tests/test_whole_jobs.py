@@ -32,3 +32,14 @@ def test_gap_fill_reads_all_stations_and_events(spark, sf):
 @pytest.mark.parametrize("name", ["asof_leq", "asof_geq", "asof_nearest"])
 def test_as_of_looks_up_all_events(spark, sf, name):
     whole(spark, sf, name, " WHERE event_id % 3 = 0")
+
+
+@pytest.mark.parametrize("name", ["obs_forecast_splice", "comma_series"])
+def test_splice_observes_all_events(spark, sf, name):
+    whole(spark, sf, name, " WHERE event_id % 3 = 0")
+
+
+def test_splice_sums_all_events(spark, sf):
+    want = connect(sf).execute("select sum(value::DECIMAL(18,2))::DOUBLE from events").fetchone()[0]
+    got = catalogue.obs_forecast_splice(spark, sf).where("kind = 'observed'").groupBy().sum("v").first()[0]
+    assert round(got, 2) == round(want, 2)
