@@ -147,14 +147,19 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return len(np.intersect1d(a, b, assume_unique=True)) >= need
 
 
+def _row_key() -> Column:
+    """A 64-bit hash of id and text; hashing skips nulls, so whether the id is null goes in as well."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
+
+
 def summarise(docs: DataFrame, words: int) -> DataFrame:
-    """One pass over the texts: rows of kind 0 with ``doc_id, n, sig``, and of kind 1 with slices of a task's counts.
+    """One pass over the texts: rows of kind 0 with ``doc_id, n, sig, key``, and of kind 1 with slices of a task's counts.
 
     A task counts hashed shingles of every class once, in a fixed number of counters; slices are compressed.
     """
     width = 1 << SKETCH_BITS
     part = width // SKETCH_SLICES
-    names = ["kind", "doc_id", "n", "sig", "slice", "counts"]
+    names = ["kind", "doc_id", "n", "sig", "slice", "counts", "key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen, id_type = np.zeros(width, np.uint32), set(), None
@@ -171,15 +176,15 @@ def summarise(docs: DataFrame, words: int) -> DataFrame:
                 np.add.at(total, np.concatenate(fresh) >> np.uint64(64 - SKETCH_BITS), 1)
             m = len(sets)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(m, np.int8)), batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names
+                [pa.array(np.zeros(m, np.int8)), batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), batch.column(2)], names=names
             )
         if total.any():
             m = SKETCH_SLICES
             blobs = [zlib.compress(np.minimum(total[i * part : (i + 1) * part], 65535).astype("<u2").tobytes(), 1) for i in range(m)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int8)), pa.nulls(m, id_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(range(m), pa.int32()), pa.array(blobs)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int8)), pa.nulls(m, id_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(range(m), pa.int32()), pa.array(blobs), pa.nulls(m, pa.int64())], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"kind byte, doc_id {kind}, n long, sig long, slice int, counts binary")
+    return docs.select("doc_id", "text", _row_key()).mapInArrow(run, f"kind byte, doc_id {kind}, n long, sig long, slice int, counts binary, key long")
 
 
 def count_sketch(passed: DataFrame) -> np.ndarray:
@@ -365,12 +370,23 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
 
     Two documents link when 100 * intersection >= percent * union of their sets of word shingles. A text with fewer
     words than a shingle is one shingle; null and empty texts have none, link with nothing and are their own
-    component. Repeated rows are reported each. Very long texts are one set as any other. An empty table gives no
+    component. Repeated rows are reported each. Ids may be null or shared by different texts: links are those of the
+    texts, and a component without any id has none. Very long texts are one set as any other. An empty table gives no
     rows; extra columns are not read.
     """
+    summary, named = _first_rows(docs, words, percent)
+    s, c = summary.alias("s"), named.alias("c")
+    out = s.join(c, (F.col("s.sig") == F.col("c.sig")) & (F.col("s.n") > 0), "left")
+    return out.select("s.doc_id", F.col("s.n").alias("n_shingles"), F.coalesce("c.first.doc_id", "s.doc_id").alias("component_id"))
+
+
+def _first_rows(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The summary (doc_id, n, sig, key) of every row, and of every class ``sig, first``: its component's row with the
+    smallest id, as (no_id, doc_id, key). Rows without an id come last."""
     passed = stored(summarise(docs, words), "sets")
-    summary = passed.where("kind = 0").select("doc_id", "n", "sig")
-    classes = stored(summary.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep")), "classes")
+    summary = passed.where("kind = 0").select("doc_id", "n", "sig", "key")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    classes = stored(summary.where("n > 0").groupBy("sig").agg(F.min(row).alias("rep")), "classes")
     buckets = max(1, summary.count() // DOCS_PER_BUCKET)
     counts = count_sketch(passed)
     met = stored(_meet(prefix_entries(docs, words, percent, counts, buckets), percent, buckets, hot_spread(counts)), "met")
@@ -379,9 +395,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     def texts(pairs: DataFrame, name: str) -> DataFrame:
         """(sig, text) of the classes in ``pairs``: documents are thinned out before they are shuffled."""
         nodes = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
-        wanted = stored(classes.join(nodes, "sig"), name)
-        near = membership(wanted, "rep")(docs.select(F.col("doc_id").alias("rep"), "text"), "rep").where("_member").drop("_member")
-        return wanted.join(near, "rep").select("sig", "text").dropDuplicates(["sig"])
+        wanted = stored(classes.join(nodes, "sig").select("sig", "rep.key"), name)
+        near = membership(wanted, "key")(docs.select(_row_key().alias("key"), "text"), "key").where("_member").drop("_member")
+        return wanted.join(near, "key").select("sig", "text").dropDuplicates(["sig"])
 
     # tested first: pairs that meet often enough to be promising; the rest is left to the second round
     pairs = met.where("kind = 0").groupBy("a", "b").agg(F.first("n").alias("n"), F.first("p").alias("p"), F.sum("k").alias("k"))
@@ -394,12 +410,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     if failed.limit(1).count():
         more = stored(_second_round(entries, failed, tested, links, percent), "more")
         links = links.unionByName(verify(more, texts(more, "ends"), words, percent).where("ok").select("a", "b"))
-    by_doc = links.join(classes.select(F.col("sig").alias("a"), F.col("rep").alias("x")), "a").join(classes.select(F.col("sig").alias("b"), F.col("rep").alias("y")), "b")
-    found = components(by_doc.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    named = classes.join(found, classes["rep"] == found["node"], "left").select("sig", F.coalesce("component", "rep").alias("component"))
-    s, c = summary.alias("s"), named.alias("c")
-    out = s.join(c, (F.col("s.sig") == F.col("c.sig")) & (F.col("s.n") > 0), "left")
-    return out.select("s.doc_id", F.col("s.n").alias("n_shingles"), F.coalesce("c.component", "s.doc_id").alias("component_id"))
+    found = components(links)
+    named = classes.join(found, classes["sig"] == found["node"], "left").select("sig", F.coalesce("component", "sig").alias("c"), "rep")
+    return summary, named.join(named.groupBy("c").agg(F.min("rep").alias("first")), "c").select("sig", "first")
 
 
 def _second_round(entries: DataFrame, failed: DataFrame, tested: DataFrame, links: DataFrame, percent: int) -> DataFrame:
@@ -435,8 +448,15 @@ def _second_round(entries: DataFrame, failed: DataFrame, tested: DataFrame, link
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The document with the smallest id of every component, all columns; of repeated rows with that id, one."""
-    kept = jaccard_components(docs, words, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    d, k = docs.alias("d"), kept.alias("k")
-    return d.join(k, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi").dropDuplicates(["doc_id"])
+    """One row of every component, all columns: that with the smallest id; of repeated rows with that id and text, one.
 
+    A component without any id keeps a row too. Of texts without shingles one is kept for each id, and every row
+    where the id is null, as nothing tells that those are the same document.
+    """
+    summary, named = _first_rows(docs, words, percent)
+    bare = summary.where("n = 0")
+    kept = named.select("first.key").distinct().union(bare.where("doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("key")).select("key"))
+    kept = kept.withColumn("_each", F.lit(False)).union(bare.where("doc_id is null").select("key").distinct().withColumn("_each", F.lit(True))).withColumnRenamed("key", "_kept")
+    rows = docs.withColumn("_row", _row_key()).join(kept, F.col("_row") == F.col("_kept"))
+    own = rows.withColumn("_own", F.when(F.col("_each"), F.monotonically_increasing_id()))
+    return own.dropDuplicates(["_row", "_own"]).drop("_row", "_kept", "_each", "_own")

@@ -357,6 +357,28 @@ def test_one_of_each(spark):
     assert jaccard_join.jaccard_components(docs.where("false")).count() == 0
 
 
+def test_null_and_shared_ids(spark):
+    a, b, c, d = (prose(60, 60 + k) for k in range(4))
+    rows = [(None, a), (None, a + " x"), (None, b), (5, c), (5, d), (5, c), (9, d + " x"), (None, ""), (None, None), (None, None), (6, ""), (6, ""), (None, c + " y")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, at int")
+    kept = sorted(r["at"] for r in jaccard_join.one_of_each(docs).collect())
+    assert len(kept) == 8 and len({0, 1} & set(kept)) == 1 and len({3, 5} & set(kept)) == 1 and len({10, 11} & set(kept)) == 1
+    assert {2, 4, 7, 8, 9} <= set(kept)
+    got = jaccard_join.jaccard_components(docs).collect()
+    ids = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got)
+    assert ids == [(0, 0)] * 6 + [(0, 5)] + [(5, 5)] * 3 + [(6, 6)] * 2 + [(9, 5)]
+    # ids of text: one that spells another row's text is no match for it
+    words = spark.createDataFrame([(a, None), (None, a), (None, a + " x")], "doc_id string, text string")
+    assert jaccard_join.one_of_each(words).count() == 2
+
+
+def test_links_of_classes_without_ids(spark):
+    a = prose(60, 70)
+    docs = spark.createDataFrame([(None, a), (None, a + " x"), (3, a + " x y")], "doc_id long, text string")
+    assert {r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()} == {3}
+    assert [r["doc_id"] for r in jaccard_join.one_of_each(docs).collect()] == [3]
+
+
 def test_long_words_and_buffers(monkeypatch):
     texts = [prose(50, 1), "x" * 5000 + " a b", prose(2000, 2), "", "a B c d"]
     want = [s.tolist() for s in jaccard_join.shingle_sets(texts, 3)]
