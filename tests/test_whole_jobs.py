@@ -43,3 +43,7 @@ def test_splice_sums_all_events(spark, sf):
     want = connect(sf).execute("select sum(value::DECIMAL(18,2))::DOUBLE from events").fetchone()[0]
     got = catalogue.obs_forecast_splice(spark, sf).where("kind = 'observed'").groupBy().sum("v").first()[0]
     assert round(got, 2) == round(want, 2)
+
+
+def test_downstream_starts_at_every_catchment(spark, sf):
+    whole(spark, sf, "downstream_ids", " WHERE id % 100 = 99")
