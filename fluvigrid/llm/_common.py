@@ -35,16 +35,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of one Arrow batch that a Python worker is sent; a batch holds a row more than that at most.
+BATCH_BYTES = 8 << 20
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's limit of bytes in an Arrow batch to ``BATCH_BYTES``, so long texts don't add up in a worker.
+
+    It stays lowered, as plans that an operator returns are run later; results don't depend on it.
+    """
+    if int(spark.conf.get(_BYTES, str(BATCH_BYTES)).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BYTES, str(BATCH_BYTES))
+
+
 @contextmanager
-def small_batches(spark: SparkSession, rows: int):
-    """Actions inside send Python at most ``rows`` rows at once: for rows that hold several whole texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int, size: int = BATCH_BYTES):
+    """Actions inside send Python at most ``rows`` rows, or a row over ``size`` bytes, at once."""
+    before = spark.conf.get(_ROWS), spark.conf.get(_BYTES)
+    spark.conf.set(_ROWS, str(rows))
+    spark.conf.set(_BYTES, str(size))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(_ROWS, before[0])
+        spark.conf.set(_BYTES, before[1])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

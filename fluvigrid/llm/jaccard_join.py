@@ -1,18 +1,25 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
-Documents with equal shingle sets form one class, so copies cost one entry however many they are. Shingles are
-ordered by how rare a fixed-size count sketch says they are, ties by hash. If two classes reach the similarity, they
-share a shingle of their prefixes, so entries (shingle, class, set size, position) meet by shingle.
-
-A group of classes with one shingle in common is not expanded into pairs. First each is verified against the
-smallest of the group; links give components. Only classes that failed a test or had none are then paired with
-those members of their groups that are still in other components, within the length and positional filters and the
-number of prefix shingles that a link implies, and verified once. So no link between components is lost, and a group
-of near copies costs as many tests as it has members.
+Documents with equal shingle sets form one class, so copies cost one entry however many they are. Shingles are put
+in an order that a fixed-size count sketch makes rare-first as far as it can; every class hands out a prefix of its
+shingles, longer than a link needs, so that classes that link share several. Where those meet they are counted
+exactly, and each class keeps the rarest of its shared ones, as few as must hold one that any partner keeps too.
+
+Classes with one kept shingle in common, of neighbouring size bands, are a group. A small group is expanded into
+pairs, which pass the length and positional filters and are verified once, with the suffix filter. A larger one is
+not: its hub, the member that shares most, is intersected with every other one. Members that link with the hub are
+one component. If x does not, then what x has in common with any partner cannot all lie in the hub, unless both hold
+as much of the hub as a link of their sizes takes. So x's partners share one of the rarest shingles that x has
+outside the hub: those shingles make the next round's groups, and the few members that hold that much of the hub make
+one more. A family of near copies below the threshold costs as many tests as it has members, not as pairs. Rounds
+end when no group has two components; the size up to which groups are expanded grows fourfold with each round.
+
+Sets are held as 64-bit hashes of shingles, in the verification too.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,22 +27,29 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import membership, mix64, small_batches, stored
 from .components import components
 
 SKETCH_BITS = 22
-SKETCH_SLICES = 64
+SKETCH_SLICES = 16
 #: Entries that a mapper holds before it hands them out to buckets, and documents for each bucket.
 FLUSH_ENTRIES = 250_000
 DOCS_PER_BUCKET = 2_048
 #: Classes of one shingle that meet in one bucket; beyond it (by the sketch) they are dealt over several.
 HOT_CLASSES = 20_000
-#: Pairs whose texts are in a Python worker at once.
-VERIFY_ROWS = 128
+#: The share of the least overlap by which prefixes are longer than one common shingle needs.
+EXTRA = 0.06
+#: Groups of at most so many members are expanded in the first round; four times as many in each that follows.
+SMALL_GROUP = 8
+#: Members of a star that are tested in one task.
+STAR_CHUNK = 1_000
+#: Texts that a Python worker holds at once.
+VERIFY_ROWS, VERIFY_BYTES = 128, 4 << 20
 _ENTRY = np.dtype([("t", "<u8"), ("s", "<i8"), ("n", "<i4"), ("p", "<i4")])
+_SALT = 0xD6E8FEB86659FD93
 
 
 _BASE = 0x9E3779B97F4A7C15
@@ -131,6 +145,21 @@ def least_overlap(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
+def least_partner(n: int, percent: int) -> int:
+    """The size of the smallest set that can link with one of size n, and the least overlap with any set."""
+    return -(-percent * n // 100)
+
+
+def surplus(n: int, percent: int) -> int:
+    """How many shingles the prefixes of two sets that link have in common, at least, if n is the smaller size."""
+    return max(1, int(EXTRA * least_partner(n, percent)))
+
+
+def prefix_length(n: int, percent: int) -> int:
+    """Of the common shingles the j-th, from 0, comes at n - least_partner(n) + j at the latest."""
+    return min(n, n - least_partner(n, percent) + surplus(n, percent))
+
+
 def suffix_bound(a: np.ndarray, b: np.ndarray, depth: int = 4) -> int:
     """An upper bound of the intersection: cut both at a's middle, again and again, and add up the smaller sides."""
     if depth == 0 or len(a) < 2 or len(b) < 2:
@@ -198,13 +227,13 @@ def count_sketch(passed: DataFrame) -> np.ndarray:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 totals[k] = totals.get(k, 0) + np.frombuffer(zlib.decompress(raw), "<u2").astype(np.uint64)
         if totals:
-            blobs = [np.minimum(v, 2**32 - 1).astype("<u4").tobytes() for v in totals.values()]
+            blobs = [zlib.compress(np.minimum(v, 2**32 - 1).astype("<u4").tobytes(), 1) for v in totals.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(blobs)], names=["slice", "counts"])
 
     merged = passed.where("kind = 1").select("slice", "counts").repartition(SKETCH_SLICES, "slice").mapInArrow(add, "slice int, counts binary")
     out = np.zeros(width, np.uint32)
-    for row in merged.toLocalIterator():
-        out[row["slice"] * part : (row["slice"] + 1) * part] = np.frombuffer(row["counts"], "<u4")
+    for row in merged.collect():  # all counters, 16 MB before compression whatever the input
+        out[row["slice"] * part : (row["slice"] + 1) * part] = np.frombuffer(zlib.decompress(row["counts"]), "<u4")
     return out
 
 
@@ -252,7 +281,7 @@ def prefix_entries(docs: DataFrame, words: int, percent: int, counts: np.ndarray
                 if not n or (sig := signature(s)) in seen:
                     continue
                 seen.add(sig)
-                length = n - (-(-percent * n // 100)) + 1
+                length = prefix_length(n, percent)
                 rows = np.empty(length, _ENTRY)
                 rows["t"], rows["s"], rows["n"], rows["p"] = ordered_tokens(s, ranks)[:length], sig, n, np.arange(length)
                 held.append(rows)
@@ -266,41 +295,26 @@ def prefix_entries(docs: DataFrame, words: int, percent: int, counts: np.ndarray
     return docs.select("text").mapInArrow(run, "bucket int, entries binary")
 
 
-def star_pairs(rows: np.ndarray, percent: int, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one bucket's entries: pairs (a, b, size of a, size of b, times) with the smallest class of their shingle,
-    the entries of shared shingles, and classes that no test will decide.
+def shared_rows(rows: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of one bucket's entries those whose shingle several classes have, and how many have it.
 
-    A class whose size rules out a link with the smallest of its group has failed without a test. So have the
-    classes of a hot shingle that was dealt over several buckets, as those never meet here.
+    The classes of a hot shingle that was dealt over several buckets never meet here; its count is its rank's, the
+    same in all of them and above all others.
     """
-    rows = rows[np.lexsort((rows["s"], rows["n"], rows["t"]))]
-    if len(rows):
-        fresh = np.ones(len(rows), bool)
-        fresh[1:] = (rows["t"][1:] != rows["t"][:-1]) | (rows["s"][1:] != rows["s"][:-1])
-        rows = rows[fresh]
-    same = rows["t"][1:] == rows["t"][:-1]
-    hot = spread[rows["t"] >> np.uint64(56)] > 1
-    shared = hot.copy()
-    shared[1:] |= same
-    shared[:-1] |= same
-    rows, hot = rows[shared], hot[shared]
-    if not len(rows):
-        return np.zeros((0, 5), np.int64), rows, np.zeros(0, np.int64)
-    starts = np.flatnonzero(np.concatenate(([True], rows["t"][1:] != rows["t"][:-1])))
+    rows = rows[np.lexsort((rows["s"], rows["t"]))]
+    fresh = np.ones(len(rows), bool)
+    fresh[1:] = (rows["t"][1:] != rows["t"][:-1]) | (rows["s"][1:] != rows["s"][:-1])
+    rows = rows[fresh]
+    starts = np.flatnonzero(np.concatenate(([True], rows["t"][1:] != rows["t"][:-1]))) if len(rows) else np.zeros(0, np.int64)
     lengths = np.diff(np.append(starts, len(rows)))
-    centre = np.repeat(starts, lengths)
-    member = np.arange(len(rows))
-    fits = rows["n"].astype(np.int64) * percent <= rows["n"][centre].astype(np.int64) * 100
-    test = (member != centre) & fits
-    c, m = centre[test], member[test]
-    found = np.stack([rows["s"][c], rows["s"][m], rows["n"][c], rows["n"][m]], axis=1) if len(c) else np.zeros((0, 4), np.int64)
-    pairs, times = np.unique(found, axis=0, return_counts=True) if len(found) else (found, np.zeros(0, np.int64))
-    return np.column_stack([pairs, times]), rows, np.unique(rows["s"][~fits | hot])
-
-
-def _meet(blobs: DataFrame, percent: int, buckets: int, spread: np.ndarray) -> DataFrame:
-    """Rows of three kinds from all buckets: 0 a pair (a, b) with sizes n, p met k times; 1 an entry (a = token,
-    b = class, size n, position p); 2 a class b left undecided."""
+    times = np.repeat(lengths, lengths)
+    rank = rows["t"] >> np.uint64(56)
+    times = np.where(spread[rank] > 1, (1 << 40) + rank.astype(np.int64), times)
+    return rows[times > 1], times[times > 1]
+
+
+def _meet(blobs: DataFrame, buckets: int, spread: np.ndarray) -> DataFrame:
+    """``t, s, n, p, df``: the shared entries of all buckets."""
     shared = blobs.sparkSession.sparkContext.broadcast(spread)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,60 +323,157 @@ def _meet(blobs: DataFrame, percent: int, buckets: int, spread: np.ndarray) -> D
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.setdefault(k, []).append(raw)
         for k in list(held):
-            pairs, rows, failed = star_pairs(np.frombuffer(b"".join(held.pop(k)), _ENTRY), percent, shared.value)
-            none = np.zeros(0, np.int64)
-            for kind, *columns in (
-                (0, *pairs.T),
-                (1, rows["t"].view(np.int64) if len(rows) else none, rows["s"], rows["n"], rows["p"], np.zeros(len(rows))),
-                (2, failed, failed, *[np.zeros(len(failed))] * 3),
-            ):
-                for lo in range(0, len(columns[0]), 100_000):
-                    a, b, *rest = (np.ascontiguousarray(x[lo : lo + 100_000]) for x in columns)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b), *(pa.array(x.astype(np.int32)) for x in rest)], names=["kind", "a", "b", "n", "p", "k"])
+            rows, times = shared_rows(np.frombuffer(b"".join(held.pop(k)), _ENTRY), shared.value)
+            for lo in range(0, len(rows), 100_000):
+                part = rows[lo : lo + 100_000]
+                columns = [np.ascontiguousarray(part[c]) for c in ("t", "s", "n", "p")]
+                columns[0] = columns[0].view(np.int64)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(times[lo : lo + 100_000])], names=["t", "s", "n", "p", "df"])
 
-    return blobs.repartition(buckets, "bucket").mapInArrow(run, "kind byte, a long, b long, n int, p int, k int")
+    return blobs.repartition(buckets, "bucket").mapInArrow(run, "t long, s long, n int, p int, df long")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """``a, b, ok`` for pairs of classes, computed and stored; ``texts`` is (sig, text), one row per class."""
+def _rarest(entries: DataFrame, percent: int) -> DataFrame:
+    """Of the shared entries those that each class has to keep, with ``score``, the number that it shares.
+
+    The prefixes of two sets that link have o shingles in common, where the smaller one's size gives o at least. So
+    the rarest of these is among the first (shared - o + 1) of either, rarest first: a prefix filter on prefixes.
+    """
+    by = Window.partitionBy("s")
+    own = entries.withColumn("score", F.count("*").over(by)).withColumn("at", F.row_number().over(by.orderBy("df", "t")))
+    smallest = F.ceil(F.lit(percent) * F.col("n") / 100)
+    least = F.greatest(F.lit(1), F.floor(F.lit(EXTRA) * F.ceil(F.lit(percent) * smallest / 100)))
+    return own.where(F.col("at") <= F.col("score") - least + 1)
+
+
+def _first_groups(kept: DataFrame, percent: int) -> DataFrame:
+    """``g, s, n, p, score``: members of groups by shingle and size band.
+
+    A band is narrower than the ratio of sizes that a link allows by nothing but rounding, so linked classes are in
+    one band or in neighbouring ones: each member goes to its own band's group and to the one below.
+    """
+    band = F.floor(F.log("n") / F.lit(math.log(100 / percent * (1 + 1e-9)))).cast("int")
+    return kept.select(F.explode(F.array(band, band - 1)).alias("b"), "t", "s", "n", "p", "score").select(F.xxhash64("t", "b").alias("g"), "s", "n", "p", "score")
+
+
+def _pack(kind: int, a, b, n, p, ok) -> pa.RecordBatch:
+    m = len(a)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(m, kind, np.int8)), pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b, np.int64)), pa.array(np.asarray(n, np.int32)), pa.array(np.asarray(p, np.int32)), pa.array(np.asarray(ok, bool))],
+        names=["kind", "a", "b", "n", "p", "ok"],
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, np.ndarray] | None = None
-        for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ok = []
-            for i in range(len(a)):
-                if last is None or last[0] != a[i]:
-                    last = (a[i], shingle_sets([batch.column(2)[i].as_py()], words)[0])
-                ok.append(linked(last[1], shingle_sets([batch.column(3)[i].as_py()], words)[0], percent))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
-
-    second = pairs.join(texts.select(F.col("sig").alias("b"), F.col("text").alias("text_b")), "b")
-    both = second.join(texts.select(F.col("sig").alias("a"), F.col("text").alias("text_a")), "a")
-    judged = both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, ok boolean")
-    with small_batches(pairs.sparkSession, VERIFY_ROWS):
-        return stored(judged, "tested")
 
+def star_member(centre: np.ndarray, own: np.ndarray, smallest: int, percent: int, ranks: np.ndarray) -> tuple[bool, np.ndarray, bool]:
+    """(linked, shingles outside the centre that its next groups go by, whether it holds enough of the centre).
 
-def least_shared(n: Column, m: Column, percent: int) -> Column:
-    """How many prefix shingles two classes of sizes n and m have in common, at least, if they link.
+    ``smallest`` is the smallest size among the star's members, so no partner asks for less than ``least``.
+    """
+    n, m = len(own), len(centre)
+    inside = centre[np.minimum(np.searchsorted(centre, own), m - 1)] == own
+    common = int(inside.sum())
+    ok = common >= least_overlap(n, m, percent)
+    least = max(least_partner(n, percent), least_overlap(n, smallest, percent))
+    outside = ordered_tokens(own[~inside], ranks)
+    return ok, outside[: max(0, len(outside) - max(1, least - common) + 1)], common >= least and (not ok or n < m)
+
+
+def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int, ranks: np.ndarray) -> DataFrame:
+    """Judge pairs (a, b, star, smallest) of classes; computed and stored; ``texts`` is (s, text), one row per class.
 
-    Each lacks at most its size less the least overlap; what both prefixes hold of the overlap is its beginning.
+    Rows of kind 0 are ``a, b, ok`` for every pair; of kind 1, for members b of a star around a, groups of the next
+    round: ``a`` names the group, ``b`` is the member, ``n`` its size and ``p`` the shingle's place among those.
+    Each centre's text comes once to every chunk of its members.
     """
-    need = F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
-    prefix = lambda x: x - F.ceil(F.lit(percent) * x / F.lit(100)) + 1
-    return F.greatest(F.lit(1), F.least(prefix(n) - n + need, prefix(m) - m + need))
+    shared = pairs.sparkSession.sparkContext.broadcast(ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre: tuple[int, np.ndarray] | None = None
+        for batch in batches:
+            a, b, star, smallest = (batch.column(i).to_pylist() for i in (0, 2, 3, 4))
+            sets = shingle_sets(batch.column(5).to_pylist(), words)
+            tested, groups = [], []
+            for i, own in enumerate(sets):
+                if b[i] is None:
+                    centre = (a[i], own)
+                    continue
+                assert centre is not None and centre[0] == a[i]
+                if not star[i]:
+                    tested.append((a[i], b[i], linked(centre[1], own, percent)))
+                    continue
+                ok, tokens, holds = star_member(centre[1], own, smallest[i], percent, shared.value)
+                tested.append((a[i], b[i], ok))
+                salt = np.uint64(a[i] * _SALT & (1 << 64) - 1)
+                names = mix64(np.append(tokens, np.zeros(int(holds), np.uint64)) ^ salt).view(np.int64)
+                groups.append((names, np.full(len(names), b[i]), np.full(len(names), len(own)), np.arange(len(names))))
+            if tested:
+                x, y, ok = zip(*tested, strict=True)
+                yield _pack(0, x, y, np.zeros(len(x)), np.zeros(len(x)), ok)
+            if any(len(g[0]) for g in groups):
+                g, s, n, p = (np.concatenate(c) for c in zip(*groups, strict=True))
+                yield _pack(1, g, s, n, p, np.zeros(len(g)))
+
+    chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR_CHUNK).alias("chunks"))
+    dealt = stored(pairs.join(chunks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"), "b", "star", "smallest"), "dealt")
+    none = F.lit(None)
+    centres = dealt.select("a", "chunk").distinct().join(texts, F.col("a") == F.col("s")).select("a", "chunk", none.cast("long").alias("b"), F.lit(False).alias("star"), F.lit(0).alias("smallest"), "text")
+    members = dealt.join(texts, F.col("b") == F.col("s")).select("a", "chunk", "b", "star", "smallest", "text")
+    ordered = centres.unionByName(members).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
+    judged = ordered.mapInArrow(run, "kind byte, a long, b long, n int, p int, ok boolean")
+    with small_batches(pairs.sparkSession, VERIFY_ROWS, VERIFY_BYTES):
+        return stored(judged, "tested")
 
 
-def extra_prefix(n: Column, m: Column, need: Column, percent: int) -> Column:
-    """By how much the shortest prefixes that find a pair of sizes n and m are prolonged.
+def _round_pairs(members: DataFrame, small: int, percent: int) -> DataFrame:
+    """``a, b, star, smallest`` of the groups of ``members`` (g, s, n, p, score, c) that hold two components.
 
-    A class lacks at most its size less ``need`` of a common overlap, so the first size - need + 1 + e shingles of
-    both hold the first 1 + e of it. A quarter more keeps out pairs that meet in a few shingles only, while what all
-    of a family has in common stays behind what each has alone. No longer than the prefixes that were kept.
+    Small groups give the pairs across components that pass the length and positional filters, others their hub with
+    every other member. A pair that both kinds give is the star's.
     """
-    kept = lambda x: need - F.ceil(F.lit(percent) * x / F.lit(100))
-    return F.greatest(F.lit(0), F.least(F.floor((F.least(n, m) - need) / 4), kept(n), kept(m)))
+    hub = F.max(F.struct("score", "s", "n"))
+    groups = members.groupBy("g").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1"), hub.alias("hub"))
+    groups = groups.where("c0 <> c1").select("g", "size", "hub")
+    here = stored(members.join(groups, "g"), "groups")
+    few = here.where(F.col("size") <= small)
+    x, y = (few.select("g", *[F.col(k).alias(f"{v}_{k}") for k in ("s", "n", "p", "c")]) for v in "xy")
+    need = F.ceil(F.lit(percent) * (F.col("x_n") + F.col("y_n")) / F.lit(100 + percent))
+    length = F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent
+    # the shared shingle and at most what follows it in the shorter rest can be in common, besides what came before
+    bound = F.least("x_p", "y_p") + 1 + F.least(F.col("x_n") - F.col("x_p") - 1, F.col("y_n") - F.col("y_p") - 1)
+    position = F.coalesce(bound >= need, F.lit(True))
+    expanded = x.join(y, "g").where((F.col("x_s") < F.col("y_s")) & (F.col("x_c") != F.col("y_c")) & length & position)
+    expanded = expanded.select(F.col("x_s").alias("a"), F.col("y_s").alias("b"), F.lit(False).alias("star"), F.lit(0).alias("smallest"))
+    stars = here.where((F.col("size") > small) & (F.col("s") != F.col("hub.s"))).select(F.col("hub.s").alias("a"), F.col("s").alias("b"), "n")
+    least = stars.groupBy("a").agg(F.min("n").alias("smallest"))
+    stars = stars.select("a", "b").distinct().join(least, "a").select("a", "b", F.lit(True).alias("star"), "smallest")
+    both = expanded.unionByName(stars).groupBy("a", "b").agg(F.max(F.struct("star", "smallest")).alias("m"))
+    return both.select("a", "b", "m.*")
+
+
+def _links(entries: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int, ranks: np.ndarray) -> DataFrame:
+    """Verified links (a, b) that connect all that link at all."""
+    kept = stored(_first_groups(_rarest(entries, percent), percent), "kept")
+    met = kept.groupBy("g").agg(F.min("s").alias("s0"), F.max("s").alias("s1")).where("s0 <> s1").select("g")
+    members = kept.join(met, "g", "left_semi").withColumn("c", F.col("s"))
+    members = stored(members, "members")
+    wanted = stored(classes.join(members.select(F.col("s").alias("sig")).distinct(), "sig").select(F.col("sig").alias("s"), "rep.key"), "wanted")
+    near = membership(wanted, "key")(docs.select(_row_key().alias("key"), "text"), "key").where("_member").drop("_member")
+    texts = stored(wanted.join(near, "key").select("s", "text").dropDuplicates(["s"]), "candidates")
+    scores = members.groupBy("s").agg(F.max("score").alias("score"))
+    links, small = None, SMALL_GROUP
+    while True:
+        pairs = _round_pairs(members, small, percent)
+        tested = verify(pairs, texts, words, percent, ranks)
+        more = tested.where("kind = 0 and ok").select("a", "b")
+        links = more if links is None else links.unionByName(more)
+        groups = tested.where("kind = 1")
+        if not groups.limit(1).count():
+            return links
+        known = components(links)
+        following = groups.select(F.col("a").alias("g"), F.col("b").alias("s"), "n", F.lit(None).cast("int").alias("p")).distinct().join(scores, "s")
+        members = following.join(known.select(F.col("node").alias("s"), "component"), "s", "left")
+        members = stored(members.select("g", "s", "n", "p", "score", F.coalesce("component", "s").alias("c")), "members")
+        small *= 4
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -389,64 +500,13 @@ def _first_rows(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, D
     classes = stored(summary.where("n > 0").groupBy("sig").agg(F.min(row).alias("rep")), "classes")
     buckets = max(1, summary.count() // DOCS_PER_BUCKET)
     counts = count_sketch(passed)
-    met = stored(_meet(prefix_entries(docs, words, percent, counts, buckets), percent, buckets, hot_spread(counts)), "met")
-    entries = met.where("kind = 1").select(F.col("a").alias("t"), F.col("b").alias("s"), "n", "p")
-
-    def texts(pairs: DataFrame, name: str) -> DataFrame:
-        """(sig, text) of the classes in ``pairs``: documents are thinned out before they are shuffled."""
-        nodes = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
-        wanted = stored(classes.join(nodes, "sig").select("sig", "rep.key"), name)
-        near = membership(wanted, "key")(docs.select(_row_key().alias("key"), "text"), "key").where("_member").drop("_member")
-        return wanted.join(near, "key").select("sig", "text").dropDuplicates(["sig"])
-
-    # tested first: pairs that meet often enough to be promising; the rest is left to the second round
-    pairs = met.where("kind = 0").groupBy("a", "b").agg(F.first("n").alias("n"), F.first("p").alias("p"), F.sum("k").alias("k"))
-    pairs = stored(pairs.withColumn("test", F.col("k") * 4 >= least_shared(F.col("n"), F.col("p"), percent)), "pairs")
-    promising = pairs.where("test").select("a", "b")
-    tested = verify(promising, texts(promising, "ends"), words, percent)
-    undecided = met.where("kind = 2").select(F.col("b").alias("s")).union(pairs.where("not test").select(F.col("b").alias("s")))
-    failed = stored(undecided.union(tested.where("not ok").select(F.col("b").alias("s"))).distinct(), "failed")
-    links = tested.where("ok").select("a", "b")
-    if failed.limit(1).count():
-        more = stored(_second_round(entries, failed, tested, links, percent), "more")
-        links = links.unionByName(verify(more, texts(more, "ends"), words, percent).where("ok").select("a", "b"))
+    entries = stored(_meet(prefix_entries(docs, words, percent, counts, buckets), buckets, hot_spread(counts)), "met")
+    links = _links(entries, docs, classes, words, percent, sketch_ranks(counts))
     found = components(links)
     named = classes.join(found, classes["sig"] == found["node"], "left").select("sig", F.coalesce("component", "sig").alias("c"), "rep")
     return summary, named.join(named.groupBy("c").agg(F.min("rep").alias("first")), "c").select("sig", "first")
 
 
-def _second_round(entries: DataFrame, failed: DataFrame, tested: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Untested pairs (a, b) of different components, one of them failed or undecided, that pass all filters.
-
-    In each group the classes of its commonest component need no pairs among themselves: every other class is paired
-    with the group, and pairs must share as many prefix shingles as a link implies.
-    """
-    known = components(links)
-    tokens = entries.join(failed, "s", "left_semi").select("t").distinct()
-    near = entries.join(tokens, "t", "left_semi").join(known.select(F.col("node").alias("s"), "component"), "s", "left")
-    near = near.select("t", "s", "n", "p", F.coalesce("component", "s").alias("c"))
-    sizes = near.groupBy("t", "c").agg(F.count("*").alias("m"))
-    common = sizes.groupBy("t").agg(F.max_by("c", F.struct("m", "c")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    flagged = near.join(failed.withColumn("f", F.lit(True)), "s", "left")
-    near = stored(flagged.join(common, "t").select("t", "s", "n", "p", "c", F.coalesce("f", F.lit(False)).alias("f"), (F.col("c") != F.col("most")).alias("odd")), "near")
-    x = near.where("odd").select("t", *[F.col(k).alias(f"x_{k}") for k in ("s", "n", "p", "c", "f")])
-    y = near.select("t", *[F.col(k).alias(f"y_{k}") for k in ("s", "n", "p", "c", "f", "odd")])
-    need = F.ceil(F.lit(percent) * (F.col("x_n") + F.col("y_n")) / F.lit(100 + percent))
-    length = F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent
-    # the shared shingle and at most what follows it in the shorter rest can be in common, besides what came before
-    position = F.least("x_p", "y_p") + 1 + F.least(F.col("x_n") - F.col("x_p") - 1, F.col("y_n") - F.col("y_p") - 1) >= need
-    once = ~F.col("y_odd") | (F.col("x_s") < F.col("y_s"))
-    extra = extra_prefix(F.col("x_n"), F.col("y_n"), need, percent)
-    early = (F.col("x_p") <= F.col("x_n") - need + extra) & (F.col("y_p") <= F.col("y_n") - need + extra)
-    met = x.join(y, "t").where((F.col("x_c") != F.col("y_c")) & once & length & early & position & (F.col("x_f") | F.col("y_f")))
-    shorter_first = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_s") < F.col("y_s")))
-    pick = lambda one, two: F.when(shorter_first, F.col(one)).otherwise(F.col(two))
-    rows = met.select(pick("x_s", "y_s").alias("a"), pick("y_s", "x_s").alias("b"), pick("x_n", "y_n").alias("n"), pick("y_n", "x_n").alias("m"))
-    overlap = F.ceil(F.lit(percent) * (F.col("n") + F.col("m")) / F.lit(100 + percent))
-    often = rows.groupBy("a", "b", "n", "m").agg(F.count("*").alias("k")).where(F.col("k") > extra_prefix(F.col("n"), F.col("m"), overlap, percent))
-    return often.select("a", "b").join(tested.select("a", "b"), ["a", "b"], "left_anti")
-
-
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row of every component, all columns: that with the smallest id; of repeated rows with that id and text, one.
 
@@ -455,8 +515,9 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     """
     summary, named = _first_rows(docs, words, percent)
     bare = summary.where("n = 0")
-    kept = named.select("first.key").distinct().union(bare.where("doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("key")).select("key"))
-    kept = kept.withColumn("_each", F.lit(False)).union(bare.where("doc_id is null").select("key").distinct().withColumn("_each", F.lit(True))).withColumnRenamed("key", "_kept")
-    rows = docs.withColumn("_row", _row_key()).join(kept, F.col("_row") == F.col("_kept"))
-    own = rows.withColumn("_own", F.when(F.col("_each"), F.monotonically_increasing_id()))
-    return own.dropDuplicates(["_row", "_own"]).drop("_row", "_kept", "_each", "_own")
+    own = bare.where("doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("key")).select("key")
+    kept = named.select("first.key").distinct().union(own).select("key", F.lit(False).alias("each"))
+    kept = kept.union(bare.where("doc_id is null").select("key").distinct().withColumn("each", F.lit(True))).withColumnRenamed("key", "kept")
+    rows = docs.select(_row_key().alias("key"), F.struct("*").alias("doc")).join(kept, F.col("key") == F.col("kept"))
+    one = rows.where("not each").dropDuplicates(["key"])
+    return one.select("doc.*").unionByName(rows.where("each").select("doc.*"))

@@ -349,6 +349,23 @@ def test_jaccard(spark, monkeypatch, hot):
     assert got == brute_components(texts, 4, 85)
 
 
+def test_jaccard_families(spark, monkeypatch):
+    """Families around the threshold, of many sizes: stars, groups outside hubs and groups within them."""
+    monkeypatch.setattr(jaccard_join, "SMALL_GROUP", 2)
+    monkeypatch.setattr(jaccard_join, "STAR_CHUNK", 7)
+    rng, texts = random.Random(11), []
+    for f, (words, most) in enumerate([(90, 9), (40, 4), (150, 5)]):
+        base = prose(words, 200 + f).split()
+        for k in range(50):
+            w = list(base)
+            for _ in range(rng.randrange(most)):
+                w[rng.randrange(words)] = f"new{rng.randrange(40)}" if k % 2 else prose(1, rng.random())
+            at = rng.randrange(4) if k % 3 == 0 else 0
+            texts.append(" ".join(w[at : words - (rng.randrange(words // 5) if k % 5 == 0 else 0)] + (["more"] * 3 + base[:6] if k % 7 == 0 else [])))
+    got = [tuple(r)[1:] for r in jaccard_join.jaccard_components(documents(spark, texts), 4, 85).orderBy("doc_id").collect()]
+    assert got == brute_components(texts, 4, 85)
+
+
 def test_one_of_each(spark):
     t = prose(50, 1)
     docs = documents(spark, [t, t + " x", prose(50, 2), None, None, ""])
