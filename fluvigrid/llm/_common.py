@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import re
+import shutil
 import tempfile
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +21,16 @@ _OWN: list[str] = []
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder that ``spark.checkpoint.dir`` names.
 
-    Only where that setting is absent (tests, a single machine) is a folder of our own made.
+    Only on a single machine, where that setting may be absent (tests), is a folder of our own made, which goes when
+    the process ends; on a cluster an absent setting is an error, as executors don't see each other's disks.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="fluvigrid-"))
+            atexit.register(shutil.rmtree, _OWN[0], True)
             spark.sparkContext.setCheckpointDir(_OWN[0])
         base = _OWN[0]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -62,6 +71,18 @@ def small_batches(spark: SparkSession, rows: int, size: int = BATCH_BYTES):
         spark.conf.set(_BYTES, before[1])
 
 
+def tidy(run):
+    """``run`` over Arrow batches; at a task's end the worker, which lives on, hands unused memory back."""
+
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # a C library without it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,9 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._common import bounded_batches, stored, tidy
+
 #: Edits allowed for each character of a test item.
 ERROR_RATE = 0.07
-#: Items are broadcast in blocks of at most so many characters; each block is one pass over the documents.
+#: Items whose normal form is shorter are no evidence in the middle of a word or with an edit: they must occur as they are, as whole words.
+LEAST_CHARS = 40
+#: Items are broadcast in blocks of about so many characters, one block after another; each is one pass over the documents.
 BLOCK_CHARS = 4 << 20
 _OTHER = re.compile(r"[\W_]+")
 
@@ -68,13 +72,21 @@ def pieces(item: str, errors: int) -> list[tuple[int, str]]:
 
 @dataclass(frozen=True)
 class Matcher:
-    """The items of one block: (id, normal form) with the error rate."""
+    """The items of one block: (id, normal form) with the error rate and the length from which it holds."""
 
     items: tuple[tuple[int, str], ...]
     rate: float
+    least_chars: int = LEAST_CHARS
 
     def errors(self, item: str) -> int:
-        return int(len(item) * self.rate)
+        return int(len(item) * self.rate) if len(item) >= self.least_chars else 0
+
+    def short_match(self, item: str, text: str, starts: list[int]) -> int | None:
+        """The first of ``starts`` where the item stands as whole words."""
+        for s in sorted(starts):
+            if (s == 0 or text[s - 1] == " ") and text[s + len(item) : s + len(item) + 1] in ("", " "):
+                return s
+        return None
 
     def automaton(self):
         import ahocorasick
@@ -112,6 +124,10 @@ class Matcher:
         for k, at in starts.items():
             item_id, item = self.items[k]
             errors = self.errors(item)
+            if len(item) < self.least_chars:
+                if (s := self.short_match(item, text, at)) is not None:
+                    out.append((item_id, 0, s, s + len(item)))
+                continue
             best = None
             lo = hi = None
             for s in [*sorted(at), None]:
@@ -126,21 +142,23 @@ class Matcher:
                     lo, hi = (s - errors if lo is None else lo), s + len(item) + errors
             if best:
                 out.append(best)
-        return sorted(out)
+        return sorted(out, key=lambda m: (m[0] is not None, *m) if m[0] is not None else (False, 0, *m[1:]))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _compiled(matcher: Matcher):
     return matcher.automaton()
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, least_chars: int = 40) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, least_chars: int = LEAST_CHARS) -> DataFrame:
     """``doc_id, item_id, distance, start, end``: every (document, item) with an occurrence within the error budget.
 
-    Positions are in the normal form. Items whose normal form is shorter than ``least_chars`` are too short to be
-    evidence and are not searched; null or empty documents and items match nothing; repeated rows are reported each;
-    null ids stay null. An empty benchmark or document table gives no rows.
+    Positions are in the normal form. Items whose normal form is shorter than ``least_chars`` are searched without
+    edits, as whole words; null or empty documents and items match nothing; repeated documents are reported each,
+    repeated items once; null ids stay null. An empty benchmark or document table gives no rows. The benchmark's
+    blocks are searched one after another, so no task or driver holds more than one.
     """
+    bounded_batches(docs.sparkSession)
     id_type, item_type = docs.schema["doc_id"].dataType, benchmark.schema["item_id"].dataType
     schema = T.StructType([
         T.StructField("doc_id", id_type), T.StructField("item_id", item_type), T.StructField("distance", T.IntegerType()),
@@ -158,23 +176,29 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=schema.names)
 
-        return docs.select("doc_id", "text").mapInArrow(run, schema)
+        return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
-    found = [searched(shared) for shared in _blocks(benchmark, rate, least_chars)]
+    found = [out for _, out in _over_blocks(benchmark, rate, least_chars, lambda shared, _: searched(shared))]
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
-def _blocks(benchmark: DataFrame, rate: float, least_chars: int) -> list:
-    """The items as broadcast matchers of at most about BLOCK_CHARS characters each."""
-    items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
+def _over_blocks(benchmark: DataFrame, rate: float, least_chars: int, search) -> Iterator[tuple[int, DataFrame]]:
+    """(block, search(broadcast matcher, block)) for blocks of the items; all but the last result are stored and their broadcast dropped."""
+    items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = -(-total // BLOCK_CHARS)
-    out = []
+    block_of = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
+    if n_blocks > 1:
+        items = stored(items.withColumn("block", block_of), "items")
     for block in range(n_blocks):
-        part = items.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == block).collect()
-        known = [(r.item_id, n) for r in part if len(n := normal_form(r.text)) >= least_chars]
-        out.append(benchmark.sparkSession.sparkContext.broadcast(Matcher(tuple(sorted(known, key=str)), rate)))
-    return out
+        part = (items.where(F.col("block") == block) if n_blocks > 1 else items).collect()
+        known = [(r.item_id, n) for r in part if (n := normal_form(r.text))]
+        shared = benchmark.sparkSession.sparkContext.broadcast(Matcher(tuple(sorted(known, key=str)), rate, least_chars))
+        out = search(shared, block)
+        if block < n_blocks - 1:
+            out = stored(out, "leaks")
+            shared.destroy()
+        yield block, out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
@@ -185,11 +209,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options: object) -> Da
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, least_chars: int = 40) -> DataFrame:
-    """The documents without an occurrence of a benchmark item, all columns; narrow passes, no shuffle."""
-    at = docs.columns.index("text")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """The documents without an occurrence of a benchmark item, all columns; narrow passes, no shuffle.
+
+    Null and empty texts hold nothing and stay; repeated rows are judged each; an empty benchmark drops nothing.
+    """
+    bounded_batches(docs.sparkSession)
+    at, left = docs.columns.index("text"), docs
 
-    def kept(left: DataFrame, shared) -> DataFrame:
+    def kept(shared, _: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = shared.value
             compiled = _compiled(matcher)
@@ -197,6 +225,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR
                 clean = [not matcher.matches(normal_form(t), compiled) for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        return left.mapInArrow(run, docs.schema)
+        return left.mapInArrow(tidy(run), docs.schema)
 
-    return reduce(kept, _blocks(benchmark, rate, least_chars), docs)
+    for _, left in _over_blocks(benchmark, rate, least_chars, kept):
+        pass
+    return left

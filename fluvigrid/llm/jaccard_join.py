@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import membership, mix64, small_batches, stored
+from ._common import bounded_batches, membership, mix64, small_batches, stored, tidy
 from .components import components
 
 SKETCH_BITS = 22
@@ -54,7 +54,7 @@ _SALT = 0xD6E8FEB86659FD93
 
 _BASE = 0x9E3779B97F4A7C15
 #: Bytes hashed together, at most, unless one text is longer; such a text is hashed alone.
-BUFFER = 1 << 20
+BUFFER = 1 << 18
 
 
 @lru_cache(maxsize=1)
@@ -213,7 +213,7 @@ def summarise(docs: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int8)), pa.nulls(m, id_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(range(m), pa.int32()), pa.array(blobs), pa.nulls(m, pa.int64())], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", _row_key()).mapInArrow(run, f"kind byte, doc_id {kind}, n long, sig long, slice int, counts binary, key long")
+    return docs.select("doc_id", "text", _row_key()).mapInArrow(tidy(run), f"kind byte, doc_id {kind}, n long, sig long, slice int, counts binary, key long")
 
 
 def count_sketch(passed: DataFrame) -> np.ndarray:
@@ -230,7 +230,7 @@ def count_sketch(passed: DataFrame) -> np.ndarray:
             blobs = [zlib.compress(np.minimum(v, 2**32 - 1).astype("<u4").tobytes(), 1) for v in totals.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(blobs)], names=["slice", "counts"])
 
-    merged = passed.where("kind = 1").select("slice", "counts").repartition(SKETCH_SLICES, "slice").mapInArrow(add, "slice int, counts binary")
+    merged = passed.where("kind = 1").select("slice", "counts").repartition(SKETCH_SLICES, "slice").mapInArrow(tidy(add), "slice int, counts binary")
     out = np.zeros(width, np.uint32)
     for row in merged.collect():  # all counters, 16 MB before compression whatever the input
         out[row["slice"] * part : (row["slice"] + 1) * part] = np.frombuffer(zlib.decompress(row["counts"]), "<u4")
@@ -292,7 +292,7 @@ def prefix_entries(docs: DataFrame, words: int, percent: int, counts: np.ndarray
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "bucket int, entries binary")
+    return docs.select("text").mapInArrow(tidy(run), "bucket int, entries binary")
 
 
 def shared_rows(rows: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -330,7 +330,7 @@ def _meet(blobs: DataFrame, buckets: int, spread: np.ndarray) -> DataFrame:
                 columns[0] = columns[0].view(np.int64)
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(times[lo : lo + 100_000])], names=["t", "s", "n", "p", "df"])
 
-    return blobs.repartition(buckets, "bucket").mapInArrow(run, "t long, s long, n int, p int, df long")
+    return blobs.repartition(buckets, "bucket").mapInArrow(tidy(run), "t long, s long, n int, p int, df long")
 
 
 def _rarest(entries: DataFrame, percent: int) -> DataFrame:
@@ -419,7 +419,7 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int, ranks:
     centres = dealt.select("a", "chunk").distinct().join(texts, F.col("a") == F.col("s")).select("a", "chunk", none.cast("long").alias("b"), F.lit(False).alias("star"), F.lit(0).alias("smallest"), "text")
     members = dealt.join(texts, F.col("b") == F.col("s")).select("a", "chunk", "b", "star", "smallest", "text")
     ordered = centres.unionByName(members).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
-    judged = ordered.mapInArrow(run, "kind byte, a long, b long, n int, p int, ok boolean")
+    judged = ordered.mapInArrow(tidy(run), "kind byte, a long, b long, n int, p int, ok boolean")
     with small_batches(pairs.sparkSession, VERIFY_ROWS, VERIFY_BYTES):
         return stored(judged, "tested")
 
@@ -494,6 +494,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
 def _first_rows(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The summary (doc_id, n, sig, key) of every row, and of every class ``sig, first``: its component's row with the
     smallest id, as (no_id, doc_id, key). Rows without an id come last."""
+    bounded_batches(docs.sparkSession)
     passed = stored(summarise(docs, words), "sets")
     summary = passed.where("kind = 0").select("doc_id", "n", "sig", "key")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")

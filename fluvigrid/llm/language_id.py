@@ -19,12 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._common import bounded_batches, tidy
+
 #: Labelled rows to fit on, at most: those with the smallest hashes of their id.
 SAMPLE_ROWS = 4_000
 BITS = 16
 ORDERS = (1, 2, 3)
 #: Code points scored at once; longer texts are scored piece by piece and summed.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 @lru_cache(maxsize=1)
@@ -112,6 +114,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, bits: int = BITS, s
 
     Each task counts its texts' n-grams; counts meet per language and bucket, at most languages x 2^bits rows.
     """
+    bounded_batches(labelled.sparkSession)
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.xxhash64(F.lit(17), "doc_id").alias("h"))
     edge = rows.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
     if edge is None:
@@ -132,7 +135,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, bits: int = BITS, s
             full = np.append(np.flatnonzero(total), -1)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(full)), pa.array(full), pa.array(np.append(total[full[:-1]], docs[lang]))], names=["lang", "bucket", "n"])
 
-    counted = rows.where(F.col("h") <= edge).select("text", "lang").mapInArrow(count, "lang string, bucket long, n long")
+    counted = rows.where(F.col("h") <= edge).select("text", "lang").mapInArrow(tidy(count), "lang string, bucket long, n long")
     got: pd.DataFrame = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = tuple(sorted(got["lang"].unique(), key=lambda s: s.encode()))
     table, docs = np.full((1 << bits, len(langs)), smoothing), np.zeros(len(langs))
@@ -150,6 +153,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     Null texts and texts without a letter are ``und`` with score 0, as is everything where no language was learned.
     Columns of ``docs`` with the new names are replaced; repeated rows are judged each.
     """
+    bounded_batches(docs.sparkSession)
     own = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
     narrow = docs.select(*[f"`{f.name}`" for f in own])
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -161,7 +165,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             langs, score = shared.value.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score)], names=schema.names)
 
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(tidy(run), schema)
 
 
 def reject_unknown(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
@@ -174,4 +178,4 @@ def reject_unknown(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
             langs, score = shared.value.predict(batch.column(at).to_pylist())
             yield batch.filter(pa.array([lang != "und" and s >= least_score for lang, s in zip(langs, score, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

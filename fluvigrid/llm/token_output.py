@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ._common import bounded_batches, tidy
+
 END_ID = 1
-#: Words that a worker remembers; beyond it the memo starts anew. About 100 bytes each.
-MEMO_WORDS = 1_000_000
+#: Words that a worker remembers; beyond it the memo starts anew. About 200 bytes each.
+MEMO_WORDS = 400_000
 #: New words encoded in one call.
 JOINED_WORDS = 256
 #: Ids in one Arrow batch of the writer's input, so that a batch stays small however long texts are.
-BATCH_IDS = 1_000_000
+BATCH_IDS = 500_000
 WRITER = {
     "parquet.writer.version": "PARQUET_2_0",
     "parquet.enable.dictionary": "true",
@@ -100,7 +102,8 @@ class WordEncoder:
         joined = f" {SEPARATOR} "
         for at in range(0, len(new), JOINED_WORDS):
             part = new[at : at + JOINED_WORDS]
-            ids = np.array(self.tokenizer.encode(joined.join(part), add_special_tokens=False).ids, "<u4")
+            (got,) = self.tokenizer.encode_batch_fast([joined.join(part)], add_special_tokens=False)  # ids without offsets
+            ids = np.array(got.ids, "<u4")
             cuts = np.flatnonzero(ids == self.separator)
             raw = ids.tobytes()
             for word, lo, hi in zip(part, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)], strict=True):
@@ -151,9 +154,10 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID)
                 start += int(offsets[-1])
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "shard", "shard_start", "n_tokens", "ids"])
 
+    bounded_batches(docs.sparkSession)
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return ordered.mapInArrow(run, f"doc_id {kind}, shard int, shard_start long, n_tokens long, ids array<int>")
+    return ordered.mapInArrow(tidy(run), f"doc_id {kind}, shard int, shard_start long, n_tokens long, ids array<int>")
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID) -> None:
@@ -191,4 +195,4 @@ def digest(read: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     kind = read.schema["doc_id"].dataType.simpleString()
-    return read.select("doc_id", "start", "n_tokens", "ids").mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return read.select("doc_id", "start", "n_tokens", "ids").mapInArrow(tidy(run), f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
