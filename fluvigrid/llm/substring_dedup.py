@@ -8,13 +8,15 @@ anchor, and equal windows hold equal anchors at equal places. So suffixes are so
    bytes that windows around it can reach. Prefix polynomial hashes give every hash by one subtraction.
 2. Equal contexts meet by hash: all their windows are repeated. Only keys with different contexts need a sort, and
    one copy of each context is sent there, however often it occurs.
-3. Within a key the suffixes that start at the anchor, and the reversed ones that end there, are merge-sorted;
+3. Keys with more contexts than one task should sort are split as a quicksort of suffixes does: every context is
+   compared with a pivot, byte by byte. What it shares with the pivot is settled; another context can only share
+   more with it if it leaves the pivot at the same byte, before the anchor or after it. Those are its next groups.
+4. Within a group the suffixes that start at the anchor, and the reversed ones that end there, are merge-sorted;
    common extensions are found by binary search over prefix hashes and then checked byte by byte. Neighbours'
    extensions give, for each window, the classes of equal left and right parts; windows whose two classes occur
    together twice are repeated.
-4. Spans go back to all anchors of their context and are united per document.
-
-Keys with more contexts than one task should sort are decided window by window, by digests that meet in any task.
+5. All windows around an anchor hold it, so what the repeated ones cover is one run. Runs go back to all anchors of
+   their context and are united per document.
 """
 
 from __future__ import annotations
@@ -27,15 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import membership, mix64, stored
+from ._common import bounded_batches, membership, mix64, stored, tidy
 
 LENGTH = 400
 CORE = 64
 #: Bytes hashed together; longer documents are cut into pieces that overlap by what their windows need.
-BUFFER = 1 << 20
-#: Contexts sorted together, and contexts of one key beyond which its windows are compared by digests.
-SORT_ROWS = 4_096
-HOT_CONTEXTS = 6_000
+BUFFER = 1 << 18
+#: Contexts sorted together, and contexts compared with a pivot in one task.
+SORT_ROWS = 2_048
+PIVOT_ROWS = 4_096
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -144,24 +146,28 @@ def _pieces(docs: list[bytes], length: int) -> Iterator[tuple[list[tuple[int, in
 
 
 def find_anchors(docs: DataFrame, length: int, core: int) -> DataFrame:
-    """``doc_id, tag, pos, key, ctx``; the tag is a hash of the text, which tells rows with one id apart."""
+    """``doc_id, tag, pos, key, ctx``, once per row and place; the tag is a hash of the text, which tells rows with one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
+            last, known = -1, np.zeros(0, np.int64)
             for owners, data, (starts, ends, w0, w1) in _pieces(raw, length):
                 piece, pos, key, ctx = anchors(data, starts, ends, w0, w1, length, core)
                 doc = np.array([o[0] for o in owners])[piece] if len(piece) else piece
-                offset = (np.array([o[1] for o in owners]) - starts)[piece] if len(piece) else piece
+                at = pos + (np.array([o[1] for o in owners]) - starts)[piece] if len(piece) else piece
+                if len(owners) == 1:  # a piece of a long document finds anchors at its beginning again
+                    new = ~np.isin(at, known) if owners[0][0] == last else np.ones(len(at), bool)
+                    last, known = owners[0][0], at
+                    doc, at, key, ctx = doc[new], at[new], key[new], ctx[new]
                 rows = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(pos + offset), pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64))],
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at), pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64))],
                     names=["doc_id", "tag", "pos", "key", "ctx"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    # a piece of a long document finds the anchors at its ends again: they are the same rows
-    return docs.select("doc_id", "tag", "text").mapInArrow(run, f"doc_id {kind}, tag int, pos long, key long, ctx long")
+    return docs.select("doc_id", "tag", "text").mapInArrow(tidy(run), f"doc_id {kind}, tag int, pos long, key long, ctx long")
 
 
 class Suffixes:
@@ -249,13 +255,13 @@ class Suffixes:
         return out
 
 
-def repeated_spans(groups: np.ndarray, lefts: list[bytes], rights: list[bytes], length: int, core: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_runs(groups: np.ndarray, lefts: list[bytes], rights: list[bytes], length: int, core: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, from, to) relative to the anchor: what windows repeated within a group cover. Rows of a group differ."""
     right, left = Suffixes(rights, groups), Suffixes([x[::-1] for x in lefts], groups)
     (ro, re), (lo, le) = right.sorted_extensions(), left.sorted_extensions()
-    n, reach = len(groups), length - core
-    dup = np.zeros((reach + 3, n), bool)  # windows that begin l bytes before the anchor, between two empty rows
-    for back in range(reach + 1):
+    n = len(groups)
+    first, last = np.full(n, -1), np.full(n, -1)
+    for back in range(length - core + 1):  # windows that begin so many bytes before the anchor
         a, b = left.classes(lo, le, back), right.classes(ro, re, length - back)
         ok = np.flatnonzero((a >= 0) & (b >= 0))
         both = a[ok] * (n + 1) + b[ok]
@@ -265,100 +271,147 @@ def repeated_spans(groups: np.ndarray, lefts: list[bytes], rights: list[bytes],
         twice = np.zeros(len(both), bool)
         twice[1:] |= same
         twice[:-1] |= same
-        dup[back + 1, ok[order[twice]]] = True
-    edge = dup[1:].astype(np.int8) - dup[:-1]
-    row_in, first = np.nonzero(edge.T == 1)
-    row_out, after = np.nonzero(edge.T == -1)
-    return row_in, -(after - 1), length - first
+        found = ok[order[twice]]
+        first[found] = np.where(first[found] < 0, back, first[found])
+        last[found] = back
+    rows = np.flatnonzero(last >= 0)
+    return rows, -last[rows], length - first[rows]
+
+
+def common_runs(pivot: tuple[bytes, bytes], lefts: list[bytes], rights: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """How many bytes each context shares with the pivot before the anchor, and from it on."""
+    out = []
+    for own, rows in ((pivot[0][::-1], [x[::-1] for x in lefts]), (pivot[1], rights)):
+        width = max([1, len(own), *map(len, rows)])
+        table = np.full((len(rows), width), 256, np.uint16)
+        for i, r in enumerate(rows):
+            table[i, : len(r)] = np.frombuffer(r, np.uint8)
+        one = np.full(width, 257, np.uint16)
+        one[: len(own)] = np.frombuffer(own, np.uint8)
+        differ = table != one
+        out.append(np.where(differ.any(axis=1), differ.argmax(axis=1), width))
+    return out[0], out[1]
+
+
+def split_groups(members: DataFrame, length: int) -> DataFrame:
+    """One step of the quicksort over groups (g, key, ctx, n, before, after) too large to sort: computed and stored.
 
+    Rows of kind 0 are runs ``key, ctx, lo, hi`` that a context, or the pivot, shares with the other; rows of kind 1
+    name in ``lo`` a group of the next step for (key, ctx).
+    """
 
-def sort_contexts(contexts: DataFrame, length: int, core: int) -> DataFrame:
-    """``key, ctx, lo, hi`` of (key, ctx, before, after): partitions hold whole keys, in order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot: tuple[int, int, tuple[bytes, bytes]] | None = None
+        for batch in batches:
+            g, role, key, ctx, before, after = (c.to_pylist() for c in batch.columns)
+            cuts = [0, *(i for i in range(1, len(g)) if role[i] == 0), len(g)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if role[a] == 0:
+                    pivot, a = (g[a], ctx[a], (before[a], after[a])), a + 1
+                assert pivot is not None
+                if a == b:
+                    continue
+                left, right = common_runs(pivot[2], before[a:b], after[a:b])
+                rows = []
+                good = np.flatnonzero(left + right >= length)
+                if len(good):
+                    rows.append((0, key[a], pivot[1], -int(left[good].max()), int(right[good].max())))
+                for i in range(a, b):
+                    x, y = int(left[i - a]), int(right[i - a])
+                    if x + y >= length:
+                        rows.append((0, key[i], ctx[i], -x, y))
+                    for side, shared, text in ((1, x, before[i][::-1]), (2, y, after[i])):
+                        if shared < len(text):
+                            name = np.array([((g[i] * 0x9E3779B97F4A7C15 + side) ^ (shared << 8 | text[shared]) * 0xD6E8FEB86659FD93) & (1 << 64) - 1], np.uint64)
+                            rows.append((1, key[i], ctx[i], int(mix64(name).view(np.int64)[0]), 0))
+                if rows:
+                    kind, *rest = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int8()), *(pa.array(c, pa.int64()) for c in rest)], names=["kind", "key", "ctx", "lo", "hi"])
+
+    pivots = members.groupBy("g", "n").agg(F.min(F.struct("ctx", "before", "after")).alias("p"))
+    chunks = F.ceil(F.col("n") / PIVOT_ROWS)
+    sent = pivots.select("g", F.explode(F.sequence(F.lit(0), chunks.cast("int") - 1)).alias("chunk"), F.lit(0).alias("role"), F.lit(None).cast("long").alias("key"), "p.ctx", "p.before", "p.after")
+    others = members.join(pivots.select("g", F.col("p.ctx").alias("own")), "g").where("ctx <> own")
+    dealt = others.select("g", F.pmod(F.xxhash64("ctx"), chunks).cast("int").alias("chunk"), F.lit(1).alias("role"), "key", "ctx", "before", "after")
+    ordered = sent.unionByName(dealt).repartition("g", "chunk").sortWithinPartitions("g", "chunk", "role")
+    return stored(ordered.select("g", "role", "key", "ctx", "before", "after").mapInArrow(tidy(run), "kind byte, key long, ctx long, lo long, hi long"), "split")
+
+
+def sort_groups(members: DataFrame, length: int, core: int) -> DataFrame:
+    """``key, ctx, lo, hi`` of groups (g, key, ctx, before, after): partitions hold whole groups, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], tuple[bytes, bytes]] = {}
+        held: dict[tuple[int, int], tuple[int, bytes, bytes]] = {}
 
         def flush() -> pa.RecordBatch:
-            keys = np.array([k for k, _ in held], np.int64)
+            groups = np.array([g for g, _ in held], np.int64)
             ctx = np.array([c for _, c in held], np.int64)
-            rows, lo, hi = repeated_spans(keys, [x for x, _ in held.values()], [y for _, y in held.values()], length, core)
-            return pa.RecordBatch.from_arrays([pa.array(keys[rows]), pa.array(ctx[rows]), pa.array(lo), pa.array(hi)], names=["key", "ctx", "lo", "hi"])
+            key = np.array([x[0] for x in held.values()], np.int64)
+            rows, lo, hi = repeated_runs(groups, [x[1] for x in held.values()], [x[2] for x in held.values()], length, core)
+            return pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(ctx[rows]), pa.array(lo), pa.array(hi)], names=["key", "ctx", "lo", "hi"])
 
         last = None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if len(held) >= SORT_ROWS and row[0] != last:
+            for g, key, ctx, before, after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if len(held) >= SORT_ROWS and g != last:
                     yield flush()
                     held.clear()
-                last = row[0]
-                held[row[0], row[1]] = (row[2], row[3])
+                last = g
+                held[g, ctx] = (key, before, after)
         if held:
             yield flush()
 
-    dealt = contexts.select("key", "ctx", "before", "after").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "key long, ctx long, lo long, hi long")
+    dealt = members.select("g", "key", "ctx", "before", "after").repartition("g").sortWithinPartitions("g")
+    return dealt.mapInArrow(tidy(run), "key long, ctx long, lo long, hi long")
 
 
-def digest_contexts(contexts: DataFrame, length: int, core: int, steps: tuple[int, ...] = (80, 20, 5, 1)) -> DataFrame:
-    """The same for keys with very many contexts, by digests that meet in any task.
+def _shared_runs(cut: DataFrame, length: int, core: int) -> list[DataFrame]:
+    """``key, ctx, lo, hi``: runs that different contexts (key, ctx, n, before, after) of a key have in common.
 
-    Windows go in blocks of neighbours. What all windows of a block span together, if it occurs twice, makes all of
-    them repeated; what they have in common, if it does not, none of them. Only blocks between these are cut into
-    smaller ones, down to single windows, with one context standing for those that agree in the whole block.
+    ``n`` counts the contexts of the key; only groups too large to sort are written again.
     """
-    whole = contexts.select("key", "ctx", F.concat("before", "after").alias("bytes"), F.length("before").alias("reach"), F.length("after").alias("ahead"))
-    first = F.greatest(F.lit(0), F.lit(length) - F.col("ahead"))
-    able = whole.where(first <= F.col("reach"))
-    open_, settled = able.select("key", "ctx", first.alias("lo"), F.col("reach").alias("hi")), []
-    cut = lambda back, end: F.xxhash64(F.col("bytes").substr(F.col("reach") - back + F.lit(1), back + end))  # noqa: E731  from back before the anchor to end after it
-    for step in steps:
-        dealt = open_.select("*", F.explode(F.sequence(F.floor(F.col("lo") / step), F.floor(F.col("hi") / step))).alias("block"))
-        bounds = dealt.withColumn("b0", (F.col("block") * step).cast("int")).withColumn("b1", F.least(F.col("b0") + step - 1, F.lit(length - core)))
-        ranges = bounds.select("key", "ctx", "b0", "b1", F.greatest("lo", "b0").alias("lo"), F.least("hi", "b1").alias("hi"))
-        # blocks that the document's ends clip have no span of their own, so they are never settled by it
-        unclipped = (F.col("lo") == F.col("b0")) & (F.col("hi") == F.col("b1"))
-        span = F.when(unclipped, cut(F.col("b1"), F.lit(length) - F.col("b0"))).alias("span")
-        hashed = stored(ranges.join(able, ["key", "ctx"]).select("key", "ctx", "b0", "b1", "lo", "hi", span, cut(F.col("b0"), F.lit(length) - F.col("b1")).alias("shared")), "blocks")
-        spans = hashed.where("span is not null").groupBy("key", "b0", "span").agg(F.min("ctx").alias("one"), F.max("ctx").alias("other")).where("one <> other").select("key", "b0", "span", "one")
-        commons = hashed.groupBy("key", "b0", "shared").agg(F.min("ctx").alias("x"), F.max("ctx").alias("y")).where("x <> y").select("key", "b0", "shared")
-        left = hashed.join(commons, ["key", "b0", "shared"], "left_semi")
-        judged = stored(left.join(spans, ["key", "b0", "span"], "left").select("key", "ctx", "b0", "b1", "lo", "hi", "one"), "judged")
-        settled.append(judged.where("one is not null").select("key", "ctx", (-F.col("b1")).cast("long").alias("lo"), (F.lit(length) - F.col("b0")).cast("long").alias("hi")))
-        open_ = judged.where("one is null or one = ctx").select("key", "ctx", "lo", "hi")
-    return reduce(DataFrame.unionByName, settled)
+    out = []
+    members = cut.withColumn("g", F.col("key"))
+    hot = members.where(F.col("n") > SORT_ROWS).select("key", "ctx", "before", "after")
+    while True:
+        out.append(sort_groups(members.where(F.col("n") <= SORT_ROWS), length, core))
+        large = members.where(F.col("n") > SORT_ROWS)
+        if not large.limit(1).count():
+            return out
+        split = split_groups(large, length)
+        out.append(split.where("kind = 0").select("key", "ctx", "lo", "hi"))
+        groups = split.where("kind = 1").select(F.col("lo").alias("g"), "key", "ctx")
+        sizes = groups.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+        members = stored(groups.join(sizes, "g").join(hot, ["key", "ctx"]), "members")
 
 
 def _cut_contexts(wanted: DataFrame, docs: DataFrame, length: int, core: int) -> DataFrame:
-    """``key, ctx, before, after``: the bytes around one occurrence of each wanted context."""
-    places = wanted.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("pos", "key", "ctx")).alias("places"))
+    """``key, ctx, n, before, after``: the bytes around one occurrence of each wanted context."""
+    places = wanted.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("pos", "key", "ctx", "n")).alias("places"))
     raw = F.encode(F.coalesce("text", F.lit("")), "utf-8")
     places = stored(places, "places")
     d, w = membership(places, "doc_id")(docs.select("doc_id", "tag", "text"), "doc_id").where("_member").alias("d"), places.alias("w")
     texts = d.join(w, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.tag") == F.col("w.tag"))).select(raw.alias("raw"), F.explode("places").alias("p"))
     reach = F.least(F.col("p.pos"), F.lit(length - core)).cast("int")
     at = F.col("p.pos").cast("int")
-    return texts.select("p.key", "p.ctx", F.col("raw").substr(at - reach + F.lit(1), reach).alias("before"), F.col("raw").substr(at + F.lit(1), F.lit(length)).alias("after"))
+    return texts.select("p.key", "p.ctx", "p.n", F.col("raw").substr(at - reach + F.lit(1), reach).alias("before"), F.col("raw").substr(at + F.lit(1), F.lit(length)).alias("after"))
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, core: int = CORE) -> DataFrame:
     """``doc_id, tag, spans``: for each document with repeated strings the byte spans that they cover (not united)."""
     found = stored(find_anchors(docs, length, core), "anchors")
     place = F.struct("doc_id", "tag", "pos")
-    contexts = found.groupBy("key", "ctx").agg(F.min(place).alias("one"), F.max(place).alias("other"))
-    contexts = stored(contexts.select("key", "ctx", "one", (F.col("one") != F.col("other")).alias("twice")), "contexts")
+    contexts = found.groupBy("key", "ctx").agg(F.min(place).alias("one"), F.count("*").alias("times"))
+    contexts = stored(contexts.select("key", "ctx", "one", (F.col("times") > 1).alias("twice")), "contexts")
     keys = contexts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    sized = contexts.join(keys, "key")
-    wanted = sized.select("key", "ctx", "n", "one.*")
+    wanted = contexts.join(keys, "key").select("key", "ctx", "n", "one.*")
     cut = stored(_cut_contexts(wanted, docs, length, core), "cut")
-    hot = keys.where(F.col("n") > HOT_CONTEXTS).select("key")
-    spans = sort_contexts(cut.join(hot, "key", "left_anti"), length, core)
-    if hot.limit(1).count():
-        spans = spans.unionByName(digest_contexts(cut.join(hot, "key", "left_semi"), length, core))
     whole = contexts.where("twice").select("key", "ctx", F.lit(core - length).cast("long").alias("lo"), F.lit(length).cast("long").alias("hi"))
-    covered = stored(spans.unionByName(whole).groupBy("key", "ctx").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "covered")
-    here = found.join(covered, ["key", "ctx"]).select("doc_id", "tag", "pos", F.explode("spans").alias("s"))
-    moved = F.struct(F.greatest(F.lit(0), F.col("pos") + F.col("s.lo")).alias("lo"), (F.col("pos") + F.col("s.hi")).alias("hi"))
-    return here.select("doc_id", "tag", moved.alias("s")).groupBy("doc_id", "tag").agg(F.collect_set("s").alias("spans"))
+    runs = reduce(DataFrame.unionByName, _shared_runs(cut, length, core), whole)
+    covered = stored(runs.groupBy("key", "ctx").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "covered")
+    moved = F.struct(F.greatest(F.lit(0), F.col("pos") + F.col("lo")).alias("lo"), (F.col("pos") + F.col("hi")).alias("hi"))
+    here = found.join(covered, ["key", "ctx"]).select("doc_id", "tag", moved.alias("s"))
+    return here.groupBy("doc_id", "tag").agg(F.collect_set("s").alias("spans"))
 
 
 def remove_repeated(docs: DataFrame, length: int = LENGTH, core: int = CORE) -> DataFrame:
@@ -366,9 +419,12 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, core: int = CORE) ->
 
     Strings are judged on the input; matches never cross documents and overlaps count, within a document too. Null
     and empty texts have no bytes and nothing removed; documents shorter than ``length`` stay whole; of equal
-    documents every copy goes. Rows that share an id are documents of their own if their texts differ, and one
-    document, reported for each row, if not. An empty table gives no rows; extra columns are not read.
+    documents every copy goes. Every row is a document, whatever its id: equal rows repeat each other. Ids may be null.
+    Very long texts are searched in pieces, whole. An empty table gives no rows; extra columns are not read.
+
+    Contexts that agree in full are matched by two 64-bit hashes; those that differ are compared byte by byte.
     """
+    bounded_batches(docs.sparkSession)
     tagged = docs.select("doc_id", "text", F.hash("text").alias("tag"))
     spans = stored(repeated(tagged, length, core), "spans")
 
@@ -395,10 +451,10 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, core: int = CORE) ->
     t, s = marked.where("_member").alias("t"), spans.alias("s")
     joined = t.join(s, F.col("t.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("t.tag") == F.col("s.tag")), "left").select("t.doc_id", "t.text", "s.spans")
     untouched = marked.where("not _member").select("doc_id", "text", F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>").alias("spans"))
-    return joined.unionByName(untouched).mapInArrow(run, f"doc_id {kind}, n_bytes long, spans array<struct<lo:long,hi:long>>, kept binary")
+    return joined.unionByName(untouched).mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, spans array<struct<lo:long,hi:long>>, kept binary")
 
 
 def digest(removed: DataFrame) -> DataFrame:
-    """The digest columns of the contract."""
+    """The digest columns of the contract, and whether the document held a repeat."""
     width = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["hi"] - s["lo"])
-    return removed.select("doc_id", "n_bytes", width.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return removed.select("doc_id", "n_bytes", width.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), (F.size("spans") > 0).alias("repeated"))

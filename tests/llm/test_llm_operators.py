@@ -143,16 +143,36 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [substring_dedup.HOT_CONTEXTS, 1])
-def test_repeats(spark, monkeypatch, hot):
-    monkeypatch.setattr(substring_dedup, "HOT_CONTEXTS", hot)
-    monkeypatch.setattr(substring_dedup, "SORT_ROWS", 16)
+@pytest.mark.parametrize("most", [16, 1])
+def test_repeats(spark, monkeypatch, most):
+    monkeypatch.setattr(substring_dedup, "SORT_ROWS", most)
+    monkeypatch.setattr(substring_dedup, "PIVOT_ROWS", 3)
     p, q = prose(30, 1), prose(30, 2)
     texts = [p, p, prose(9, 3) + p[10:120] + prose(9, 4), q + " x " + q[5:90], "ab" * 100, "é" * 70, None, "", "short", p[:60] + "#" + p[61:], prose(200, 5), prose(3, 6) + p[20:75] + "!" + q[20:80]]
     for k in range(6):
         texts.append(prose(4, 20 + k) + q[30 - k : 80 + 2 * k] + prose(4, 40 + k))
+    for k in range(25):  # one passage among different neighbours, some of which agree a little further
+        texts.append(prose(4, k)[: k % 9] + "nba"[k % 3 :] + p[40 : 100 + k % 4] + "xyz"[: k % 4] + prose(4, 70 + k))
     got = substring_dedup.digest(substring_dedup.remove_repeated(documents(spark, texts), 40, 8)).orderBy("doc_id").collect()
-    assert [tuple(r)[1:] for r in got] == brute_repeats(texts, 40)
+    assert [tuple(r)[1:-1] for r in got] == brute_repeats(texts, 40)
+    assert all(r["repeated"] == (r["n_removed"] > 0) for r in got)
+
+
+def test_repeats_of_equal_rows_and_null_ids(spark):
+    texts = [prose(30, 1), prose(30, 1), prose(30, 2), prose(30, 2), prose(30, 3), "", None]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in zip([1, 1, None, None, None, None, None], texts, strict=True)], "doc_id long, text string, spans int")
+    got = substring_dedup.digest(substring_dedup.remove_repeated(docs, 40, 8)).collect()
+    want = [(i, *r) for i, r in zip([1, 1, None, None, None, None, None], brute_repeats(texts, 40), strict=True)]
+    assert sorted(map(str, (tuple(r)[:-1] for r in got))) == sorted(map(str, want))
+    assert substring_dedup.remove_repeated(docs.where("false")).count() == 0
+
+
+def test_repeats_in_a_very_long_text(spark):
+    rng = np.random.default_rng(5)
+    text = rng.integers(97, 123, 1_300_000, dtype=np.uint8).tobytes().decode()
+    text = text[:900_000] + text[1_000:2_000] + text[900_000:]
+    got = substring_dedup.digest(substring_dedup.remove_repeated(documents(spark, [text, text[130_500:131_500]]))).orderBy("doc_id").collect()
+    assert [(r["n_removed"], r["n_spans"]) for r in got] == [(3_000, 3), (1_000, 1)]
 
 
 def test_long_documents_are_cut_consistently(monkeypatch):
@@ -315,6 +335,21 @@ def test_leaks(spark):
     assert decontaminate.contaminated(docs, bench.where("false")).count() == 0 and decontaminate.drop_contaminated(docs.where("false"), bench).count() == 0
 
 
+def test_short_items_blocks_and_nulls(spark, monkeypatch):
+    long = prose(30, 91)
+    items = [(1, "What is Π?"), (2, "two"), (3, long), (4, None), (5, "..."), (None, "null id item"), (2, "two")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [(0, "ask: what IS π"), (1, "what is πi"), (2, "twofold, one-two"), (3, "twofold"), (None, "x " + long + " y"), (5, None), (6, ""), (7, "a null id item"), (7, "a null id item"), (8, "wha is π")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    want = sorted([(0, 1), (2, 2), (None, 3), (7, None), (7, None)], key=str)
+    for chars in (decontaminate.BLOCK_CHARS, 40):
+        monkeypatch.setattr(decontaminate, "BLOCK_CHARS", chars)
+        got = decontaminate.find_leaks(docs, bench).collect()
+        assert sorted(((r["doc_id"], r["item_id"]) for r in got), key=str) == want and {r["distance"] for r in got} == {0}
+        kept = decontaminate.drop_contaminated(docs, bench).collect()
+        assert sorted(map(str, kept)) == sorted(str(r) for r in docs.collect() if r["doc_id"] in (1, 3, 5, 6, 8))
+
+
 # 9
 
 
