@@ -11,6 +11,7 @@ through the tokenizer itself.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from itertools import compress, repeat
@@ -18,6 +19,7 @@ from operator import is_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +30,8 @@ END_ID = 1
 MEMO_WORDS = 400_000
 #: New words encoded in one call.
 JOINED_WORDS = 256
-#: Ids in one Arrow batch of the writer's input, so that a batch stays small however long texts are.
-BATCH_IDS = 500_000
+#: Characters encoded together, so that a batch stays small however long texts are.
+BATCH_CHARS = 2_000_000
 WRITER = {
     "parquet.writer.version": "PARQUET_2_0",
     "parquet.enable.dictionary": "true",
@@ -65,49 +67,80 @@ def folded(text: str) -> str:
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that the byte-level splitter writes for bytes: printable ones for themselves, 256 upwards for the rest."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordEncoder:
-    """Texts to little-endian uint32 ids, through a memo of words."""
+    """Texts to little-endian uint32 ids, through a memo of words that a batch looks up once for each different word."""
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.memo: dict[str, bytes] = {"": b""}
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.memo: dict[str, bytes] = {}
         (self.separator,) = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        words = [folded(t).split(" ") for t in texts]
-        known = [list(map(self.memo.get, w)) for w in words]
-        lacking = [i for i, k in enumerate(known) if None in k]
-        new: set[str] = set()
-        for i in lacking:
-            new.update(compress(words[i], map(is_, known[i], repeat(None))))
+    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of each text with the end id, how many; all ids one after another)."""
+        words = pc.split_pattern(pa.array([folded(t) for t in texts], pa.string()), " ")
+        coded = words.values.dictionary_encode()
+        known = [*self._ids(coded.dictionary.to_pylist()), np.array([end_id], "<u4").tobytes()]
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        start = np.cumsum(size) - size
+        ends = words.offsets.to_numpy()[1:]
+        word = np.insert(coded.indices.to_numpy(), ends, len(known) - 1)
+        n = size[word]
+        stops = np.cumsum(n)
+        at = np.repeat(start[word] - (stops - n), n)
+        at += np.arange(len(at))
+        return np.diff(stops[ends + np.arange(len(ends))], prepend=0), np.frombuffer(b"".join(known), "<u4")[at]
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of different words."""
+        known = list(map(self.memo.get, words))
+        new = list(compress(words, map(is_, known, repeat(None))))
         if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo = {"": b""}
-            lacking = range(len(texts))
-            new = set().union(*words)
-            new.discard("")
-        self._learn(list(new))
-        for i in lacking:
-            known[i] = map(self.memo.__getitem__, words[i])
-        return [b"".join(k) for k in known]
-
-    def _learn(self, new: list[str]) -> None:
-        """Encode words that the memo lacks."""
-        memo, odd = self.memo, [w for w in new if SEPARATOR in w]
+            self.memo, new = {}, words
+        learned = self._learn(new)
+        if len(learned) <= MEMO_WORDS:
+            self.memo.update(learned)
+        return [learned[w] if k is None or w in learned else k for w, k in zip(words, known, strict=True)]
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Encode words. One of lower-case letters of the first 256 characters passes the normaliser and the splitter
+        unchanged, so it goes to the tokenizer's model; others take the whole way, many at once."""
+        out: dict[str, bytes] = {"": b""}
+        rest, tokenize, letters = [], self.model.tokenize, self.letters
+        for word in new:
+            if word.isascii():
+                plain = word if word.isalpha() and word.islower() else None
+            else:
+                raw = word.encode("utf-8")
+                plain = raw.decode("latin-1").translate(letters) if max(word) < "\u0100" and word.isalpha() and word == word.lower() else None
+            if plain is None:
+                rest.append(word)
+            else:
+                out[word] = struct.pack(f"<{len(t := tokenize(plain))}I", *[x.id for x in t])
+        odd = [w for w in rest if SEPARATOR in w]
         for word in odd:
-            memo[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if odd:
-            new = [w for w in new if SEPARATOR not in w]
+            out[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        rest = [w for w in rest if w and SEPARATOR not in w]
         joined = f" {SEPARATOR} "
-        for at in range(0, len(new), JOINED_WORDS):
-            part = new[at : at + JOINED_WORDS]
+        for at in range(0, len(rest), JOINED_WORDS):
+            part = rest[at : at + JOINED_WORDS]
             (got,) = self.tokenizer.encode_batch_fast([joined.join(part)], add_special_tokens=False)  # ids without offsets
             ids = np.array(got.ids, "<u4")
             cuts = np.flatnonzero(ids == self.separator)
             raw = ids.tobytes()
             for word, lo, hi in zip(part, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)], strict=True):
-                memo[word] = raw[lo:hi]
+                out[word] = raw[lo:hi]
+        return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -142,14 +175,12 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID)
         from pyspark import TaskContext
 
         enc, shard, start = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for lo, hi in _grouped(texts, 2 * BATCH_IDS):
-                ids = [x + end for x in enc.encode(texts[lo:hi])]
-                counts = np.array([len(x) // 4 for x in ids], np.int64)
+            for lo, hi in _grouped(texts, BATCH_CHARS):
+                counts, ids = enc.encode(texts[lo:hi], end_id)
                 offsets = np.concatenate(([0], np.cumsum(counts)))
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view("<i4")))
                 columns = [batch.column(0).slice(lo, hi - lo), pa.array(np.full(hi - lo, shard, np.int32)), pa.array(start + offsets[:-1]), pa.array(counts), lists]
                 start += int(offsets[-1])
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "shard", "shard_start", "n_tokens", "ids"])
