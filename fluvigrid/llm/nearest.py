@@ -2,8 +2,9 @@
 
 Vectors are packed into blocks of bounded size: int8 codes with a scale and the norm of what rounding lost. Query
 blocks meet candidate blocks in tiles. A tile's int8 products give every inner product to within a bound; a pair
-that its bound cannot rule out is computed again in double precision. Tiles give each query's best few, and the
-heaps of all tiles are merged. The bounds are strict, so the result is exact: recall is 1.
+that its bound cannot rule out within the tile survives, and of all tiles' survivors those that the merged bounds
+cannot rule out are computed again in double precision and ranked. Tiles carry codes and four figures a vector; the
+vectors themselves meet the few survivors in the end. The bounds are strict, so the result is exact: recall is 1.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import bounded_batches, stored, tidy
+
 #: Rows of a block: tiles of 1,024 queries x 4,096 candidates take 32 MB in double precision.
 QUERY_BLOCK = 1_024
 CANDIDATE_BLOCK = 4_096
-_BLOCK = "dim int, block int, ids binary, vectors binary, codes binary, stats binary"
+_BLOCK = "dim int, block int, ids binary, codes binary, stats binary"
 
 
 def usable(vector: Column) -> Column:
@@ -37,16 +40,8 @@ def quantise(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.stack([scale, norm(coded), norm(vectors - coded), norm(vectors)], axis=1)
 
 
-def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row-wise inner products in double precision, summed from the first component to the last."""
-    out = np.zeros(len(a))
-    for k in range(a.shape[1]):
-        out += a[:, k] * b[:, k]
-    return out
-
-
-def tile(queries: dict[str, np.ndarray], candidates: dict[str, np.ndarray], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, candidate ids, scores), best first, of each query of a tile: at most k."""
+def tile(queries: dict[str, np.ndarray], candidates: dict[str, np.ndarray], k: int) -> tuple[np.ndarray, ...]:
+    """(query id, candidate id, low, high) of the pairs whose upper bound reaches the query's k-th lower bound in the tile."""
     qs, cs = queries["stats"], candidates["stats"]
     # products of codes are whole numbers below 2^24 for up to 1,040 components: exact in float32
     kind = np.float32 if queries["codes"].shape[1] <= 1040 else np.float64
@@ -58,15 +53,7 @@ def tile(queries: dict[str, np.ndarray], candidates: dict[str, np.ndarray], k: i
     width = low.shape[1]
     least = np.partition(low, width - k, axis=1)[:, width - k] if width > k else np.full(len(low), -np.inf)
     q, c = np.nonzero((near + bound >= least[:, None]) & ~own)
-    scores = np.concatenate([inner(queries["vectors"][q[i : i + 65536]], candidates["vectors"][c[i : i + 65536]]) for i in range(0, len(q), 65536)] or [np.zeros(0)])
-    ids = candidates["ids"][c]
-    order = np.lexsort((ids, -scores, q))
-    q, ids, scores = q[order], ids[order], scores[order]
-    starts = np.searchsorted(q, np.arange(len(low) + 1))
-    for i in range(len(low)):
-        upto = min(starts[i] + k, starts[i + 1])
-        if upto > starts[i]:
-            yield int(queries["ids"][i]), ids[starts[i] : upto], scores[starts[i] : upto]
+    return queries["ids"][q], candidates["ids"][c], low[q, c], near[q, c] + bound[q, c]
 
 
 def _pack(rows: DataFrame, blocks: Column) -> DataFrame:
@@ -81,7 +68,7 @@ def _pack(rows: DataFrame, blocks: Column) -> DataFrame:
         codes, stats = quantise(vectors)
         return pa.table({
             "dim": pa.array([dim], pa.int32()), "block": pa.array([block], pa.int32()), "ids": [ids[order].tobytes()],
-            "vectors": [vectors.tobytes()], "codes": [codes.tobytes()], "stats": [stats.astype("<f8").tobytes()],
+            "codes": [codes.tobytes()], "stats": [stats.astype("<f8").tobytes()],
         })
 
     keyed = rows.select("id", "vector", F.size("vector").alias("dim"), blocks.alias("block"))
@@ -92,7 +79,6 @@ def _unpack(row: dict, prefix: str) -> dict[str, np.ndarray]:
     ids, dim = np.frombuffer(row[f"{prefix}ids"], "<i8"), row["dim"]
     return {
         "ids": ids,
-        "vectors": np.frombuffer(row[f"{prefix}vectors"], "<f8").reshape(len(ids), dim),
         "codes": np.frombuffer(row[f"{prefix}codes"], np.int8).reshape(len(ids), dim),
         "stats": np.frombuffer(row[f"{prefix}stats"], "<f8").reshape(len(ids), 4),
     }
@@ -103,16 +89,20 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
 
     Ties go to the smaller id. Vectors that are null, empty, zero, or hold null or non-finite components take no
     part; vectors meet those of the same length only. ``queries`` is a condition on the rows. Rows without an id
-    take no part. A query's own row (by id) is no candidate; fewer candidates than k give as many rows.
+    take no part; of rows that share an id one stands for all, the one with the largest vector, component by
+    component, so neighbours are distinct. A query's own row (by id) is no candidate; fewer candidates than k give
+    as many rows. Other columns are not read.
     """
+    bounded_batches(vectors.sparkSession)
     good = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull())
     rows = good.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), queries.alias("query"))
+    rows = stored(rows.groupBy("id").agg(F.max("vector").alias("vector"), F.max("query").alias("query")), "vectors")
     total, asked = rows.agg(F.count("*"), F.count_if("query")).first()
     n_blocks, q_blocks = max(1, -(-total // CANDIDATE_BLOCK)), max(1, -(-asked // QUERY_BLOCK))
     spread = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(n)).cast("int")
     candidates = _pack(rows.select("id", "vector"), spread(n_blocks, 1))
     asking = _pack(rows.where("query").select("id", "vector"), spread(q_blocks, 2))
-    renamed = asking.select("dim", *[F.col(c).alias(f"q_{c}") for c in ("ids", "vectors", "codes", "stats")])
+    renamed = asking.select("dim", *[F.col(c).alias(f"q_{c}") for c in ("ids", "codes", "stats")])
     # every query block is dealt to every candidate block of its dimension: a tile for each pair of blocks
     dealt = renamed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     tiles = candidates.join(dealt.hint("shuffle_hash"), ["dim", "block"]).repartition(max(1, min(n_blocks * q_blocks, 20_000)), "block", F.xxhash64("q_ids"))
@@ -121,11 +111,17 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                got = list(tile(_unpack(row, "q_"), _unpack(row, ""), k))
-                if got:
-                    ids = np.repeat([g[0] for g in got], [len(g[1]) for g in got])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([g[1] for g in got])), pa.array(np.concatenate([g[2] for g in got]))], names=["query_id", "vec_id", "score"])
-
-    heaps = tiles.mapInArrow(run, "query_id long, vec_id long, score double")
+                yield pa.RecordBatch.from_arrays([*map(pa.array, tile(_unpack(row, "q_"), _unpack(row, ""), k))], names=["query_id", "vec_id", "low", "high"])
+
+    survivors = tiles.mapInArrow(tidy(run), "query_id long, vec_id long, low double, high double")
+    # the k-th best lower bound of all tiles; without k of them nothing is ruled out
+    by_low = Window.partitionBy("query_id").orderBy(F.desc("low"), "vec_id")
+    least = F.min(F.when(F.col("at") == k, F.col("low"))).over(Window.partitionBy("query_id"))
+    near = survivors.withColumn("at", F.row_number().over(by_low)).withColumn("least", least).where("least is null or high >= least")
+    pairs = near.select("query_id", "vec_id")
+    q, c = rows.where("query").select(F.col("id").alias("query_id"), F.col("vector").alias("q")), rows.select(F.col("id").alias("vec_id"), F.col("vector").alias("c"))
+    # summed from the first component to the last
+    score = F.aggregate(F.zip_with("q", "c", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+    scored = pairs.join(c, "vec_id").join(q, "query_id").select("query_id", "vec_id", score.alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return heaps.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
