@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import stored
+
 WORD = r"[^\x20\x09-\x0D]+"
 ROWS_PER_BUCKET = 5_000
 
@@ -51,16 +53,18 @@ def mix_sources(
     share: float = 1.5,
     most_epochs: float = 2,
     seed: str = "mix",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Every document with ``doc_id, source, size, source_size, target, taken``.
+    """Every document with ``doc_id, source, size, source_size, target, taken``, and the columns in ``keep``.
 
     ``taken`` counts the words that the mix takes, repeats included: whole epochs of the source, then the documents
     in key order until the budget floor(target) ends, the last one in part. So a source's ``taken`` adds up to
     floor(target) exactly. Null texts have size 0 and nothing is taken of them; null sources form one source;
     repeated ids share a key and go by size. An empty table gives no rows.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    buckets = max(1, docs.count() // ROWS_PER_BUCKET)
+    # whole texts are read once for their sizes, which are then a small table
+    sized = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *keep), "sizes")
+    buckets = max(1, sized.count() // ROWS_PER_BUCKET)
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     bucket = F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(2**32)).cast("long")
     keyed = sized.withColumn("key", key).withColumn("bucket", bucket)
@@ -77,18 +81,21 @@ def mix_sources(
     epochs = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(0).cast("long")
     left = F.floor("target").cast("long") - epochs * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), left - (F.col("base") + F.col("upto") - F.col("size"))))
-    return joined.select("doc_id", "r.source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+    return joined.select("doc_id", "r.source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"), *keep)
 
 
 def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
     """The documents of the mix, whole texts, with the columns of ``docs``: each as often as the mix takes it.
 
     A document whose share is cut is kept for that round where at least half of it is taken; documents without
-    words are kept once, as they cost nothing.
+    words are kept once, as they cost nothing. Rows are told apart by id, source and text, nulls included; equal rows
+    come as often as the mix takes them together.
     """
+    row = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("source").isNull(), "source", F.col("text").isNull(), "text")
+    keyed = docs.select(row.alias("mix_row"), F.struct("*").alias("doc"))
     rounds = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).cast("int")
-    times = mix_sources(docs, **options).select("doc_id", rounds.alias("rounds")).where("rounds > 0")
-    times = times.groupBy("doc_id").agg(F.max("rounds").alias("rounds"))
-    d, t = docs.select(F.struct("*").alias("doc")).alias("d"), times.alias("t")
-    kept = d.join(t, F.col("d.doc.doc_id").eqNullSafe(F.col("t.doc_id"))).select("d.doc", F.explode(F.sequence(F.lit(1), F.col("t.rounds"))))
+    mixed = mix_sources(docs.select("doc_id", "source", "text", row.alias("mix_row")), keep=("mix_row",), **options)
+    times = mixed.groupBy("mix_row").agg(F.sum(rounds).cast("int").alias("rounds")).where("rounds > 0")
+    one = keyed.groupBy("mix_row").agg(F.first("doc").alias("doc"))
+    kept = one.join(times, "mix_row").select("doc", F.explode(F.sequence(F.lit(1), F.col("rounds"))))
     return kept.select("doc.*")
