@@ -38,8 +38,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, which arrive in two lots at one ledger: what the first has scanned the second doesn't."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return secret_scan.digest(secret_scan.scan_versions(docs, secret_scan.fresh_ledger(docs)))
+    ledger, second = secret_scan.fresh_ledger(docs), F.xxhash64("doc_id") < 0
+    lots = [secret_scan.scan_versions(docs.where(lot), ledger) for lot in (~second, second)]
+    return secret_scan.digest(lots[0].unionByName(lots[1]))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,10 +91,16 @@ marked AS (
 chats AS (
   SELECT conv_id, count(*) AS n_turns, sum(chars)::BIGINT AS formatted_chars,
     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS whole,
-    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss
-  FROM marked GROUP BY conv_id)
-SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
-FROM chats""",
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
+    string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END, '' ORDER BY turn, role, text) AS roles,
+    arg_max(role, (turn, role, text)) AS last
+  FROM marked GROUP BY conv_id),
+judged AS (
+  SELECT *, length(regexp_extract(roles, '^s?(ua)*u?')) AS good FROM chats)
+SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars,
+  good = n_turns AND last <> 'system' AS valid, CASE WHEN good < n_turns THEN good::INT END AS first_bad_turn,
+  CASE WHEN good < n_turns THEN 'failed' ELSE last END AS final_role
+FROM judged""",
     "op6_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),

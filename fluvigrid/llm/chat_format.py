@@ -15,23 +15,20 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Template:
-    """Marks of a turn, the roles whose text carries loss, and the role machine as (state, role) -> state."""
+    """Marks of a turn, and the role machine.
+
+    A turn of a role brings the machine into the state of that name; ``after`` lists for each role the states from
+    which it is allowed. Text is under the loss mask in ``loss_states``. A turn that is not allowed, or a role that
+    is not listed (state ``failed``), makes the conversation invalid; the machine goes on from there.
+    """
 
     open: str = "<|im_start|>"
     after_role: str = "\n"
     close: str = "<|im_end|>\n"
-    loss_roles: tuple[str, ...] = ("assistant",)
+    loss_states: tuple[str, ...] = ("assistant",)
     start: str = "start"
     accept: tuple[str, ...] = ("user", "assistant")
-    moves: dict[tuple[str, str], str] = field(
-        default_factory=lambda: {
-            ("start", "system"): "system",
-            ("start", "user"): "user",
-            ("system", "user"): "user",
-            ("user", "assistant"): "assistant",
-            ("assistant", "user"): "user",
-        }
-    )
+    after: dict[str, tuple[str, ...]] = field(default_factory=lambda: {"system": ("start",), "user": ("start", "system", "assistant"), "assistant": ("user",)})
 
 
 CHATML = Template()
@@ -58,43 +55,36 @@ def format_chats(turns: DataFrame, template: Template = CHATML) -> DataFrame:
     ``segments`` is the array of (text, loss) whose texts joined give ``formatted``. Rows go by turn (null turns
     first), ties by role and text, so reruns agree. Null texts and roles count as empty; rows with a null conv_id
     form one conversation. ``valid`` tells whether the machine took every turn and ended in an accepting state;
-    invalid conversations are formatted all the same. No rows give no rows; extra columns are not read.
+    invalid conversations are formatted all the same. The machine's state decides each text's loss flag. No rows give no rows; extra columns are not read.
     """
     row = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     chats = turns.select("conv_id", row.alias("row")).groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("turns"))
-    moves = F.create_map(*[F.lit(x) for (state, role), to in template.moves.items() for x in (f"{state}\x00{role}", to)])
-
-    def advance(acc: Column, turn: Column) -> Column:
-        to = F.element_at(moves, F.concat(acc["state"], F.lit("\x00"), turn["role"]))
-        bad = F.when(acc["bad"] >= 0, acc["bad"]).when(to.isNull(), acc["seen"]).otherwise(F.lit(-1))
-        return F.struct(F.coalesce(to, F.lit("failed")).alias("state"), (acc["seen"] + 1).alias("seen"), bad.alias("bad"))
-
-    begin = F.struct(F.lit(template.start).alias("state"), F.lit(0).alias("seen"), F.lit(-1).alias("bad"))
+    role_state = lambda t: F.when(t["role"].isin(*template.after), t["role"]).otherwise(F.lit("failed"))
+    states = chats.withColumn("states", F.transform("turns", role_state))
+    moves = [F.lit(f"{state}\x00{role}") for role, before in template.after.items() for state in before]
+    before = F.slice(F.concat(F.array(F.lit(template.start)), "states"), 1, F.size("states"))
+    taken = F.zip_with(before, F.col("states"), lambda x, y: F.concat_ws("\x00", x, y).isin(*moves))
+    run = states.withColumn("bad", F.array_position(taken, F.lit(False)))
     segment = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
 
-    def pieces(turn: Column) -> Column:
+    def pieces(turn: Column, state: Column) -> Column:
         head = F.concat(F.lit(template.open), escape(turn["role"], True), F.lit(template.after_role))
         return F.array(
             segment(head, F.lit(False)),
-            segment(escape(turn["text"]), turn["role"].isin(*template.loss_roles)),
+            segment(escape(turn["text"]), state.isin(*template.loss_states)),
             segment(F.lit(template.close), F.lit(False)),
         )
 
-    out = chats.select(
+    last = F.element_at("states", -1)
+    out = run.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
-        F.aggregate("turns", begin, advance).alias("end"),
-        F.flatten(F.transform("turns", pieces)).alias("segments"),
-    )
-    return out.select(
-        "conv_id",
-        "n_turns",
-        ((F.col("end.bad") < 0) & F.col("end.state").isin(*template.accept)).alias("valid"),
-        F.when(F.col("end.bad") >= 0, F.col("end.bad")).alias("first_bad_turn"),
-        F.col("end.state").alias("final_role"),
-        "segments",
-        F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"),
+        ((F.col("bad") == 0) & last.isin(*template.accept)).alias("valid"),
+        F.when(F.col("bad") > 0, F.col("bad") - 1).cast("int").alias("first_bad_turn"),
+        F.when(F.col("bad") > 0, F.lit("failed")).otherwise(last).alias("final_role"),
+        F.flatten(F.zip_with("turns", "states", pieces)).alias("segments"),
     )
+    return out.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
 
 
 def read_turns(formatted: Column, template: Template = CHATML) -> Column:
@@ -116,8 +106,8 @@ def read_loss_text(segments: Column) -> Column:
 
 
 def digest(chats: DataFrame, template: Template = CHATML) -> DataFrame:
-    """The digest columns of the contract, read back from the formatted output."""
-    read = chats.select("conv_id", "segments", "formatted", read_turns(F.col("formatted"), template).alias("turns"))
+    """The digest columns of the contract, read back from the formatted output, and the machine's verdict."""
+    read = chats.select("conv_id", "valid", "first_bad_turn", "final_role", "segments", "formatted", read_turns(F.col("formatted"), template).alias("turns"))
     line = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
     loss = read.select("*", read_loss_text(F.col("segments")).alias("loss"))
     return loss.select(
@@ -127,6 +117,9 @@ def digest(chats: DataFrame, template: Template = CHATML) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+        "first_bad_turn",
+        "final_role",
     )
 
 

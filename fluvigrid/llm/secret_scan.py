@@ -88,7 +88,8 @@ def scan_versions(
 
     ``versions`` has the key columns (path, commit, ...) and ``text``. ``ledger`` is a path in shared storage that
     holds one row per scanned (blob, rule_version) with its spans; it need not exist yet. A null text is the blob
-    of the empty text; repeated versions and equal texts share one scan. An empty table scans nothing.
+    of the empty text; repeated versions and equal texts share one scan. An empty table scans nothing. A blob that
+    the ledger holds twice counts once, so a retried or concurrent scan does no harm.
     """
     spark = versions.sparkSession
     # Scanned texts are few columns wide: the blob's text goes through one exchange, copies meet before it.
@@ -106,7 +107,8 @@ def scan_versions(
     scanned.write.mode("append").parquet(ledger)
     known = spark.read.schema(schema).parquet(ledger).where((F.col("rule_version") == rule_version) & (F.size("spans") > 0))
     paths = addressed.select(*key_cols, "blob")
-    findings = known.select("blob", "spans")
+    # a writer that was retried, or ran beside another, may have added a blob twice
+    findings = known.groupBy("blob").agg(F.first("spans").alias("spans"))
     return paths.join(findings, "blob", "left").select(*key_cols, "blob", F.coalesce("spans", F.array().cast(known.schema["spans"].dataType)).alias("spans"))
 
 
