@@ -2,7 +2,10 @@
 
 import collections
 import hashlib
+import math
 import random
+import unicodedata
+import zlib
 import re
 import zlib
 
@@ -80,7 +83,18 @@ def test_word_memo_is_bounded(monkeypatch):
     enc = token_output.WordEncoder(tokenizer_path())
     for seed in range(4):
         t = prose(60, seed)
-        assert enc.encode([t, "x"])[0] == np.array(enc.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        sizes, ids = enc.encode([t, "x"], 1)
+        assert ids[: sizes[0]].tolist() == [*enc.tokenizer.encode(t, add_special_tokens=False).ids, 1] and len(ids) == sizes.sum()
+
+
+def test_odd_texts_encode_as_the_tokenizer_does():
+    enc, rng = token_output.WordEncoder(tokenizer_path()), random.Random(3)
+    odd = "abcXYZ  ..,,'’st\n\t\x01\x1c\x85\xa0éÉßµªº²¼ñÿøÇİıΑΣς\u0301\u0308日本語かفا😀<|>endoftext_-@#ſ"
+    for k in range(30):
+        texts = ["".join(rng.choice(odd if k % 3 else list(map(chr, range(1, 256)))) for _ in range(rng.randint(0, 30))) for _ in range(100)]
+        sizes, ids = enc.encode(texts, 1)
+        want = [[*enc.tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+        assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
 # 2
@@ -103,6 +117,60 @@ def test_language_edges(spark):
     assert language_id.reject_unknown(docs).columns == docs.columns
 
 
+def brute_grams(text, bits):
+    """Buckets of all n-grams of a text, letter by letter."""
+    letters = ""
+    for ch in f" {text} ":
+        c = (ch.lower() if len(ch.lower()) == 1 else ch) if unicodedata.category(ch)[0] == "L" else " "
+        letters += "" if c == " " and letters.endswith(" ") else c
+    out = []
+    for n in (1, 2, 3):
+        for i in range(len(letters) - n + 1):
+            h = 0
+            for c in letters[i : i + n]:
+                h = (h * 0x01000193 + ord(c) + 1) % 2**32
+            if n > 1 or letters[i] != " ":
+                out.append((h ^ h >> 15) * 0x9E3779B1 % 2**32 >> 32 - bits)
+    return out
+
+
+def brute_bayes(labelled, texts, bits=16, smoothing=0.5):
+    """(language, score) of texts by dictionaries of counts of (text, lang) rows."""
+    counts, docs = collections.defaultdict(collections.Counter), collections.Counter(lang for _, lang in labelled)
+    for t, lang in labelled:
+        counts[lang].update(brute_grams(t, bits))
+    out = []
+    for t in texts:
+        if not any(unicodedata.category(c)[0] == "L" for c in t or ""):
+            out.append(("und", 0.0))
+            continue
+        joint = {}
+        for lang, own in counts.items():
+            total = sum(own.values()) + smoothing * 2**bits
+            joint[lang] = math.log(docs[lang] / sum(docs.values())) + sum(math.log((own[g] + smoothing) / total) for g in brute_grams(t, bits))
+        best = max(sorted(joint), key=joint.get)
+        out.append((best, 1 / sum(math.exp(v - joint[best]) for v in joint.values())))
+    return out
+
+
+def test_language_equals_plain_bayes(spark):
+    seeds = {"de": "der die und nicht ein schön", "en": "the and of not a nice", "fr": "le la et ne pas une très"}
+    rng, texts, lang = random.Random(5), [], {}
+    for k in range(60):
+        name = sorted(seeds)[k % 3]
+        words = seeds[name].split() + "zug bahn 12 x-y É".split()
+        texts.append(" ".join(rng.choice(words) for _ in range(rng.randint(1, 12))))
+        lang |= {k: name} if k % 5 else {}
+    texts += [None, "", "12 ?!", "the der", "\x85\x1cÀ\u0301 b", "日本 the"]
+    docs = documents(spark, texts, lang=lang)
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    fit = [(t, lang[i]) for i, t in enumerate(texts) if i in lang and zlib.crc32(str(i).encode()) % 5]
+    got = language_id.identify(docs, model).orderBy("doc_id").collect()
+    want = brute_bayes(fit, texts)
+    assert [r["lang_pred"] for r in got] == [w[0] for w in want]
+    assert all(abs(r["score"] - w[1]) < 1e-9 for r, w in zip(got, want, strict=True))
+
+
 def test_grams_do_not_cross_texts():
     one = [sorted(b) for t in ("ab", "cd") for b, _, _ in language_id.gram_buckets([t])]
     b, owner, _ = next(language_id.gram_buckets(["ab", "cd"]))
@@ -125,6 +193,16 @@ def test_chat_round_trip(spark):
     assert chat_format.format_chats(chat_format.injection_case(spark).where("false")).count() == 0
 
 
+def test_role_machine(spark):
+    cases = {"sua": (True, None, "assistant"), "u": (True, None, "user"), "s": (False, None, "system"), "uau": (True, None, "user"), "a": (False, 0, "failed"), "uua": (False, 1, "failed"), "ss": (False, 1, "failed"), "uxa": (False, 1, "failed"), "sa": (False, 1, "failed")}
+    names = {"s": "system", "u": "user", "a": "assistant", "x": "tool"}
+    rows = [(c, k, names[r], f"text {k}", "clash") for c, roles in enumerate(cases) for k, r in enumerate(roles)] + [(99, 0, "assistant", "y" * 1_000_000, "")] * 2
+    out = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, segments string")).orderBy("conv_id")
+    assert [(r["valid"], r["first_bad_turn"], r["final_role"]) for r in out.collect()][:-1] == list(cases.values())
+    got = chat_format.digest(out).orderBy("conv_id").collect()
+    assert [r["loss_chars"] for r in got] == [6 * roles.count("a") for roles in cases] + [2_000_000] and got[5]["first_bad_turn"] == 1
+
+
 # 4
 
 
@@ -236,6 +314,16 @@ def test_secrets(spark, tmp_path):
     secret_scan.scan_versions(docs, ledger, rule_version="2").collect()
     assert spark.read.parquet(ledger).where("rule_version = '2'").count() == 7
     assert secret_scan.scan_versions(docs.where("false"), str(tmp_path / "none")).count() == 0
+    spark.read.parquet(ledger).write.mode("append").parquet(ledger)  # as a retried writer would
+    assert secret_scan.scan_versions(docs, ledger).orderBy("doc_id").collect() == rows
+
+
+def test_secrets_of_long_texts_and_clashing_columns(spark, tmp_path):
+    text = "é " + " ".join(f"token=secret{k:06d} {'ab12' * 6}" for k in range(1_500))
+    docs = spark.createDataFrame([(1, text, 0, "x"), (1, text, 0, "x"), (None, None, 0, "x")], "doc_id long, text string, spans int, blob string")
+    rows = secret_scan.scan_versions(docs, str(tmp_path / "long")).orderBy("doc_id").collect()
+    assert [len(r["spans"]) for r in rows] == [0, 3_000, 3_000]
+    assert [(s["start"], s["rank"], s["end"], s["kind"]) for s in rows[1]["spans"]] == brute_secrets(text)
 
 
 # 6
@@ -284,10 +372,14 @@ def test_neighbours(spark, monkeypatch):
     got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in nearest.search(df, F.col("vec_id") % 20 == 0).collect()}
     w = v.astype("f8")
     for q in range(0, 300, 20):
-        score = nearest.inner(np.repeat(w[q : q + 1], 300, 0), w)
+        score = np.zeros(300)
+        for k in range(8):  # from the first component to the last
+            score += w[q, k] * w[:, k]
         want = sorted((-s, i) for i, s in enumerate(score) if i != q)[:20]
         assert [got[q, k + 1] for k in range(20)] == [(i, -s) for s, i in want]
     assert len(got) == 300
+    again = df.union(df.where("vec_id < 200")).withColumn("rank", F.lit(1)).withColumn("score", F.lit(2))
+    assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in nearest.search(again, F.col("vec_id") % 20 == 0).collect()} == got
     few = nearest.search(df.where("vec_id < 4"), F.col("vec_id") == 0)
     assert few.count() == 3 and nearest.search(df.where("false"), F.col("vec_id") == 0).count() == 0
 
