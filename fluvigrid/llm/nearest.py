@@ -1,10 +1,10 @@
 """Approximate nearest neighbours as a block matrix join.
 
 Vectors are packed into blocks of bounded size: int8 codes with a scale and the norm of what rounding lost. Query
-blocks meet candidate blocks in tiles. A tile's int8 products give every inner product to within a bound; a pair
-that its bound cannot rule out within the tile survives, and of all tiles' survivors those that the merged bounds
-cannot rule out are computed again in double precision and ranked. Tiles carry codes and four figures a vector; the
-vectors themselves meet the few survivors in the end. The bounds are strict, so the result is exact: recall is 1.
+blocks meet candidate blocks in tiles. A tile's int8 products give every inner product to within a bound. A pair
+that the bounds of a task's tiles, merged in heaps, cannot rule out survives; of all survivors those that the merged
+bounds cannot rule out are computed again in double precision and ranked. Tiles carry codes and four figures a vector;
+the vectors themselves meet the few survivors in the end. The bounds are strict, so the result is exact: recall is 1.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from ._common import bounded_batches, stored, tidy
 #: Rows of a block: tiles of 1,024 queries x 4,096 candidates take 32 MB in double precision.
 QUERY_BLOCK = 1_024
 CANDIDATE_BLOCK = 4_096
+#: Candidate blocks that one task compares with a query block.
+TILES = 16
 _BLOCK = "dim int, block int, ids binary, codes binary, stats binary"
 
 
@@ -40,20 +42,34 @@ def quantise(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.stack([scale, norm(coded), norm(vectors - coded), norm(vectors)], axis=1)
 
 
-def tile(queries: dict[str, np.ndarray], candidates: dict[str, np.ndarray], k: int) -> tuple[np.ndarray, ...]:
-    """(query id, candidate id, low, high) of the pairs whose upper bound reaches the query's k-th lower bound in the tile."""
-    qs, cs = queries["stats"], candidates["stats"]
-    # products of codes are whole numbers below 2^24 for up to 1,040 components: exact in float32
-    kind = np.float32 if queries["codes"].shape[1] <= 1040 else np.float64
-    near = (queries["codes"].astype(kind) @ candidates["codes"].astype(kind).T).astype(np.float64)
-    near *= qs[:, :1] * cs[:, 0]
-    bound = (qs[:, 2:3] * cs[:, 1] + qs[:, 3:4] * cs[:, 2]) * (1 + 1e-9) + 1e-12 * qs[:, 3:4] * cs[:, 3]
-    own = queries["ids"][:, None] == candidates["ids"]
-    low = np.where(own, -np.inf, near - bound)
-    width = low.shape[1]
-    least = np.partition(low, width - k, axis=1)[:, width - k] if width > k else np.full(len(low), -np.inf)
-    q, c = np.nonzero((near + bound >= least[:, None]) & ~own)
-    return queries["ids"][q], candidates["ids"][c], low[q, c], near[q, c] + bound[q, c]
+class Heaps:
+    """Of one query block, over the tiles of one task: each query's k best lower bounds, and what they can't rule out."""
+
+    def __init__(self, queries: dict[str, np.ndarray], k: int):
+        self.queries, self.k = queries, k
+        self.low = np.full((len(queries["ids"]), k), -np.inf)
+        self.found: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, candidates: dict[str, np.ndarray]) -> None:
+        """A tile: pairs whose upper bound reaches the query's k-th lower bound so far stay."""
+        qs, cs, k = self.queries["stats"], candidates["stats"], self.k
+        # products of codes are whole numbers below 2^24 for up to 1,040 components: exact in float32
+        kind = np.float32 if self.queries["codes"].shape[1] <= 1040 else np.float64
+        near = (self.queries["codes"].astype(kind) @ candidates["codes"].astype(kind).T).astype(np.float64)
+        near *= qs[:, :1] * cs[:, 0]
+        bound = (qs[:, 2:3] * cs[:, 1] + qs[:, 3:4] * cs[:, 2]) * (1 + 1e-9) + 1e-12 * qs[:, 3:4] * cs[:, 3]
+        own = self.queries["ids"][:, None] == candidates["ids"]
+        low = np.where(own, -np.inf, near - bound)
+        best = np.partition(low, low.shape[1] - k, axis=1)[:, -k:] if low.shape[1] > k else low
+        merged = np.concatenate([self.low, best], axis=1)
+        self.low = np.partition(merged, merged.shape[1] - k, axis=1)[:, -k:]
+        q, c = np.nonzero((near + bound >= self.low.min(axis=1)[:, None]) & ~own)
+        self.found.append((q, candidates["ids"][c], low[q, c], near[q, c] + bound[q, c]))
+
+    def survivors(self) -> pa.RecordBatch:
+        q, ids, low, high = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        left = high >= self.low.min(axis=1)[q]
+        return pa.RecordBatch.from_arrays([pa.array(x[left]) for x in (self.queries["ids"][q], ids, low, high)], names=["query_id", "vec_id", "low", "high"])
 
 
 def _pack(rows: DataFrame, blocks: Column) -> DataFrame:
@@ -102,16 +118,25 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
     spread = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(n)).cast("int")
     candidates = _pack(rows.select("id", "vector"), spread(n_blocks, 1))
     asking = _pack(rows.where("query").select("id", "vector"), spread(q_blocks, 2))
-    renamed = asking.select("dim", *[F.col(c).alias(f"q_{c}") for c in ("ids", "codes", "stats")])
+    renamed = asking.select("dim", F.col("block").alias("q_block"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "codes", "stats")])
     # every query block is dealt to every candidate block of its dimension: a tile for each pair of blocks
     dealt = renamed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    tiles = candidates.join(dealt.hint("shuffle_hash"), ["dim", "block"]).repartition(max(1, min(n_blocks * q_blocks, 20_000)), "block", F.xxhash64("q_ids"))
+    tiles = candidates.join(dealt.hint("shuffle_hash"), ["dim", "block"]).withColumn("lot", F.floor(F.col("block") / TILES).cast("int"))
+    lots = max(1, min(-(-n_blocks // TILES) * q_blocks, 20_000))
+    tiles = tiles.repartition(lots, "dim", "q_block", "lot").sortWithinPartitions("dim", "q_block", "lot", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, heaps = None, None
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, tile(_unpack(row, "q_"), _unpack(row, ""), k))], names=["query_id", "vec_id", "low", "high"])
+                if (lot := (row["dim"], row["q_block"], row["lot"])) != last:
+                    if heaps:
+                        yield heaps.survivors()
+                    last, heaps = lot, Heaps(_unpack(row, "q_"), k)
+                heaps.add(_unpack(row, ""))
+        if heaps:
+            yield heaps.survivors()
 
     survivors = tiles.mapInArrow(tidy(run), "query_id long, vec_id long, low double, high double")
     # the k-th best lower bound of all tiles; without k of them nothing is ruled out

@@ -364,6 +364,7 @@ def test_mix_budgets(spark):
 def test_neighbours(spark, monkeypatch):
     monkeypatch.setattr(nearest, "CANDIDATE_BLOCK", 64)
     monkeypatch.setattr(nearest, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(nearest, "TILES", 3)
     rng = np.random.default_rng(1)
     v = rng.normal(size=(300, 8)).astype("f4")
     v[100:180] = v[100]
