@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 Reducer = Callable[[Column], Column]
 
@@ -111,7 +112,7 @@ def transparent(cube: DataFrame) -> DataFrame:
 
 
 def write_cube(cube: DataFrame, path: str, partitions: int | None = None, codec: str = "zstd", attributes: Mapping[str, str] | None = None) -> None:
-    """Write steps; the years that ``cube`` holds are replaced step by step at the partition level, others stay."""
+    """Write whole years: those that ``cube`` holds are replaced, others stay. ``append_steps`` and ``replace_steps`` write single steps."""
     keyed = cube.withColumn("year", F.year(F.timestamp_seconds("t")))
     dealt = keyed.repartitionByRange(partitions, "year", "iy", "ix") if partitions else keyed.repartitionByRange("year", "iy", "ix")
     writer = dealt.sortWithinPartitions("year", "iy", "ix", "t").write.partitionBy("year").option("compression", codec)
@@ -122,7 +123,29 @@ def write_cube(cube: DataFrame, path: str, partitions: int | None = None, codec:
 
 
 def append_steps(cube: DataFrame, path: str) -> None:
-    cube.withColumn("year", F.year(F.timestamp_seconds("t"))).write.partitionBy("year").mode("append").parquet(path)
+    """Add the cells that the table lacks; what is there stays, so a retry adds nothing. Only touched years are read."""
+    keyed = cube.withColumn("year", F.year(F.timestamp_seconds("t"))).dropDuplicates(["t", "ix", "iy"])
+    try:
+        there = cube.sparkSession.read.parquet(path).select("year", "t", "ix", "iy")
+    except AnalysisException:
+        there = None
+    if there is not None:
+        keyed = keyed.join(there, ["year", "t", "ix", "iy"], "left_anti")
+    keyed.write.partitionBy("year").mode("append").parquet(path)
+
+
+def replace_steps(cube: DataFrame, path: str, staging: str) -> None:
+    """Put the steps of ``cube`` in the place of those that are there; other steps of their years stay.
+
+    The years that are touched are written to ``staging``, a path in shared storage, before the table's are replaced,
+    so a job that is cut off can be run again.
+    """
+    spark = cube.sparkSession
+    keyed = cube.withColumn("year", F.year(F.timestamp_seconds("t")))
+    old = spark.read.parquet(path)
+    rest = old.join(keyed.select("year").distinct(), "year", "left_semi").join(keyed.select("year", "t").distinct(), ["year", "t"], "left_anti")
+    rest.select(*cube.columns).unionByName(cube).write.mode("overwrite").parquet(staging)
+    write_cube(spark.read.schema(cube.schema).parquet(staging), path)
 
 
 def read_cube(spark: SparkSession, path: str, t: tuple[int, int] | None = None) -> DataFrame:

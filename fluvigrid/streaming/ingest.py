@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,15 +23,24 @@ def existing(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def update(target: str, arrived: DataFrame, keys: tuple[str, ...] = ("t", "ix", "iy"), partition: str = "day", append_only: bool = False) -> int:
-    """Append the steps of ``arrived`` that the target lacks; running it again appends nothing. Returns the rows written.
+    """Append the cells of ``arrived`` that the target lacks; running it again appends nothing. Returns the rows written.
 
+    A step may arrive in several parts, or anew after a write that was cut off: rows are compared by all ``keys``.
     Late steps fill gaps; with ``append_only`` steps before the newest one are left out. Of rows with equal keys in
-    one arrival the smallest value is kept.
+    one arrival the smallest value is kept. Only the target's partitions that the arrival touches are read.
     """
     spark = arrived.sparkSession
-    # the partition column is read back from the table's layout, so steps alone are compared
     there = existing(spark, target, arrived.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ") + f", {partition} date")
-    fresh = missing_steps(arrived.groupBy(*keys).agg(F.min("v").alias("v")), there.select("t").distinct(), append_only=append_only)
+    first, last = arrived.agg(F.min("t"), F.max("t")).first()
+    if first is None:
+        return 0
+    cells = arrived.groupBy(*keys).agg(F.min("v").alias("v"))
+    if append_only and (newest := there.agg(F.max("t")).first()[0]) is not None:
+        cells = cells.where(F.col("t") >= newest)
+    day = lambda t: F.to_date(F.timestamp_seconds(F.lit(t)))
+    known = there.where(F.col(partition).between(day(first), day(last))).select(*keys)
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    fresh = cells.alias("a").join(known.alias("b"), reduce(and_, same), "left_anti")
     rows = fresh.select(*arrived.columns).withColumn(partition, F.to_date(F.timestamp_seconds("t"))).persist()
     count = rows.count()
     if count:
