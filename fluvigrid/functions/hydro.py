@@ -99,15 +99,20 @@ def flat_sun(lat: Column, doy: Column) -> tuple[Column, Column]:
 
 
 def slope_factor(lat: Column, doy: Column, slope: Column, aspect: Column) -> Column:
-    """Ratio of potential insolation on the slope to that on the horizontal, for one sunrise a day."""
+    """Ratio of potential insolation on the slope to that on the horizontal.
+
+    A steep slope's day, shifted in time, can meet the horizontal day twice: both parts count.
+    """
     scd = SOLAR / F.pow(1 - 0.0167 * F.cos(0.0172 * (doy - 3)), 2)
     dec = declination(doy)
     _, i0h = flat_sun(lat, doy)
     half = half_day(lat, dec)
     l1, l2 = equivalent_slope(lat, slope, aspect)
     own = half_day(l1, dec)
-    t3, t2 = F.least(half, own - l2), F.greatest(-half, -own - l2)
-    i0s = F.when(t3 < t2, 0.0).otherwise(WTOMJ * scd * daily_sine(dec, l2, l1, t3, t2) / F.cos(slope))
+    i0s = F.lit(0.0)
+    for turn in (-2 * PI, 0.0, 2 * PI):
+        t3, t2 = F.least(half, own - l2 + turn), F.greatest(-half, -own - l2 + turn)
+        i0s = i0s + F.when(t3 > t2, WTOMJ * scd * daily_sine(dec, l2, l1, t3, t2) / F.cos(slope)).otherwise(0.0)
     return F.when(i0h <= 0, 0.0).otherwise(F.try_divide(i0s, i0h))
 
 

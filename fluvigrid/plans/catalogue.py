@@ -170,7 +170,7 @@ def polygon_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(polys.select("id", "c.x", "c.y"), "x", "y")
 
 
-_SERIES = "series AS (SELECT DISTINCT user_id % 5 AS k, (epoch_us(ts) // 1000000) AS t FROM events WHERE event_id % 3 = 0), probes AS (SELECT DISTINCT user_id % 5 AS k, epoch(date_trunc('hour', ts))::BIGINT AS t FROM events)"
+_SERIES = "series AS (SELECT DISTINCT user_id % 5 AS k, (epoch_us(ts) // 1000000) AS t FROM events), probes AS (SELECT DISTINCT user_id % 5 AS k, epoch(date_trunc('hour', ts))::BIGINT AS t FROM events)"
 
 
 def _series(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -305,7 +305,7 @@ def interpolate_shift_600s(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(temporal.interpolate_at(adapters.cube(spark, sf_dir)), "v")
 
 
-@query("""WITH daily AS (SELECT user_id % 50 AS station, ts::DATE AS date, avg(value) AS v FROM events WHERE user_id % 50 < 40 AND event_id % 5 = 0 GROUP BY 1, 2),
+@query("""WITH daily AS (SELECT user_id % 50 AS station, ts::DATE AS date, avg(value) AS v FROM events GROUP BY 1, 2),
 calendar AS (SELECT station, d::DATE AS date FROM (SELECT DISTINCT station FROM daily), range(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY) r(d)),
 filled AS (SELECT station, date, v FROM calendar LEFT JOIN daily USING (station, date)),
 trimmed AS (SELECT f.* FROM filled f JOIN (SELECT station, min(date) AS lo, max(date) AS hi FROM daily WHERE v IS NOT NULL GROUP BY station) USING (station) WHERE date BETWEEN lo AND hi),
@@ -382,7 +382,7 @@ def hourly_ceil_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(temporal.hourly_mean(adapters.measurements(spark, sf_dir)), "v")
 
 
-_SPLICE = f"""WITH observed AS (SELECT epoch(date_trunc('hour', ts))::BIGINT AS t, sum(value::DECIMAL(18,2))::DOUBLE AS v FROM events WHERE event_id % 3 = 0 GROUP BY 1),
+_SPLICE = f"""WITH observed AS (SELECT epoch(date_trunc('hour', ts))::BIGINT AS t, sum(value::DECIMAL(18,2))::DOUBLE AS v FROM events GROUP BY 1),
 runs AS (SELECT {FIRST_DAY} + 600 + (event_id % 10) * 86400 AS run, (event_id % 28)::INT AS f, max(value) AS v FROM events GROUP BY 1, 2),
 seen AS (SELECT t + 600 AS t, v, 'observed' AS kind FROM observed), valid AS (SELECT run + f * 3600 AS t, v, 'forecast' AS kind FROM runs),
 joined AS (SELECT * FROM seen UNION ALL SELECT * FROM valid WHERE t NOT IN (SELECT t FROM seen))"""
@@ -422,7 +422,7 @@ def upstream_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.upstream(links, starts)
 
 
-@query(f"""WITH RECURSIVE {CATCHMENTS}, starts AS (SELECT id AS start FROM catchments WHERE id % 100 = 99), down AS (SELECT start, start AS id, 0 AS hops FROM starts UNION ALL SELECT start, c.next, hops + 1 FROM down JOIN catchments c ON c.id = down.id WHERE c.next >= 0) SELECT start, id, hops FROM down""")
+@query(f"""WITH RECURSIVE {CATCHMENTS}, starts AS (SELECT id AS start FROM catchments), down AS (SELECT start, start AS id, 0 AS hops FROM starts UNION ALL SELECT start, c.next, hops + 1 FROM down JOIN catchments c ON c.id = down.id WHERE c.next >= 0) SELECT start, id, hops FROM down""")
 def downstream_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, links, _ = _river(spark, sf_dir)
     return graph.downstream(links, c.select("id"))
@@ -538,12 +538,12 @@ _SUN = f"""sun AS (SELECT *, 1367 / pow(1 - 0.0167 * cos(0.0172 * (doy - 3)), 2)
 halves AS (SELECT *, acos(least(1, greatest(-1, -tan(dec) * tan(lat)))) AS half, asin(cos(slope) * sin(lat) + sin(slope) * cos(lat) * cos(aspect)) AS l1,
   atan(sin(slope) * sin(aspect) / (cos(slope) * cos(lat) - sin(slope) * sin(lat) * cos(aspect))) AS l2 FROM sun),
 owns AS (SELECT *, acos(least(1, greatest(-1, -tan(dec) * tan(l1)))) AS own FROM halves),
-edges AS (SELECT *, least(half, own - l2) AS t3, greatest(-half, -own - l2) AS t2,
-  0.0864 * scd * (sin(dec) * sin(lat) * 2 * half + cos(dec) * cos(lat) * 2 * sin(half)) / (2 * 3.14159) AS i0h FROM owns)"""
+edges AS (SELECT *, least(half, own - l2 + turn) AS t3, greatest(-half, -own - l2 + turn) AS t2,
+  0.0864 * scd * (sin(dec) * sin(lat) * 2 * half + cos(dec) * cos(lat) * 2 * sin(half)) / (2 * 3.14159) AS i0h FROM owns, (VALUES (-2 * 3.1416), (0.0), (2 * 3.1416)) turns(turn))"""
 
 
-@query(f"""WITH {_SUN} SELECT id, round(least(0.9999, greatest(0.0001, half / 3.1416)), 6) AS daylen, round(i0h, 6) AS i0h,
-  round(CASE WHEN t3 < t2 THEN 0 ELSE 0.0864 * scd * (sin(dec) * sin(l1) * (t3 - t2) + cos(dec) * cos(l1) * (sin(t3 + l2) - sin(t2 + l2))) / (2 * 3.14159) / cos(slope) END / i0h, 6) AS slfday FROM edges""")
+@query(f"""WITH {_SUN} SELECT id, round(least(0.9999, greatest(0.0001, any_value(half) / 3.1416)), 6) AS daylen, round(any_value(i0h), 6) AS i0h,
+  round(sum(CASE WHEN t3 <= t2 THEN 0 ELSE 0.0864 * scd * (sin(dec) * sin(l1) * (t3 - t2) + cos(dec) * cos(l1) * (sin(t3 + l2) - sin(t2 + l2))) / (2 * 3.14159) / cos(slope) END) / any_value(i0h), 6) AS slfday FROM edges GROUP BY id""")
 def sunds(spark: SparkSession, sf_dir: str) -> DataFrame:
     daylen, i0h = hydro.flat_sun(F.col("lat"), F.col("doy"))
     slf = hydro.slope_factor(F.col("lat"), F.col("doy"), F.col("slope"), F.col("aspect"))
@@ -648,6 +648,27 @@ def ingest_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(target).select("t", "ix", "iy", "v")
 
 
+@query(f"""WITH {HOURLY} SELECT t, ix, iy, v FROM cube""")
+def ingest_split_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps that arrive in two parts, the second time with the first part again."""
+    target = graph.shared_path(spark, "split")
+    data = adapters.cube(spark, sf_dir, 3600)
+    for part in (data.where("ix < 5"), data.where("ix >= 3")):
+        ingest.update(target, part)
+    return spark.read.parquet(target).select("t", "ix", "iy", "v")
+
+
+@query(f"""WITH {HOURLY} SELECT t, ix, iy, CASE WHEN t % 14400 = 0 THEN -v ELSE v END AS v FROM cube""")
+def cube_replace_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cube written in two parts, the second again, and then some steps with other values in the place of theirs."""
+    path, staging = (graph.shared_path(spark, n) for n in ("cube", "staging"))
+    data = adapters.cube(spark, sf_dir, 3600).select("t", "ix", "iy", "v")
+    for part in (data.where("t % 7200 = 0"), data, data):
+        cube.append_steps(part, path)
+    cube.replace_steps(data.where("t % 14400 = 0").withColumn("v", -F.col("v")), path, staging)
+    return spark.read.parquet(path).select("t", "ix", "iy", "v")
+
+
 @query(f"""WITH {HOURLY} SELECT t, ix, iy, v FROM cube""")
 def stream_ingest_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as a stream over files that arrive in two lots, one of them again."""
