@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -12,11 +15,15 @@ _OWN: list[str] = []
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that ``spark.checkpoint.dir`` names; a folder of our own only where it is unset."""
+    """A path in the shared folder that ``spark.checkpoint.dir`` names; a folder of our own, which goes with the
+    process, only on a single machine where it is unset. On a cluster an unset folder is an error."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="fluvigrid-"))
+            atexit.register(shutil.rmtree, _OWN[0], True)
         base = _OWN[0]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -285,6 +285,8 @@ def soil_day(s: State, water, uptake, evaporation, dtimax, gsc, gsp):
         s.gwat = s.gwat + (vrfl - gw - sp) * dt
         bypass, flow, seep = bypass + spill * dt, flow + gw * dt, seep + sp * dt
         left = left - dt
+    else:
+        raise RuntimeError("water did not settle within 20,000 steps of a day")
     return bypass, flow, seep
 
 

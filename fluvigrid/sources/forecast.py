@@ -50,7 +50,10 @@ def read_forecast(spark: SparkSession, path: str, product: Product, decode: Call
                 run = np.int64(pd.Timestamp(datetime.strptime(name[1], product.time_format)).timestamp())
                 yield pd.DataFrame({"run": run, "f": np.int32(name[2]), "ix": ix, "iy": iy, "v": v})[keep]
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    # names are judged before any content is read
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*_[0-9][0-9][0-9]*").load(path)
+    if steps is not None:
+        files = files.where(F.regexp_extract("path", r"_(\d{3})[^/]*$", 1).isin(*[f"{s:03d}" for s in steps]))
     if steps is not None and not files.where(F.col("path").rlike(rf"\d{{10}}_{max(steps):03d}")).select("path").limit(1).count():
         raise FileNotFoundError(f"step {max(steps)} is not there")
     return files.select("path", "content").mapInPandas(rows, "run long, f int, ix int, iy int, v double")

@@ -105,6 +105,8 @@ def read_radar(spark: SparkSession, path: str, product: Product, keep_missing: b
                     yield out[keep]
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    # names are judged before any content is read; an archive's members are judged in the task
+    files = files.where(F.regexp_extract("path", r"[^/]*$", 0).rlike(f"{pattern.pattern}|[.](tar|tgz|tar[.]gz|tar[.]bz2)$"))
     return files.mapInPandas(rows, _SCHEMA).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
 
 

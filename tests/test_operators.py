@@ -418,3 +418,32 @@ def test_forecast_files(spark, tmp_path):
     with pytest.raises(ValueError):
         forecast.check_steps(datetime(2024, 1, 1, 6), [28])
     assert forecast.check_steps(run, [45, 3, 3]) == [3, 45]
+
+
+def test_steep_slopes_meet_the_sun_twice(spark):
+    from fluvigrid.plans import model
+
+    lat, slope = 1.05, 1.2
+    doy, aspects = np.arange(100.0, 260.0, 20), [0.0, 0.4, 3.0]
+    rows = [(float(d), a) for d in doy for a in aspects]
+    got = spark.createDataFrame(rows, "doy double, aspect double").select(hydro.slope_factor(F.lit(lat), F.col("doy"), F.lit(slope), F.col("aspect")).alias("f")).collect()
+    d, a = np.array(rows).T
+    want = model.sun(np.full(len(d), lat), np.full(len(d), slope), a, d)[2]
+    assert np.allclose([r["f"] for r in got], want, atol=1e-9) and max(want) > 0
+
+
+def test_parts_of_steps(spark, tmp_path):
+    rows = [(t, x, 0, float(t + x)) for t in (1, 3600, 40_000_000) for x in range(4)]
+    whole = spark.createDataFrame(rows, "t long, ix int, iy int, v double")
+    target = str(tmp_path / "target")
+    assert ingest.update(target, whole.where("ix < 3")) == 9
+    assert ingest.update(target, whole.where("ix > 0")) == 3
+    assert ingest.update(target, whole) == 0 and ingest.update(target, whole.where("false")) == 0
+    path = str(tmp_path / "cube")
+    cube.append_steps(whole.where("t = 1"), path)
+    cube.append_steps(whole, path)
+    cube.append_steps(whole, path)
+    assert sorted(map(tuple, cube.read_cube(spark, path).select("t", "ix", "iy", "v").collect())) == rows
+    cube.replace_steps(whole.where("t = 3600 and ix < 2").withColumn("v", F.lit(9.0)), path, str(tmp_path / "staging"))
+    want = [r for r in rows if r[0] != 3600] + [(3600, 0, 0, 9.0), (3600, 1, 0, 9.0)]
+    assert sorted(map(tuple, cube.read_cube(spark, path).select("t", "ix", "iy", "v").collect())) == sorted(want)
