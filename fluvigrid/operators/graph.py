@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
@@ -91,3 +91,8 @@ def upstream_area(catchments: DataFrame, links: DataFrame, starts: DataFrame) ->
     """``id, n, area_sqkm`` of all catchments that drain through each start, its own included."""
     found = upstream(links, starts).select("start", "id")
     return found.join(catchments.select("id", "area_sqkm"), "id").groupBy(F.col("start").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.sum("area_sqkm").alias("area_sqkm"))
+
+
+def vertex(data: DataFrame, id_col: str, wanted: Column) -> DataFrame:
+    """The rows of the vertices with the wanted ids; a filter that reaches the scan."""
+    return data.where(F.col(id_col).eqNullSafe(wanted))

@@ -80,3 +80,8 @@ def coverage_gate(parts: DataFrame, covered: Column, warn: float = 0.25, fail: f
 def deduplicate(measurements: DataFrame, keys: tuple[str, ...] = ("station", "ts")) -> DataFrame:
     """One row per key: the smallest value, so that reruns agree."""
     return measurements.groupBy(*keys).agg(F.min("v").alias("v"))
+
+
+def daily_sum(measurements: DataFrame, by: tuple[str, ...] = ("station",)) -> DataFrame:
+    """Daily totals, for precipitation; days without a value have none."""
+    return measurements.groupBy(*by, F.to_date("ts").alias("date")).agg(F.sum("v").alias("sum"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import hydro, scalar
+from ..functions import crs, hydro, scalar
 from ..operators import cube, graph, raster, stations, temporal, zonal
 from ..sources import adapters, radar
 from ..streaming import ingest
@@ -692,10 +692,160 @@ def forecast_update(spark: SparkSession, sf_dir: str) -> DataFrame:
   round(-6370.04 * (1 + sin(radians(60))) / (1 + sin(radians(lat))) * cos(radians(lat)) * cos(radians(lon - 10)), 6) AS y, true AS returns
 FROM (SELECT s_suppkey AS id, 11.0::DOUBLE + (s_suppkey * 37 % 500) / 100.0::DOUBLE AS lon, 50.0::DOUBLE + (s_suppkey * 61 % 200) / 100.0::DOUBLE AS lat FROM supplier)""")
 def stereographic_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions import crs
 
     s = adapters.stations(spark, sf_dir).select(F.col("station").alias("id"), "lon", "lat")
     x, y = crs.to_stereographic(F.col("lon"), F.col("lat"))
     lon, lat = crs.from_stereographic(x, y)
     back = (F.abs(lon - F.col("lon")) < 1e-9) & (F.abs(lat - F.col("lat")) < 1e-9)
     return r6(s.select("id", "lon", "lat", x.alias("x"), y.alias("y"), back.alias("returns")), "x", "y")
+
+
+# Operators and process functions that no query above runs. Their SQL is written from the published formulas.
+
+
+@query(f"""WITH {CUBE} SELECT t, max(v) - min(v) AS spread, count(v) AS n, round(avg(v * v), 6) AS square FROM cube GROUP BY t""")
+def cube_custom_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fun = {"spread": lambda v: F.max(v) - F.min(v), "n": F.count, "square": lambda v: F.avg(v * v)}
+    return r6(cube.statistics(adapters.cube(spark, sf_dir), fun=fun), "square")
+
+
+@query("""SELECT event_type AS phenomenon, user_id AS station, ts::DATE::VARCHAR AS date, sum(value::DECIMAL(18,2))::DOUBLE AS sum FROM events GROUP BY 1, 2, 3""")
+def daily_precipitation_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = adapters.table(spark, sf_dir, "events").select(F.col("event_type").alias("phenomenon"), F.col("user_id").alias("station"), "ts", F.col("value").cast("decimal(18,2)").alias("v"))
+    return stations.daily_sum(e, ("phenomenon", "station")).withColumn("date", F.col("date").cast("string")).withColumn("sum", F.col("sum").cast("double"))
+
+
+@query("""WITH days AS (SELECT DISTINCT ts::DATE AS date FROM events WHERE event_type IN ('click', 'view', 'error'))
+SELECT d.date::VARCHAR AS date, (SELECT round(avg(value), 6) FROM events WHERE event_type = 'click' AND ts::DATE = d.date) AS click,
+  (SELECT round(avg(value), 6) FROM events WHERE event_type = 'view' AND ts::DATE = d.date) AS view,
+  (SELECT round(avg(value), 6) FROM events WHERE event_type = 'error' AND ts::DATE = d.date) AS error FROM days d""")
+def outer_join_of_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = adapters.table(spark, sf_dir, "events").withColumn("date", F.to_date("ts"))
+    means = [e.where(F.col("event_type") == k).groupBy("date").agg(F.round(F.avg("value"), 6).alias(k)) for k in ("click", "view", "error")]
+    return temporal.full_outer(means).withColumn("date", F.col("date").cast("string"))
+
+
+@query(f"""WITH {CUBE} SELECT t, ix, iy, a.v * 2 - b.v AS v FROM cube a JOIN (SELECT t - 86400 AS t, ix, iy, v FROM cube) b USING (t, ix, iy)""")
+def raster_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = adapters.cube(spark, sf_dir).select("t", "ix", "iy", "v")
+    return raster.algebra(data, data.withColumn("t", F.col("t") - DAY), lambda v, w: v * 2 - w)
+
+
+@query(f"""WITH {OVERLAP}, terrain AS (SELECT ix, iy, sqrt(1 + ix * 7 % 5 + iy) AS v FROM cells) SELECT id, round(sum(v * weight) / sum(weight), 6) AS z FROM overlap JOIN terrain USING (ix, iy) GROUP BY id""")
+def height_under_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = spark.range(256).select((F.col("id") % 16).cast("int").alias("ix"), F.floor(F.col("id") / 16).cast("int").alias("iy"))
+    terrain = cells.withColumn("v", F.sqrt(1 + F.col("ix") * 7 % 5 + F.col("iy")))
+    return r6(zonal.height_under(zonal.overlap_boxes(adapters.boxes(spark, sf_dir)), terrain), "z")
+
+
+@query("""SELECT c_custkey AS id, (1700000000 + c_custkey * 977 - 2 * 32140800) // 86400 * 86400 + 3600 AS t0, 1700000000 + c_custkey * 977 + 3600 AS t1 FROM customer""")
+def simulation_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    t0, t1 = temporal.model_window(1_700_000_000 + k * 977, 2)
+    return adapters.table(spark, sf_dir, "customer").select(k.alias("id"), t0.alias("t0"), t1.alias("t1"))
+
+
+@query(f"""SELECT id, round(CASE WHEN doy <= 40 THEN 0.3 WHEN doy < 140 THEN 0.3 + (doy - 40) / 100 * 0.7 WHEN doy < 260 THEN 1.0 WHEN doy < 330 THEN 1 - (doy - 260) / 70 * 0.6 ELSE 0.4 END, 9)::DOUBLE AS share FROM {_T}""")
+def function_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    share = hydro.at_day(F.col("doy"), [40.0, 0.3, 140.0, 1.0, 260.0, 1.0, 330.0, 0.4])
+    return _hydro(spark, sf_dir).select("id", F.round(share, 9).alias("share"))
+
+
+@query(f"""SELECT id, round(t * 0.0864, 9) AS energy, round_even(d / 4, 0) AS whole, 'x/' || id || '_' || CASE WHEN d = 0 THEN 'none' ELSE 'some' END || '.bin' AS path, CASE WHEN d = 0 THEN 2.5 ELSE d END::DOUBLE AS filled FROM {_T}""")
+def scalar_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scalar.substitute("x/%%id%%_%%kind%%.bin", {"id": F.col("id"), "kind": F.when(F.col("d") == 0, "none").otherwise("some")})
+    return _hydro(spark, sf_dir).select(
+        "id", F.round(scalar.daily_energy(F.col("t")), 9).alias("energy"), scalar.half_even(F.col("d") / 4).alias("whole"), path.alias("path"), scalar.with_default(F.col("d"), 2.5, True).alias("filled")
+    )
+
+
+@query(f"""WITH {STATIONS} SELECT station, round(lon * pi() / 180 * 6378137, 4) AS x, round(ln((1 + sin(radians(lat))) / cos(radians(lat))) * 6378137, 4) AS y, round(lon, 6)::DOUBLE AS lon, round(lat, 6)::DOUBLE AS lat FROM stations""")
+def web_mercator_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = crs.to_web_mercator(F.col("lon").cast("double"), F.col("lat").cast("double"))
+    moved = adapters.stations(spark, sf_dir).select("station", x.alias("x"), y.alias("y"))
+    lon, lat = crs.from_web_mercator(F.col("x"), F.col("y"))
+    return moved.select("station", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
+
+
+@query("""SELECT user_id AS station, epoch_us(ts) // 1000000 AS t, value AS v FROM events""")
+def reply_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of two lines, values and times, as services send them, read back."""
+    e = adapters.table(spark, sf_dir, "events").select(F.col("user_id").alias("station"), adapters.epoch(F.col("ts")).alias("t"), F.col("value").alias("v"))
+    replies = temporal.comma_series(e, ("station",)).select("station", F.concat("vals", F.lit("\n"), "times").alias("reply"))
+    return replies.select("station", F.explode(temporal.parse_reply(F.col("reply"))).alias("r")).select("station", F.col("r.t").cast("long").alias("t"), "r.v")
+
+
+@query(f"""WITH {CATCHMENTS} SELECT id, next, area_sqkm FROM catchments WHERE id = 42""")
+def vertex_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.vertex(adapters.catchments(spark, sf_dir), "id", F.lit(42))
+
+
+@query(f"""WITH x AS (SELECT id, 150 + 10 * d AS aa, 20 + d AS asubs, 0.1 + d / 20 AS vpd, 10 + d AS raa, 20 + d AS rac, 30 + d AS ras, 50 + d AS rsc, 200 + 10 * d AS rss, 0.12 AS dl FROM {_T}),
+y AS (SELECT *, (dl + 0.067) * ras + 0.067 * rss AS rs, (dl + 0.067) * rac + 0.067 * rsc AS rc, (dl + 0.067) * raa AS ra FROM x),
+z AS (SELECT *, (dl * (raa + ras) * aa + 1240 * (vpd - dl * ras * (aa - asubs) / 1240)) / ((dl + 0.067) * (raa + ras) + 0.067 * rss) AS pms, (dl * (raa + rac) * aa + 1240 * (vpd - dl * rac * asubs / 1240)) / ((dl + 0.067) * (raa + rac) + 0.067 * rsc) AS pmc FROM y),
+w AS (SELECT *, pmc * rc * (rs + ra) / (rc * (rs + ra) + rs * ra) * ((rc * (rs + ra) + rs * ra) / (rc * (rs + ra))) * (1 / (1 + rc * ra / (rs * (rc + ra)))) + pms / (1 + rs * ra / (rc * (rs + ra))) AS le FROM z),
+v AS (SELECT *, vpd + raa * (dl * aa - (dl + 0.067) * le) / 1240 AS d0 FROM w)
+SELECT id, round(0.4085 * 0.0864 * (dl * rac * (aa - asubs) + 1240 * d0) / ((dl + 0.067) * rac + 0.067 * rsc), 6) AS prate, round(0.4085 * 0.0864 * (dl * ras * asubs + 1240 * d0) / ((dl + 0.067) * ras + 0.067 * rss), 6) AS erate FROM v""")
+def potential_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("d")
+    p, e = hydro.potential_rates(150 + 10 * d, 20 + d, 0.1 + d / 20, 10 + d, 20 + d, 30 + d, 50 + d, 200 + 10 * d, F.lit(0.12))
+    return _hydro(spark, sf_dir).select("id", F.round(p, 6).alias("prate"), F.round(e, 6).alias("erate"))
+
+
+@query(f"""WITH x AS (SELECT id, (0.12 + 0.067) * (30 + d) + 0.067 * (200 + 10 * d) AS rs, (0.12 + 0.067) * (10 + d) AS ra, d / 5 / (0.4085 * 0.0864) AS lec, 0.12 * (30 + d) * (20 + d) + 0.12 * (10 + d) * (150 + 10 * d) + 1240 * (0.1 + d / 20) AS top FROM {_T})
+SELECT id, round(0.4085 * 0.0864 * ((rs * lec + top) / (rs + ra) - lec), 6) AS erate FROM x""")
+def ground_evaporation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("d")
+    e = hydro.ground_evaporation(150 + 10 * d, 20 + d, 0.1 + d / 20, 10 + d, 30 + d, 200 + 10 * d, F.lit(0.12), d / 5)
+    return _hydro(spark, sf_dir).select("id", F.round(e, 6).alias("erate"))
+
+
+@query(f"""WITH x AS (SELECT *, 1 + d / 4 AS h, 3 + 2 * d / 10 AS ua, 0.1 * (1 + d / 4) AS z0, 0.6 * (1 + d / 4) AS disp FROM {_T}), y AS (SELECT *, 0.4 * ua / ln((20 - disp) / z0) AS us FROM x), z AS (SELECT *, 0.4 * us * (h - disp) AS kh, us / 0.4 * ln((h - disp) / z0) AS uh FROM y)
+SELECT id, round(ln((20 - disp) / (h - disp)) / (0.4 * us) + h / (2.5 * kh) * (exp(2.5 * (h - 0.6 * h - 0.1 * h) / h) - 1), 6) AS raa,
+  round(250 * sqrt(0.05 / uh) / (1 - exp(-1.25)) / (2 * (d + 0.5) + 3.1416 * 0.3), 6) AS rac, round(greatest(1, h * exp(2.5) / (2.5 * kh) * (exp(-2.5 * 0.02 / h) - exp(-2.5 * 0.7 * h / h))), 6) AS ras FROM z""")
+def aerodynamic_resistances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("d")
+    h = 1 + d / 4
+    r = hydro.aerodynamics(3 + 2 * d / 10, F.lit(20.0), h, 0.1 * h, 0.6 * h, 0.1 * h, 0.6 * h, F.lit(0.02), F.lit(0.05), d + 0.5, F.lit(0.3))
+    return _hydro(spark, sf_dir).select("id", *[F.round(r[k], 6).alias(k) for k in ("raa", "rac", "ras")])
+
+
+@query(f"""SELECT id, round(0.3 * 0.0864 / 2.824 * 1240 / 0.067 * (CASE WHEN -d > -0.1 THEN 0.61 ELSE 0.61078 * exp(21.87456 * least(t, -d) / (least(t, -d) + 265.5)) END - 0.4) / (30 + d), 6) AS psnvp FROM {_T}""")
+def snow_evaporation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("d")
+    return _hydro(spark, sf_dir).select("id", F.round(hydro.snow_evaporation(-d, F.col("t"), F.lit(0.4), 10 + d, F.lit(20.0), F.lit(0.3)), 6).alias("psnvp"))
+
+
+@query(f"""SELECT id, round(0.9 * 0.2 * d, 6)::DOUBLE AS flow, round(0.1 * 0.2 * d, 6)::DOUBLE AS seep, round(0.75 * d / 3, 6) AS through, round(0.25 * d / 3, 6) AS past FROM {_T}""")
+def ground_water(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("d")
+    flow, seep = hydro.ground_water(d, 0.2, 0.1, F.lit(0.0))
+    through, past = hydro.ground_water(d, 0.0, 0.25, d / 3)
+    return _hydro(spark, sf_dir).select("id", *[F.round(c, 6).alias(n) for c, n in ((flow, "flow"), (seep, "seep"), (through, "through"), (past, "past"))])
+
+
+@query(f"""WITH x AS (SELECT id, 0.15 * d / 2 + 0.15 * 0.5 AS cap, (0.06 * d / 2 + 0.06 * 0.5) * 20 AS most, 1.0 + t / 50 AS pot, 0.05 AS store FROM {_T})
+SELECT id, round(CASE WHEN store + most - pot <= 0 THEN most WHEN store + most - pot > cap THEN pot + cap - store ELSE most END, 6) AS caught, round(CASE WHEN store + most - pot > 0 THEN pot ELSE store + most END, 6) AS evaporated FROM x""")
+def canopy_interception(spark: SparkSession, sf_dir: str) -> DataFrame:
+    caught, evaporated = hydro.interception(F.lit(20.0), 1 + F.col("t") / 50, F.lit(0.05), F.col("d") / 2, F.lit(0.5), 0.06, 0.06, 0.15, 0.15, F.lit(1.0))
+    return _hydro(spark, sf_dir).select("id", F.round(caught, 6).alias("caught"), F.round(evaporated, 6).alias("evaporated"))
+
+
+@query(f"""WITH s AS (SELECT id, d / 12 AS w, -8.5 AS f, 5.0 AS b, 0.92 AS wi, 0.7 AS wf FROM {_T}), p AS (SELECT *, f * pow(wi / wf, -b) AS pi FROM s),
+c AS (SELECT *, -pi / pow(1 - wi, 2) + b * pi / (wi * (1 - wi)) AS m, 2 * wi - 1 + pi * b / ((-pi / pow(1 - wi, 2) + b * pi / (wi * (1 - wi))) * wi) AS n FROM p)
+SELECT id, CASE WHEN w <= 0 THEN -1e10 WHEN w < wi THEN round(f / pow(w / wf, b), 6) WHEN w < 1 THEN round(m * (w - n) * (w - 1), 6) ELSE 0 END::DOUBLE AS psi,
+  CASE WHEN w <= 0 THEN 0 WHEN w < wi THEN round(-b * f / w / pow(w / wf, b), 6) WHEN w < 1 THEN round(m * (2 * w - n - 1), 6) ELSE 0 END::DOUBLE AS slope FROM c""")
+def matric_potential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, f, b, wi, wf = F.col("d") / 12, F.lit(-8.5), F.lit(5.0), F.lit(0.92), F.lit(0.7)
+    c = hydro.soil_constants(f, F.lit(0.35), F.lit(0.5), b, wi, F.lit(6.0))
+    psi, slope = (g(w, f, b, wi, wf, c["chm"], c["chn"]) for g in (hydro.matric_potential, hydro.potential_slope))
+    return _hydro(spark, sf_dir).select("id", F.round(psi, 6).alias("psi"), F.when(w <= 0, 0.0).otherwise(F.round(slope, 6)).alias("slope"))
+
+
+@query(f"""SELECT id, CASE WHEN abs(-d + 0.5 * t) < 0.01 THEN 0 ELSE round((-d + 0.5 * t) / 80 * least(sqrt((2 + d) * 3), 6, 5) / 0.00981 * 0.85, 6) END::DOUBLE AS vertical,
+  round(greatest(0, (2 + d) * 100 * 0.9 * (0.00981 * sin(0.2) + 2 * (-d) / 50000 * cos(0.2)) / (0.00981 * 50000 * cos(0.2))), 9)::DOUBLE AS along FROM {_T}""")
+def soil_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, one = F.col("d"), F.lit
+    down = hydro.vertical_flow(2 + d, one(3.0), one(6.0), one(5.0), one(100.0), one(80.0), -d, -0.5 * F.col("t"), one(0.1), one(0.2))
+    along = hydro.downslope_flow(2 + d, 0.2, 50_000.0, one(100.0), one(0.1), -d)
+    return _hydro(spark, sf_dir).select("id", F.round(down, 6).alias("vertical"), F.round(along, 9).alias("along"))
