@@ -103,17 +103,26 @@ def slope_factor(lat: Column, doy: Column, slope: Column, aspect: Column) -> Col
 
     A steep slope's day, shifted in time, can meet the horizontal day twice: both parts count.
     """
-    scd = SOLAR / F.pow(1 - 0.0167 * F.cos(0.0172 * (doy - 3)), 2)
-    dec = declination(doy)
-    _, i0h = flat_sun(lat, doy)
-    half = half_day(lat, dec)
+    dec, (_, i0h) = declination(doy), flat_sun(lat, doy)
     l1, l2 = equivalent_slope(lat, slope, aspect)
-    own = half_day(l1, dec)
-    i0s = F.lit(0.0)
-    for turn in (-2 * PI, 0.0, 2 * PI):
-        t3, t2 = F.least(half, own - l2 + turn), F.greatest(-half, -own - l2 + turn)
-        i0s = i0s + F.when(t3 > t2, WTOMJ * scd * daily_sine(dec, l2, l1, t3, t2) / F.cos(slope)).otherwise(0.0)
-    return F.when(i0h <= 0, 0.0).otherwise(F.try_divide(i0s, i0h))
+    # the angles of a row are worked out once and bound as one value, which keeps the generated code small
+    angles = F.struct(dec.alias("dec"), l1.alias("l1"), l2.alias("l2"), half_day(lat, dec).alias("half"), i0h.alias("i0h"))
+
+    def own_day(x: Column) -> Column:
+        return x.withField("own", half_day(x["l1"], x["dec"]))
+
+    def insolation(x: Column) -> Column:
+        scd = SOLAR / F.pow(1 - 0.0167 * F.cos(0.0172 * (doy - 3)), 2)
+
+        def part(turn: Column) -> Column:
+            t3, t2 = F.least(x["half"], x["own"] - x["l2"] + turn), F.greatest(-x["half"], -x["own"] - x["l2"] + turn)
+            return F.when(t3 > t2, daily_sine(x["dec"], x["l2"], x["l1"], t3, t2)).otherwise(0.0)
+
+        turns = F.transform(F.array(F.lit(-2 * PI), F.lit(0.0), F.lit(2 * PI)), part)
+        total = WTOMJ * scd * F.aggregate(turns, F.lit(0.0), lambda acc, v: acc + v) / F.cos(slope)
+        return F.when(x["i0h"] <= 0, 0.0).otherwise(F.try_divide(total, x["i0h"]))
+
+    return F.element_at(F.transform(F.transform(F.array(angles), own_day), insolation), 1)
 
 
 def day_night(solrad: Column, i0h: Column, tmax: Column, tmin: Column, ea: Column, uw: Column, daylen: Column, wndadj: Column) -> dict[str, Column]:
