@@ -48,27 +48,55 @@ def edges(data: DataFrame, id_col: str, out_col: str | None = None, in_col: str
 def reach(links: DataFrame, starts: DataFrame, mode: str = "out", order: int | None = None) -> DataFrame:
     """``start, id, hops``: everything within ``order`` hops (all, if None), the start included; cycles are fine.
 
-    Rounds extend a frontier by one hop and drop what has been seen. Each round is written to shared storage, so
-    the plan stays short and lost executors cost one round.
+    Where every vertex drains into one at most, as in a river network, rounds double the distance they cover, and a
+    river of n hops takes log n rounds. In other graphs rounds extend a frontier by one hop and drop what has been
+    seen. Each round is written to shared storage, so the plan stays short and lost executors cost one round.
     """
     spark = links.sparkSession
-    forward = links.select("src", "dst")
-    backward = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    forward = links.select("src", "dst").distinct()
+    backward = forward.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     step = {"out": forward, "in": backward, "all": forward.unionByName(backward).distinct()}[mode]
-    base, rounds = shared_path(spark, "reach"), 0
+    base = shared_path(spark, "reach")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{base}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
+
+    first = starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("hops")).distinct()
+    one_way = mode != "all" and not forward.groupBy("src").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return (_by_doubling if one_way else _by_frontier)(first, step, order, kept)
+
+
+def _by_doubling(first: DataFrame, step: DataFrame, order: int | None, kept) -> DataFrame:
+    """Round k joins what is known within 2^k - 1 hops with the pairs that are exactly 2^k hops apart."""
+    known, jump, hops = kept(first, "known0"), kept(step, "jump0"), 1
+    while order is None or hops <= order:
+        far = known.join(jump, known["id"] == jump["src"]).select("start", F.col("dst").alias("id"), (F.col("hops") + hops).alias("hops"))
+        far = far if order is None else far.where(F.col("hops") <= order)
+        # on a cycle a vertex comes again with more hops
+        new = kept(far.join(known.select("start", "id"), ["start", "id"], "left_anti").groupBy("start", "id").agg(F.min("hops").alias("hops")), f"new{hops}")
+        if not new.limit(1).count():
+            break
+        known = kept(known.unionByName(new), f"known{hops}")
+        a, b = jump.alias("a"), jump.alias("b")
+        jump = kept(a.join(b, F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst"), f"jump{hops}")
+        hops *= 2
+    return known
 
-    def kept(df: DataFrame) -> DataFrame:
-        df.write.parquet(f"{base}/{rounds}")
-        return spark.read.schema(df.schema).parquet(f"{base}/{rounds}")
 
-    frontier = seen = kept(starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("hops")).distinct())
+def _by_frontier(first: DataFrame, step: DataFrame, order: int | None, kept) -> DataFrame:
+    frontier = seen = kept(first, "0")
+    rounds = 0
     while order is None or rounds < order:
         rounds += 1
         moved = frontier.join(step, frontier["id"] == step["src"]).select("start", F.col("dst").alias("id"), F.lit(rounds).alias("hops")).distinct()
-        frontier = kept(moved.join(seen.select("start", "id"), ["start", "id"], "left_anti"))
+        frontier = kept(moved.join(seen.select("start", "id"), ["start", "id"], "left_anti"), str(rounds))
         if not frontier.limit(1).count():
             break
+        # what has been seen is read again in every round: as one table once in eight of them, so folders don't add up
         seen = seen.unionByName(frontier)
+        if rounds % 8 == 0:
+            seen = kept(seen, f"seen{rounds}")
     return seen
 
 

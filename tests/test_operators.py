@@ -447,3 +447,15 @@ def test_parts_of_steps(spark, tmp_path):
     cube.replace_steps(whole.where("t = 3600 and ix < 2").withColumn("v", F.lit(9.0)), path, str(tmp_path / "staging"))
     want = [r for r in rows if r[0] != 3600] + [(3600, 0, 0, 9.0), (3600, 1, 0, 9.0)]
     assert sorted(map(tuple, cube.read_cube(spark, path).select("t", "ix", "iy", "v").collect())) == sorted(want)
+
+
+def test_reach_by_doubling_equals_the_frontier(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, int(rng.integers(0, i))) for i in range(1, 60)] + [(100 + i, 100 + (i + 1) % 5) for i in range(5)] + [(110, 101), (200, 200)]
+    links = spark.createDataFrame(rows + rows[:3], "src long, dst long")
+    starts = spark.createDataFrame([(i,) for i in (0, 3, 59, 102, 110, 200, 999)], "id long")
+    apart = links.union(spark.createDataFrame([(500, 501), (500, 502)], "src long, dst long"))  # no longer one way
+    for mode in ("in", "out"):
+        for order in (None, 1, 2, 5):
+            got, want = (sorted(map(tuple, graph.reach(g, starts, mode, order).collect())) for g in (links, apart))
+            assert got == want and len(got) > 6
