@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from .temporal import as_of
+
 Reducer = Callable[[Column], Column]
 
 #: The statistics of an extent query. Missing cells are skipped; a step without any data sums to 0.
@@ -63,21 +65,20 @@ def outer_edges(xs: DataFrame, cell: float, axis: str = "x") -> DataFrame:
     return xs.agg((F.min(axis) - cell / 2).alias("lo"), (F.max(axis) + cell / 2).alias("hi"))
 
 
-def snap(cube: DataFrame, requests: DataFrame) -> DataFrame:
+def snap(cube: DataFrame, requests: DataFrame, slice_s: int = 86_400) -> DataFrame:
     """Steps for each request (id, t0, t1): from the last step <= t0 to the first step >= t1, the widened range.
 
     Bounds beyond the data clamp to them where the range still meets the data; a range wholly before or after is
-    empty. The steps are found once; requests are few and each looks at the distinct steps only.
+    empty. Bounds are as-of lookups, and steps meet the widened ranges on slices of time, so requests may be many.
     """
     steps = cube.select("t").distinct()
-    pairs = steps.crossJoin(F.broadcast(requests))
-    bounds = pairs.groupBy("id", "t0", "t1").agg(
-        F.coalesce(F.max(F.when(F.col("t") <= F.col("t0"), F.col("t"))), F.min("t")).alias("lo"),
-        F.coalesce(F.min(F.when(F.col("t") >= F.col("t1"), F.col("t"))), F.max("t")).alias("hi"),
-        F.min("t").alias("first"), F.max("t").alias("last"),
-    )
+    bound = lambda at, to, direction: as_of(requests.select(F.col(at).alias("t")).distinct(), steps, direction, slice_s=slice_s).select(F.col("t").alias(at), F.col("found").alias(to))
+    ends = steps.agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    bounds = requests.join(bound("t0", "lo", "leq"), "t0").join(bound("t1", "hi", "geq"), "t1").crossJoin(F.broadcast(ends))  # one row
     bounds = bounds.where((F.col("t1") >= F.col("first")) & (F.col("t0") <= F.col("last")))
-    return steps.join(F.broadcast(bounds), F.col("t").between(F.col("lo"), F.col("hi"))).select("id", "t")
+    slice_of = lambda c: F.floor(F.col(c) / slice_s)
+    spread = bounds.select("id", "lo", "hi", F.explode(F.sequence(slice_of("lo"), slice_of("hi"))).alias("_slice"))
+    return steps.withColumn("_slice", slice_of("t")).join(spread, "_slice").where(F.col("t").between(F.col("lo"), F.col("hi"))).select("id", "t")
 
 
 def timestamps(cube: DataFrame, iso: bool = False, latest: bool = False) -> DataFrame:

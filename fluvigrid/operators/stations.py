@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import great_circle
+from ..functions.scalar import EARTH_KM, great_circle
 
 TIERS_KM = (50.0, 200.0, 1000.0)
 
@@ -13,20 +15,45 @@ TIERS_KM = (50.0, 200.0, 1000.0)
 def distances(places: DataFrame, stations: DataFrame, radius_km: float, max_height: float | None = None) -> DataFrame:
     """Stations within a radius of each place (id, lon, lat[, height]), with ``dist`` in km.
 
-    Both sides meet on bands of latitude as high as the radius, each place in its own and both neighbours; a band
-    rules out what is too far north or south, so there is no product of the tables.
+    Both sides meet on cells: bands of latitude as high as the radius, cut into cells of longitude that are as wide as
+    the radius is anywhere in the band or next to it. A place looks into its own cell and those around it, across the
+    date line too, so there is no product of the tables.
     """
-    band = radius_km / 111.0
-    bands = places.withColumnsRenamed({"lon": "p_lon", "lat": "p_lat", "height": "p_height"}).withColumn(
-        "band", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("p_lat") / band) + k))
-    )
-    near = stations.withColumn("band", F.floor(F.col("lat") / band)).join(bands, "band").drop("band")
+    high, half = radius_km / 111.0, math.sin(min(radius_km / EARTH_KM, math.pi) / 2)
+
+    def ring(band: Column) -> Column:
+        """Number of cells around the earth: places within the radius are at most one cell apart."""
+        farthest = F.least(F.lit(90.0), F.greatest(F.abs(band - 1), F.abs(band + 2)) * high)
+        wide = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(half) / F.cos(F.radians(farthest))))) * 2
+        return F.floor(F.lit(360.0) / (wide * 1.000001))
+
+    def cell(lon: Column, n: Column) -> Column:
+        return F.pmod(F.floor((lon + 180) / 360 * n), n)
+
+    around = lambda c: F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: c + k))
+    asked = places.withColumnsRenamed({"lon": "p_lon", "lat": "p_lat", "height": "p_height"}).withColumn("band", around(F.floor(F.col("p_lat") / high)))
+    n = ring(F.col("band"))
+    beside = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.pmod(cell(F.col("p_lon"), n) + k, n))
+    asked = asked.withColumn("cell", F.explode(F.array_distinct(beside)))
+    placed = stations.withColumn("band", F.floor(F.col("lat") / high)).withColumn("cell", cell(F.col("lon"), n))
+    near = placed.join(asked, ["band", "cell"]).drop("band", "cell")
     near = near.withColumn("dist", great_circle(F.col("p_lon"), F.col("p_lat"), F.col("lon"), F.col("lat"))).where(F.col("dist") <= radius_km)
     if max_height is not None:
         near = near.where(F.abs(F.col("height") - F.col("p_height")) <= max_height)
     return near
 
 
+def tiered(places: DataFrame, stations: DataFrame, tiers: tuple[float, ...] = TIERS_KM, max_height: float | None = None) -> DataFrame:
+    """Stations within the first radius that has any, and its ``tier`` from 1: the larger radii are searched only for
+    the places that the smaller ones left without a station. Ids of places are keys."""
+    found, left = None, places
+    for k, km in enumerate(tiers, 1):
+        near = distances(left, stations, km, max_height).withColumn("tier", F.lit(k))
+        left = left.join(near.select("id").distinct(), "id", "left_anti")
+        found = near if found is None else found.unionByName(near)
+    return found
+
+
 def nearest(near: DataFrame, k: int, by: tuple[str, ...] = ("id",)) -> DataFrame:
     """The k nearest of each place; those as far as the k-th stay."""
     order = Window.partitionBy(*by).orderBy("dist")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,27 +41,35 @@ def missing_steps(grid: DataFrame, existing: DataFrame, now: Column | None = Non
     return out.join(existing.select("t"), "t", "left_anti")
 
 
-def as_of(probes: DataFrame, series: DataFrame, direction: str = "leq", by: tuple[str, ...] = ()) -> DataFrame:
+def as_of(probes: DataFrame, series: DataFrame, direction: str = "leq", by: tuple[str, ...] = (), slice_s: int = 86_400) -> DataFrame:
     """For each probe (by.., t) the step of the series: ``leq`` last at or before, ``geq`` first at or after, ``both`` nearest.
 
-    Both sides are merged and walked once in time order within ``by``. Outside the data, leq falls back to the
-    first step and geq to the last. For equal distances ``both`` takes the earlier. Without keys the walk is one
-    ordered pass; give keys where the series is large.
+    Both sides are merged and walked once in time order within ``by`` and slices of ``slice_s`` seconds; each slice is
+    told the last step before it and the first one after it. So a long series, with or without keys, spreads over its
+    slices, and only their edges, a row for each, are ordered as a whole. Outside the data, leq falls back to the first
+    step and geq to the last. For equal distances ``both`` takes the earlier. Null keys are a key.
     """
     keys = list(by)
+    part = [*keys, "_slice"]
     union = series.select(*keys, "t", F.lit(0).alias("probe"), F.col("t").alias("s")).unionByName(probes.select(*keys, "t", F.lit(1).alias("probe"), F.lit(None).cast("long").alias("s")))
-    ahead = Window.partitionBy(*keys).orderBy("t", "probe").rowsBetween(Window.unboundedPreceding, 0)
-    back = Window.partitionBy(*keys).orderBy(F.desc("t"), "probe").rowsBetween(Window.unboundedPreceding, 0)
+    union = union.withColumn("_slice", F.floor(F.col("t") / slice_s))
+    before_it = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    after_it = Window.partitionBy(*keys).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    walked = union.select(
-        *keys, "t", "probe", F.last("s", True).over(ahead).alias("before"), F.last("s", True).over(back).alias("after"),
-        F.min("s").over(whole).alias("first"), F.max("s").over(whole).alias("last"),
-    ).where("probe = 1")
+    edges = union.groupBy(*part).agg(F.min("s").alias("lo"), F.max("s").alias("hi")).select(
+        *[F.col(k).alias(f"_{k}") for k in part], F.max("hi").over(before_it).alias("earlier"), F.min("lo").over(after_it).alias("later"),
+        F.min("lo").over(whole).alias("first"), F.max("hi").over(whole).alias("last"),
+    )
+    ahead = Window.partitionBy(*part).orderBy("t", "probe").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*part).orderBy(F.desc("t"), "probe").rowsBetween(Window.unboundedPreceding, 0)
+    walked = union.select(*part, "t", "probe", F.last("s", True).over(ahead).alias("before"), F.last("s", True).over(back).alias("after")).where("probe = 1")
+    told = walked.join(edges, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in part]))
+    told = told.withColumn("before", F.coalesce("before", "earlier")).withColumn("after", F.coalesce("after", "later"))
     nearest = F.when(F.col("after").isNull() | (F.col("t") - F.col("before") <= F.col("after") - F.col("t")), F.col("before")).otherwise(F.col("after"))
     found = {"leq": F.coalesce("before", "first"), "geq": F.coalesce("after", "last"), "both": nearest}
     if direction not in found:
         raise ValueError("direction is leq, geq or both")
-    return walked.select(*keys, "t", found[direction].alias("found"))
+    return told.select(*keys, "t", found[direction].alias("found"))
 
 
 def ceil_hour(ts: Column) -> Column:

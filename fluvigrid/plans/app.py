@@ -30,5 +30,5 @@ def flood_features(discharge: DataFrame, rain: DataFrame, forecast: DataFrame) -
 
 def station_forcing(places: DataFrame, station_table: DataFrame, measurements: DataFrame, k: int = 10) -> DataFrame:
     """Daily forcing per place: the first radius with stations, the k nearest, inverse-distance means."""
-    near = stations.first_tier(stations.distances(places, station_table, max(stations.TIERS_KM)))
+    near = stations.tiered(places, station_table)
     return stations.inverse_distance(stations.daily(measurements), stations.nearest(near, k))

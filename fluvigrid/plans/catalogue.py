@@ -352,10 +352,13 @@ _PLACES = """places AS (SELECT n_nationkey AS id, 11.1::DOUBLE + n_nationkey * 0
 near AS (SELECT id, station, round(acos(least(1, greatest(-1, sin(radians(p_lat)) * sin(radians(lat)) + cos(radians(p_lat)) * cos(radians(lat)) * cos(radians(lon - p_lon))))) * 6371, 6) AS dist, height, p_height FROM places, stations)"""
 
 
-def _near(spark: SparkSession, sf_dir: str, radius: float, height: float | None = None) -> DataFrame:
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_nationkey")
-    places = adapters.table(spark, sf_dir, "nation").select(n.alias("id"), (11.1 + n * 0.19).alias("lon"), (50.1 + n * 7 % 25 * 0.07).alias("lat"), F.lit(300.0).alias("height"))
-    return r6(stations.distances(places, adapters.stations(spark, sf_dir), radius, height), "dist")
+    return adapters.table(spark, sf_dir, "nation").select(n.alias("id"), (11.1 + n * 0.19).alias("lon"), (50.1 + n * 7 % 25 * 0.07).alias("lat"), F.lit(300.0).alias("height"))
+
+
+def _near(spark: SparkSession, sf_dir: str, radius: float, height: float | None = None) -> DataFrame:
+    return r6(stations.distances(_places(spark, sf_dir), adapters.stations(spark, sf_dir), radius, height), "dist")
 
 
 @query(f"""WITH {STATIONS}, {_PLACES} SELECT id, station, dist, rank FROM (SELECT *, rank() OVER (PARTITION BY id ORDER BY dist)::INT AS rank FROM near WHERE dist <= 120 AND abs(height - p_height) <= 400) WHERE rank <= 5""")
@@ -366,7 +369,8 @@ def nearest_k_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {STATIONS}, {_PLACES}, tiers AS (SELECT *, CASE WHEN dist <= 10 THEN 1 WHEN dist <= 25 THEN 2 WHEN dist <= 100 THEN 3 END AS tier FROM near)
 SELECT id, station, dist, tier::INT AS tier FROM (SELECT *, min(tier) OVER (PARTITION BY id) AS least FROM tiers WHERE tier IS NOT NULL) WHERE tier = least""")
 def radius_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stations.first_tier(_near(spark, sf_dir, 100.0), (10.0, 25.0, 100.0)).select("id", "station", "dist", "tier")
+    near = stations.tiered(_places(spark, sf_dir), adapters.stations(spark, sf_dir), (10.0, 25.0, 100.0))
+    return r6(near, "dist").select("id", "station", "dist", "tier")
 
 
 @query(f"""WITH {STATIONS}, {_PLACES}, close AS (SELECT id, station, dist FROM near WHERE dist <= 60),

@@ -171,6 +171,34 @@ def test_as_of_directions(spark):
         temporal.as_of(probes, series, "next")
 
 
+@pytest.mark.parametrize("slice_s", [1, 7, 1000])
+def test_as_of_over_slices(spark, slice_s):
+    rng = np.random.default_rng(3)
+    steps = [(None if k == 2 else int(k), int(t)) for k, t in zip(rng.integers(0, 3, 60), rng.integers(-80, 80, 60))]
+    asked = [(k, t) for k in (0, 1, None, 5) for t in range(-90, 90, 3)]
+    series, probes = (spark.createDataFrame(x, "k int, t long") for x in (steps, asked))
+    got = {d: {(r.k, r.t): r.found for r in temporal.as_of(probes, series, d, ("k",), slice_s).collect()} for d in ("leq", "geq", "both")}
+    for k, t in asked:
+        own = sorted({s for j, s in steps if j == k})
+        le, ge = [s for s in own if s <= t], [s for s in own if s >= t]
+        assert got["leq"][k, t] == (le[-1] if le else own[0] if own else None)
+        assert got["geq"][k, t] == (ge[0] if ge else own[-1] if own else None)
+        assert got["both"][k, t] == (min(own, key=lambda s: (abs(s - t), s)) if own else None)
+
+
+def test_snap_over_slices(spark):
+    steps = [-9, -2, 3, 4, 11, 30]
+    data = spark.createDataFrame([(t,) for t in steps], "t long")
+    asked = [(i, a, a + w) for i, (a, w) in enumerate((a, w) for a in range(-15, 35, 4) for w in (0, 3, 20))]
+    want = []
+    for i, a, b in asked:
+        if b >= steps[0] and a <= steps[-1]:
+            lo, hi = max([t for t in steps if t <= a], default=steps[0]), min([t for t in steps if t >= b], default=steps[-1])
+            want += [(i, t) for t in steps if lo <= t <= hi]
+    assert rows(cube.snap(data, spark.createDataFrame(asked, "id int, t0 long, t1 long"), 5), "id", "t") == sorted(want)
+    assert cube.snap(data.where("false"), spark.createDataFrame(asked, "id int, t0 long, t1 long")).count() == 0
+
+
 def test_ceil_hour(spark):
     df = spark.sql("select timestamp_ntz'2024-01-01 01:00:00' a, timestamp_ntz'2024-01-01 01:00:00.000001' b")
     got = df.select(temporal.ceil_hour(F.col("a")).alias("a"), temporal.ceil_hour(F.col("b")).alias("b")).first()
@@ -219,6 +247,28 @@ def test_ties_and_tiers(spark):
     assert rows(stations.first_tier(near).where("id = 2"), "station", "tier") == [(9, 2)]
 
 
+@pytest.mark.parametrize("radius", [30.0, 900.0, 6000.0, 30000.0])
+def test_radius_search_is_whole(spark, radius):
+    rng = np.random.default_rng(5)
+    spots = [(float(a), float(b)) for a, b in zip(rng.uniform(-180, 180, 150), rng.uniform(-90, 90, 150))]
+    spots += [(179.9, 10.0), (-179.9, 10.0), (180.0, 10.1), (0.0, 90.0), (100.0, 89.9), (-60.0, 89.8), (0.0, -90.0), (170.0, -89.9), (10.0, 0.0), (10.1, 0.1)]
+    table = spark.createDataFrame([(i, *p) for i, p in enumerate(spots)], "station int, lon double, lat double")
+    got = rows(stations.distances(table.withColumnRenamed("station", "id"), table, radius), "id", "station")
+
+    def apart(p, q):
+        (a, b), (c, d) = np.radians(p), np.radians(q)
+        return float(np.arccos(np.clip(np.sin(b) * np.sin(d) + np.cos(b) * np.cos(d) * np.cos(c - a), -1, 1))) * scalar.EARTH_KM
+
+    assert got == [(i, j) for i in range(len(spots)) for j in range(len(spots)) if apart(spots[i], spots[j]) <= radius]
+
+
+def test_tiers_are_searched_one_after_another(spark):
+    places = spark.createDataFrame([(1, 10.0, 50.0), (2, 20.0, 50.0), (3, 100.0, 0.0)], "id int, lon double, lat double")
+    table = spark.createDataFrame([(1, 10.1, 50.0), (2, 10.0, 50.5), (3, 21.0, 50.0)], "station int, lon double, lat double")
+    want = stations.first_tier(stations.distances(places, table, 1000.0))
+    assert rows(stations.tiered(places, table), "id", "station", "tier") == rows(want, "id", "station", "tier") == [(1, 1, 1), (2, 3, 2)]
+
+
 def test_equal_points_are_zero_apart(spark):
     d = spark.range(1).select(scalar.great_circle(F.lit(13.37), F.lit(51.2), F.lit(13.37), F.lit(51.2)).alias("d")).first()["d"]
     assert d == pytest.approx(0, abs=1e-4)
