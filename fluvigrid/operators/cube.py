@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from .temporal import as_of
+from .temporal import brackets
 
 Reducer = Callable[[Column], Column]
 
@@ -72,10 +72,10 @@ def snap(cube: DataFrame, requests: DataFrame, slice_s: int = 86_400) -> DataFra
     empty. Bounds are as-of lookups, and steps meet the widened ranges on slices of time, so requests may be many.
     """
     steps = cube.select("t").distinct()
-    bound = lambda at, to, direction: as_of(requests.select(F.col(at).alias("t")).distinct(), steps, direction, slice_s=slice_s).select(F.col("t").alias(at), F.col("found").alias(to))
-    ends = steps.agg(F.min("t").alias("first"), F.max("t").alias("last"))
-    bounds = requests.join(bound("t0", "lo", "leq"), "t0").join(bound("t1", "hi", "geq"), "t1").crossJoin(F.broadcast(ends))  # one row
-    bounds = bounds.where((F.col("t1") >= F.col("first")) & (F.col("t0") <= F.col("last")))
+    found = brackets(requests.select(F.explode(F.array("t0", "t1")).alias("t")).distinct(), steps, slice_s=slice_s)
+    low = found.select(F.col("t").alias("t0"), F.coalesce("before", "first").alias("lo"), "first", "last")
+    high = found.select(F.col("t").alias("t1"), F.coalesce("after", "last").alias("hi"))
+    bounds = requests.join(low, "t0").join(high, "t1").where((F.col("t1") >= F.col("first")) & (F.col("t0") <= F.col("last")))
     slice_of = lambda c: F.floor(F.col(c) / slice_s)
     spread = bounds.select("id", "lo", "hi", F.explode(F.sequence(slice_of("lo"), slice_of("hi"))).alias("_slice"))
     return steps.withColumn("_slice", slice_of("t")).join(spread, "_slice").where(F.col("t").between(F.col("lo"), F.col("hi"))).select("id", "t")

@@ -41,13 +41,12 @@ def missing_steps(grid: DataFrame, existing: DataFrame, now: Column | None = Non
     return out.join(existing.select("t"), "t", "left_anti")
 
 
-def as_of(probes: DataFrame, series: DataFrame, direction: str = "leq", by: tuple[str, ...] = (), slice_s: int = 86_400) -> DataFrame:
-    """For each probe (by.., t) the step of the series: ``leq`` last at or before, ``geq`` first at or after, ``both`` nearest.
+def brackets(probes: DataFrame, series: DataFrame, by: tuple[str, ...] = (), slice_s: int = 86_400) -> DataFrame:
+    """For each probe (by.., t): the series' steps ``before`` (last at or before), ``after``, ``first`` and ``last``, or null.
 
     Both sides are merged and walked once in time order within ``by`` and slices of ``slice_s`` seconds; each slice is
     told the last step before it and the first one after it. So a long series, with or without keys, spreads over its
-    slices, and only their edges, a row for each, are ordered as a whole. Outside the data, leq falls back to the first
-    step and geq to the last. For equal distances ``both`` takes the earlier. Null keys are a key.
+    slices, and only their edges, a row for each, are ordered as a whole. Null keys are a key.
     """
     keys = list(by)
     part = [*keys, "_slice"]
@@ -64,12 +63,20 @@ def as_of(probes: DataFrame, series: DataFrame, direction: str = "leq", by: tupl
     back = Window.partitionBy(*part).orderBy(F.desc("t"), "probe").rowsBetween(Window.unboundedPreceding, 0)
     walked = union.select(*part, "t", "probe", F.last("s", True).over(ahead).alias("before"), F.last("s", True).over(back).alias("after")).where("probe = 1")
     told = walked.join(edges, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in part]))
-    told = told.withColumn("before", F.coalesce("before", "earlier")).withColumn("after", F.coalesce("after", "later"))
+    return told.select(*keys, "t", F.coalesce("before", "earlier").alias("before"), F.coalesce("after", "later").alias("after"), "first", "last")
+
+
+def as_of(probes: DataFrame, series: DataFrame, direction: str = "leq", by: tuple[str, ...] = (), slice_s: int = 86_400) -> DataFrame:
+    """For each probe (by.., t) the step of the series: ``leq`` last at or before, ``geq`` first at or after, ``both`` nearest.
+
+    Outside the data, leq falls back to the first step and geq to the last. For equal distances ``both`` takes the
+    earlier.
+    """
     nearest = F.when(F.col("after").isNull() | (F.col("t") - F.col("before") <= F.col("after") - F.col("t")), F.col("before")).otherwise(F.col("after"))
     found = {"leq": F.coalesce("before", "first"), "geq": F.coalesce("after", "last"), "both": nearest}
     if direction not in found:
         raise ValueError("direction is leq, geq or both")
-    return told.select(*keys, "t", found[direction].alias("found"))
+    return brackets(probes, series, by, slice_s).select(*by, "t", found[direction].alias("found"))
 
 
 def ceil_hour(ts: Column) -> Column:
