@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..sources.catalog import FULL_HORIZON, Product
 from .temporal import brackets
 
 Reducer = Callable[[Column], Column]
@@ -103,6 +104,23 @@ def mask_statistics(cube: DataFrame, overlap: DataFrame, by: tuple[str, ...] = (
     return out.join(area, "id").select("id", *by, "mean", "max", "min", (F.col("mean") * F.col("area")).alias("sum"))
 
 
+def request(cube: DataFrame, box: tuple[int, int, int, int] | None = None, overlap: DataFrame | None = None, t: tuple[int, int] | None = None, by: tuple[str, ...] = ("t",), stats: bool = True) -> DataFrame:
+    """One question to a cube: the whole extent, an index box or polygons (an overlap table); statistics per step, of
+    steps with data only, or the cells themselves. Of polygons the cells come with id and weights."""
+    if box is not None and overlap is not None:
+        raise ValueError("ask for a box or for polygons")
+    data = subset(cube, box, t)
+    if overlap is None:
+        return finite(statistics(data, by)) if stats else data
+    return finite(mask_statistics(data, overlap, by)) if stats else data.join(overlap.where("weight > 0"), ["ix", "iy"])
+
+
+def dropped(stats: DataFrame) -> DataFrame:
+    """``n, without_data``: the number of steps and of those that ``finite`` leaves out."""
+    kept = F.col("min").isNotNull() & (F.abs("min") != float("inf"))
+    return stats.agg(F.count(F.lit(1)).alias("n"), F.count_if(~kept).alias("without_data"))
+
+
 def transparent(cube: DataFrame) -> DataFrame:
     """Zeros become missing."""
     return cube.withColumn("v", F.nullif("v", F.lit(0.0)))
@@ -123,6 +141,25 @@ def write_cube(cube: DataFrame, path: str, partitions: int | None = None, codec:
         spark.createDataFrame([(json.dumps(dict(attributes)),)], "attributes string").coalesce(1).write.mode("overwrite").text(f"{path}.attributes")
 
 
+def create_cube(spark: SparkSession, path: str, product: Product, forecast: bool = False) -> None:
+    """A cube of a product without any step, as its schema and attributes; one that is there is an error. Forecast cubes
+    have the axes run and f (hours from 0 to the horizon) in the place of t."""
+    g = product.grid
+    facts = {"schema": f"{'run bigint, f int' if forecast else 't bigint'}, ix int, iy int, v double, year int", "t": "seconds since 1970-01-01 00:00"}
+    facts |= {"x": f"{g.xmin + g.resx / 2} {g.resx} {g.nx}", "y": f"{g.ymin + g.resy / 2} {g.resy} {g.ny}", "crs": product.crs, "phenomenon": product.phenomenon, "uom": product.uom}
+    facts |= {"f": f"hours 0 {FULL_HORIZON}"} if forecast else {}
+    spark.createDataFrame([(json.dumps(facts),)], "attributes string").coalesce(1).write.mode("error").text(f"{path}.attributes")
+
+
+def open_cube(spark: SparkSession, path: str) -> DataFrame:
+    """A cube that ``create_cube`` made; empty where no step has been written yet."""
+    schema = attribute(spark, path, "schema")
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
 def append_steps(cube: DataFrame, path: str) -> None:
     """Add the cells that the table lacks; what is there stays, so a retry adds nothing. Only touched years are read."""
     keyed = cube.withColumn("year", F.year(F.timestamp_seconds("t"))).dropDuplicates(["t", "ix", "iy"])

@@ -109,14 +109,12 @@ def inside(rings: Column, x: Column, y: Column) -> Column:
     """Ray casting over all rings: holes count as outside."""
 
     def crosses(ring: Column) -> Column:
-        ends = F.zip_with(ring, F.concat(F.slice(ring, F.lit(2), F.size(ring) - 1), F.slice(ring, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-
         def hit(s: Column) -> Column:
             a, b = s["a"], s["b"]
             at = a["x"] + (b["x"] - a["x"]) * F.try_divide(y - a["y"], b["y"] - a["y"])
             return ((a["y"] > y) != (b["y"] > y)) & (x < at)
 
-        return F.size(F.filter(ends, lambda s: F.coalesce(hit(s), F.lit(False))))
+        return F.size(F.filter(_ends(ring), lambda s: F.coalesce(hit(s), F.lit(False))))
 
     return F.aggregate(F.transform(rings, crosses), F.lit(0), lambda acc, n: acc + n) % 2 == 1
 
@@ -148,10 +146,73 @@ def dissolve(overlap: DataFrame, groups: DataFrame) -> DataFrame:
     return merged.withColumn("weight_norm", F.col("weight") / total).withColumnRenamed("group", "id")
 
 
+def _ends(ring: Column) -> Column:
+    """Edges (a, b) of a ring, the closing one included."""
+    return F.zip_with(ring, F.concat(F.slice(ring, F.lit(2), F.size(ring) - 1), F.slice(ring, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+
+def signed_area(ring: Column) -> Column:
+    """Area of a ring; negative where it runs clockwise."""
+    return F.aggregate(_ends(ring), F.lit(0.0), lambda acc, s: acc + s["a"]["x"] * s["b"]["y"] - s["b"]["x"] * s["a"]["y"]) / 2
+
+
+def ring_length(ring: Column) -> Column:
+    return F.aggregate(_ends(ring), F.lit(0.0), lambda acc, s: acc + F.hypot(s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"]))
+
+
+def _loops(edges: list[tuple]) -> list[list[tuple]]:
+    """Simple loops of directed edges (a, b), as many of which leave a point as reach it."""
+    ahead: dict = {}
+    for a, b in sorted(edges, reverse=True):
+        ahead.setdefault(a, []).append(b)
+    out = []
+    for start in sorted(ahead):
+        while ahead[start]:
+            path, place, at = [start], {start: 0}, start
+            while ahead[at]:
+                at = ahead[at].pop()
+                if at in place:
+                    out.append(path[place[at] :])
+                    for p in path[place[at] + 1 :]:
+                        del place[p]
+                    path = path[: place[at] + 1]
+                else:
+                    place[at] = len(path)
+                    path.append(at)
+    return out
+
+
+def merged_outline(polys: DataFrame, groups: DataFrame) -> DataFrame:
+    """``id, rings`` of merged polygons (id, rings; the first ring is the outline): polygons of a group (id, group) that
+    tessellate an area, as catchments do, become its outlines and holes, the largest first; outlines run anticlockwise.
+
+    Shared edges run both ways and cancel in an aggregation; a task chains what is left of one group, which is the
+    polygon it returns. Borders have to share their points. Repeated points are dropped; repeated polygons count once.
+    """
+    turned = lambda ring, hole: F.when((signed_area(ring) > 0) == hole, F.reverse(ring)).otherwise(ring)
+    ordered = F.transform("rings", lambda ring, i: turned(ring, i > 0))
+    own = polys.join(groups, "id").dropDuplicates(["group", "id"])
+    edges = own.select("group", F.explode(F.flatten(F.transform(ordered, _ends))).alias("e")).select("group", F.col("e.a").alias("a"), F.col("e.b").alias("b")).where("a <> b")
+    forth = F.col("a") < F.col("b")
+    net = edges.groupBy("group", F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")).agg(F.sum(F.when(forth, 1).otherwise(-1)).alias("n")).where("n <> 0")
+    left = net.select("group", *[F.col(f"{e}.{c}").alias(f"{e}{c}") for e in "pq" for c in "xy"], "n")
+
+    def chain(frame: pd.DataFrame) -> pd.DataFrame:
+        edges = []
+        for px, py, qx, qy, n in frame[["px", "py", "qx", "qy", "n"]].itertuples(index=False):
+            edges += [((px, py), (qx, qy)) if n > 0 else ((qx, qy), (px, py))] * abs(n)
+        loops = _loops(edges)
+        size = lambda ring: abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True)))
+        rings = [[{"x": x, "y": y} for x, y in ring] for ring in sorted(loops, key=lambda ring: (-size(ring), ring))]
+        return pd.DataFrame({"id": [frame["group"].iloc[0]], "rings": [rings]})
+
+    id_type = dict(groups.dtypes)["group"]
+    return left.groupBy("group").applyInPandas(chain, f"id {id_type}, rings {RINGS}")
+
+
 def centroid(rings: Column) -> Column:
     """Centroid (x, y) of the outline."""
-    ring = rings[0]
-    ends = F.zip_with(ring, F.concat(F.slice(ring, F.lit(2), F.size(ring) - 1), F.slice(ring, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    ends = _ends(rings[0])
     cross = lambda s: s["a"]["x"] * s["b"]["y"] - s["b"]["x"] * s["a"]["y"]
     total = lambda f: F.aggregate(F.transform(ends, f), F.lit(0.0), lambda acc, v: acc + v)
     area = total(cross) * 3

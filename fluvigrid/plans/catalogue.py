@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import crs, hydro, scalar
 from ..operators import cube, graph, raster, stations, temporal, zonal
-from ..sources import adapters, radar
+from ..sources import adapters, radar, services
 from ..streaming import ingest
-from . import brook90
+from . import app, brook90
+from ..sources.catalog import FORECAST as FORECASTS
 from ..sources.catalog import RADAR, Grid
 
 DAY = 86_400
@@ -452,12 +455,10 @@ def upstream_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 basin AS (SELECT ix, iy, least(1, sum(weight)) AS weight, 1.0::DOUBLE AS size FROM overlap JOIN up USING (id) GROUP BY ix, iy), normed AS (SELECT *, weight / sum(weight) OVER () AS weight_norm, sum(weight * size) OVER () AS area FROM basin)
 SELECT t, round(coalesce(sum(v * weight_norm), 0), 6) AS mean, max(v) AS max, min(v) AS min, round(coalesce(sum(v * weight_norm), 0) * any_value(area), 6) AS sum FROM cube JOIN normed USING (ix, iy) GROUP BY t HAVING min(v) IS NOT NULL""")
 def basin_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .app import basin_series as series
-
     boxes = adapters.boxes(spark, sf_dir)
     n = F.col("n_nationkey")
     links = adapters.table(spark, sf_dir, "nation").where(n > 0).select(n.cast("long").alias("src"), F.floor(n / 2).alias("dst"))
-    out = series(adapters.cube(spark, sf_dir), zonal.overlap_boxes(boxes), links, spark.createDataFrame([(0,)], "id bigint"))
+    out = app.basin_series(adapters.cube(spark, sf_dir), zonal.overlap_boxes(boxes), links, spark.createDataFrame([(0,)], "id bigint"))
     return r6(out.select("t", "mean", "max", "min", "sum"), "mean", "sum")
 
 
@@ -853,3 +854,74 @@ def soil_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     down = hydro.vertical_flow(2 + d, one(3.0), one(6.0), one(5.0), one(100.0), one(80.0), -d, -0.5 * F.col("t"), one(0.1), one(0.2))
     along = hydro.downslope_flow(2 + d, 0.2, 50_000.0, one(100.0), one(0.1), -d)
     return _hydro(spark, sf_dir).select("id", F.round(down, 6).alias("vertical"), F.round(along, 9).alias("along"))
+
+
+@query(f"""WITH {BOXES}, points AS (SELECT s_suppkey AS pid, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey END AS station, (s_suppkey * 37 % 160) / 10.0::DOUBLE + 0.03 AS x, (s_suppkey * 61 % 160) / 10.0::DOUBLE + 0.03 AS y FROM supplier),
+known AS (SELECT s_suppkey AS station, min(s_nationkey) AS id FROM supplier WHERE s_acctbal > 0 GROUP BY 1)
+SELECT pid, coalesce(any_value(known.id), min(CASE WHEN points.station IS NULL THEN boxes.id END))::INT AS id FROM points LEFT JOIN known ON known.station = points.station
+  LEFT JOIN boxes ON x > xmin AND x < xmax AND y > ymin AND y < ymax GROUP BY pid""")
+def catchment_of_station_or_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, s = F.col("s_suppkey"), adapters.table(spark, sf_dir, "supplier")
+    asked = s.select(k.alias("pid"), F.when(k % 3 == 0, k).alias("station"), (k * 37 % 160 / 10 + 0.03).alias("x"), (k * 61 % 160 / 10 + 0.03).alias("y"))
+    known = s.where("s_acctbal > 0").select(k.alias("station"), F.col("s_nationkey").alias("id"))
+    return app.catchment_ids(asked, zonal.box_rings(adapters.boxes(spark, sf_dir)), known, strict=False).withColumn("id", F.col("id").cast("int"))
+
+
+@query(f"""WITH {CUBE}, cells AS (SELECT DISTINCT ix, iy, (ix * ix + iy) % 3 AS id FROM cube),
+pairs AS (SELECT a.id, count(*) AS n FROM cells a JOIN cells b ON a.id = b.id AND ((b.ix = a.ix + 1 AND b.iy = a.iy) OR (b.ix = a.ix AND b.iy = a.iy + 1)) GROUP BY a.id)
+SELECT id, count(*)::DOUBLE AS area, (4 * count(*) - 2 * coalesce(any_value(n), 0))::DOUBLE AS border FROM cells LEFT JOIN pairs USING (id) GROUP BY id""")
+def merged_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = adapters.cube(spark, sf_dir).select("ix", "iy").distinct().withColumn("cell", F.col("iy") * 16 + F.col("ix"))
+    boxes = cells.select(F.col("cell").alias("id"), F.col("ix").alias("xmin"), (F.col("ix") + 1).alias("xmax"), F.col("iy").alias("ymin"), (F.col("iy") + 1).alias("ymax"))
+    boxes = boxes.select("id", *[F.col(c).cast("double") for c in boxes.columns[1:]])
+    merged = zonal.merged_outline(zonal.box_rings(boxes), cells.select(F.col("cell").alias("id"), ((F.col("ix") * F.col("ix") + F.col("iy")) % 3).alias("group")))
+    rings = merged.select("id", F.explode("rings").alias("ring"))
+    return rings.groupBy("id").agg(F.sum(zonal.signed_area(F.col("ring"))).alias("area"), F.sum(zonal.ring_length(F.col("ring"))).alias("border"))
+
+
+@query(f"""WITH {HOURLY} SELECT t, ix, iy, v FROM cube WHERE t BETWEEN {FIRST_DAY} + 3000 AND epoch(TIMESTAMP '2024-01-20 09:50:00')""")
+def radar_year_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrived, folder, now = adapters.cube(spark, sf_dir, 3600), graph.shared_path(spark, "radar"), datetime(2024, 1, 20, 10, 30)
+    for _ in range(2):
+        app.update_radar_year(folder, RADAR["RW"], arrived, now)
+    return spark.read.parquet(f"{folder}/RW").select("t", "ix", "iy", "v")
+
+
+@query(f"""WITH {FORECAST} SELECT run, h.h::INT AS f, round(v, 6) AS v FROM forecast, range(28) h(h)
+WHERE f = 1 AND (run // 86400) % 2 = 0 AND run BETWEEN epoch(TIMESTAMP '1995-01-01') AND epoch(TIMESTAMP '1995-07-01')""")
+def forecast_year_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h, folder = F.col("h"), graph.shared_path(spark, "forecasts")
+    totals = adapters.forecast(spark, sf_dir).where("f = 1").withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(27))))
+    arrived = totals.where((h < 27) | (F.floor(F.col("run") / DAY) % 2 == 0)).select("run", h.alias("f"), F.lit(0).alias("ix"), F.lit(0).alias("iy"), (F.col("v") * (h + 1)).alias("v"))
+    for _ in range(2):
+        app.update_forecast_year(folder, FORECASTS["tot_prec"], arrived, datetime(1995, 7, 1))
+    return r6(spark.read.parquet(f"{folder}/tot_prec").select("run", "f", "v"), "v")
+
+
+@query(f"""WITH {CUBE} SELECT t, round(avg(v), 6) AS mean, min(v) AS min, max(v) AS max FROM cube
+WHERE ix BETWEEN 1 AND 9 AND iy BETWEEN 4 AND 14 AND t BETWEEN epoch(TIMESTAMP '2023-12-30') AND epoch(TIMESTAMP '2024-01-12') GROUP BY t HAVING min(v) IS NOT NULL""")
+def stored_radar_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = graph.shared_path(spark, "cube")
+    cube.write_cube(adapters.cube(spark, sf_dir), path)
+    return r6(app.radar_series(spark, path, datetime(2023, 12, 30), datetime(2024, 1, 12), box=(1, 9, 4, 14)), "mean").select("t", "mean", "min", "max")
+
+
+@query("""SELECT s_nationkey AS reply_of, s_suppkey::VARCHAR AS id, CASE WHEN s_acctbal > 0 THEN 'A & ' || s_name END AS name, 3 AS points, s_suppkey + 0.5::DOUBLE AS y FROM supplier""")
+def wfs_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey").cast("string")
+    name = F.when(F.col("s_acctbal") > 0, F.concat(F.lit("<app:name>A &amp; "), "s_name", F.lit("</app:name>"))).otherwise("")
+    ring = F.concat(F.lit("<app:shape><gml:Polygon><gml:exterior><gml:LinearRing><gml:posList srsDimension='2'>0 0 "), k, F.lit(" "), k, F.lit(".5\n1 1</gml:posList></gml:LinearRing></gml:exterior></gml:Polygon></app:shape>"))
+    member = F.concat(F.lit("<gml:featureMember><app:basin gml:id='b'><app:id>"), k, F.lit("</app:id>"), name, ring, F.lit("</app:basin></gml:featureMember>"))
+    each = adapters.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("reply_of"), member.alias("m"))
+    replies = each.groupBy("reply_of").agg(F.concat(F.lit("<wfs:FeatureCollection>"), F.array_join(F.collect_list("m"), "\n"), F.lit("</wfs:FeatureCollection>")).alias("reply"))
+    found = services.parse_features(replies, "app:basin", ["id", "name"])
+    return found.select("reply_of", "id", "name", F.size(F.col("rings")[0]).alias("points"), F.col("rings")[0][1]["y"].alias("y"))
+
+
+@query(f"""WITH {BOXES} SELECT id, k::INT AS part, xmin + 20 * k AS xmin, xmax + 20 * k AS xmax, ymin, ymax FROM boxes, range(2) r(k) WHERE k = 0 OR id % 2 = 1""")
+def geojson_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = lambda k: F.format_string("[[[%s,%s],[%s,%s],[%s,%s],[%s,%s]]]", *[F.col(c) + (20 * k if c[0] == "x" else 0) for x, y in (("xmin", "ymin"), ("xmax", "ymin"), ("xmax", "ymax"), ("xmin", "ymax")) for c in (x, y)])
+    shape = lambda kind, coordinates: F.concat(F.lit(f'{{"type":"Feature","properties":{{}},"geometry":{{"type":"{kind}","coordinates":'), coordinates, F.lit("}}"))
+    text = F.when(F.col("id") % 2 == 1, shape("MultiPolygon", F.concat(F.lit("["), box(0), F.lit(","), box(1), F.lit("]")))).otherwise(shape("Polygon", box(0)))
+    parts = adapters.boxes(spark, sf_dir).select("id", F.posexplode(services.parse_parts(text)).alias("part", "rings"))
+    return parts.select("id", "part", *zonal.bounding_box(F.col("rings")))

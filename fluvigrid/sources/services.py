@@ -105,14 +105,51 @@ def feature_request(typename: str, filters: dict[str, str], version: str = "1.1.
     return f'<wfs:GetFeature service="WFS" version="{version}" xmlns:wfs="http://www.opengis.net/wfs" xmlns:ogc="http://www.opengis.net/ogc"><wfs:Query typeName="{escape(typename)}">{where}</wfs:Query></wfs:GetFeature>'
 
 
-_GEOMETRY = "struct<type:string,coordinates:array<array<array<double>>>>"
+def parse_features(replies: DataFrame, typename: str, properties: list[str], column: str = "reply") -> DataFrame:
+    """Features of WFS replies, a row for each: the wanted properties as text (null where absent) and ``rings``.
+
+    The columns besides ``reply`` stay. Rings come from position lists, x before y; a feature without one has none. A
+    reply without features, an exception report too, gives no row.
+    """
+    tag = typename.rsplit(":", 1)[-1]
+    plain = F.regexp_replace(column, r"<(/?)\w+:", "<$1")
+    each = replies.withColumn("_f", F.explode(F.regexp_extract_all(plain, F.lit(rf"(?s)<{tag}[\s>].*?</{tag}>"), F.lit(0))))
+    numbers = lambda text: F.transform(F.split(F.trim(text), r"\s+"), lambda v: v.cast("double"))
+    pairs = lambda v: F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / 2).cast("int") - 1), lambda i: F.struct(v[i * 2].alias("x"), v[i * 2 + 1].alias("y")))
+    rings = F.transform(F.regexp_extract_all("_f", F.lit(r"(?s)<posList[^>]*>\s*([^<]*?\S)\s*</posList>"), F.lit(1)), lambda text: pairs(numbers(text)))
+    values = [F.get(F.xpath("_f", F.lit(f"//{name}/text()")), F.lit(0)).alias(name) for name in properties]
+    return each.select(*[c for c in replies.columns if c != column], *values, rings.alias("rings"))
+
+
+def _geometry(text: Column) -> tuple[Column, Column]:
+    """Kind and coordinates, as JSON, of a GeoJSON feature or geometry."""
+    feature = F.from_json(text, "type string, geometry struct<type:string,coordinates:string>, coordinates string")
+    return F.coalesce(feature["geometry"]["type"], feature["type"]), F.coalesce(feature["geometry"]["coordinates"], feature["coordinates"])
+
+
+def parse_parts(text: Column) -> Column:
+    """Polygons (arrays of rings of x, y) of a GeoJSON polygon or multipolygon, feature or geometry; null for others."""
+    kind, coordinates = _geometry(text)
+    single = F.array(F.from_json(coordinates, "array<array<array<double>>>"))
+    parts = F.when(kind == "MultiPolygon", F.from_json(coordinates, "array<array<array<array<double>>>>")).when(kind == "Polygon", single)
+    return F.transform(parts, lambda rings: F.transform(rings, lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))))
 
 
 def parse_geojson(text: Column) -> Column:
-    """Rings (array of arrays of x, y) of a GeoJSON polygon, feature or geometry."""
-    feature = F.from_json(text, f"type string, geometry {_GEOMETRY}, coordinates array<array<array<double>>>")
-    rings = F.coalesce(feature["geometry"]["coordinates"], feature["coordinates"])
-    return F.transform(rings, lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
+    """All rings (array of arrays of x, y) of a GeoJSON polygon or multipolygon, feature or geometry."""
+    return F.flatten(parse_parts(text))
+
+
+def read_geojson(spark: SparkSession, path: str, properties: list[str]) -> DataFrame:
+    """Features of GeoJSON collections, one file or a folder of them: properties as text, ``part`` and ``rings``.
+
+    A multipolygon has a row for each part. A file is parsed in one task: meant for collections of catchments or
+    regions; larger tables belong into Parquet.
+    """
+    features = F.from_json("value", "features array<string>")["features"]
+    each = spark.read.text(path, wholetext=True).select(F.explode(features).alias("f"))
+    own = F.from_json("f", "properties map<string,string>")["properties"]
+    return each.select(*[own[name].alias(name) for name in properties], F.posexplode(parse_parts(F.col("f"))).alias("part", "rings"))
 
 
 def to_geojson(rings: Column, properties: Column) -> Column:

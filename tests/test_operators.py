@@ -509,3 +509,111 @@ def test_reach_by_doubling_equals_the_frontier(spark):
         for order in (None, 1, 2, 5):
             got, want = (sorted(map(tuple, graph.reach(g, starts, mode, order).collect())) for g in (links, apart))
             assert got == want and len(got) > 6
+
+
+# application layer
+
+
+def square(x, y, side=1.0):
+    return [[Row(x=x, y=y), Row(x=x + side, y=y), Row(x=x + side, y=y + side), Row(x=x, y=y + side)]]
+
+
+def test_merged_outline_has_holes_and_parts(spark):
+    ring = [(x, y) for x in range(3) for y in range(3) if (x, y) != (1, 1)]  # a square around a hole, and one apart
+    cells = [(i, square(float(x), float(y))) for i, (x, y) in enumerate([*ring, (7, 7)])]
+    cells[2] = (2, [list(reversed(cells[2][1][0]))])  # a clockwise one
+    polys = spark.createDataFrame([*cells, cells[0], (99, square(50.0, 50.0))], f"id int, rings {zonal.RINGS}")
+    groups = spark.createDataFrame([(i, 5) for i in range(len(cells))], "id int, group int")
+    merged = zonal.merged_outline(polys, groups)
+    got = merged.select("id", F.transform("rings", zonal.signed_area).alias("areas")).collect()
+    assert [(r.id, r.areas) for r in got] == [(5, [9.0, 1.0, -1.0])] or [(r.id, r.areas) for r in got] == [(5, [9.0, -1.0, 1.0])]
+    assert merged.select(zonal.inside(F.col("rings"), F.lit(1.5), F.lit(1.5)).alias("i")).first()["i"] is False
+    assert zonal.merged_outline(polys.where("false"), groups).count() == 0
+
+
+def test_merged_outline_of_corners(spark):
+    polys = spark.createDataFrame([(1, square(0.0, 0.0)), (2, square(1.0, 1.0))], f"id int, rings {zonal.RINGS}")  # they touch in a point
+    merged = zonal.merged_outline(polys, spark.createDataFrame([(1, 0), (2, 0)], "id int, group int")).first()
+    assert sorted(len(r) for r in merged.rings) == [4, 4]
+
+
+def test_upstream_catchments(spark):
+    shapes = [(i, float(i), square(float(i), 0.0)) for i in range(4)]
+    catchments = spark.createDataFrame(shapes, f"id int, area_sqkm double, rings {zonal.RINGS}")
+    links = spark.createDataFrame([(3, 2), (2, 1), (0, 1)], "src int, dst int")
+    starts = spark.createDataFrame([(1,), (2,)], "id int")
+    assert rows(app.catchments_upstream(catchments, links, starts), "start", "id") == [(1, 0), (1, 1), (1, 2), (1, 3), (2, 2), (2, 3)]
+    merged = app.catchments_upstream(catchments, links, starts, merge=True)
+    areas = merged.select("id", "n", "area_sqkm", zonal.signed_area(F.col("rings")[0]).alias("shape"), F.size("rings").alias("k"))
+    assert rows(areas, "id", "n", "area_sqkm", "shape", "k") == [(1, 4, 6.0, 4.0, 1), (2, 2, 5.0, 2.0, 1)]
+
+
+def test_request_without_catchment_is_an_error(spark):
+    polys = spark.createDataFrame([(7, square(0.0, 0.0))], f"id int, rings {zonal.RINGS}")
+    known = spark.createDataFrame([("s", 9), ("s", 8)], "station string, id int")
+    asked = spark.createDataFrame([(1, "s", 0.5, 0.5), (2, None, 0.5, 0.5), (3, "t", 0.5, 0.5), (4, None, 5.0, 5.0)], "pid int, station string, x double, y double")
+    found = app.catchment_ids(asked, polys, known, strict=False)
+    assert {r.pid: r.id for r in found.collect()} == {1: 8, 2: 7, 3: None, 4: None}
+    assert rows(app.catchment_ids(asked.where("pid < 3"), polys, known), "pid", "id") == [(1, 8), (2, 7)]
+    with pytest.raises(Exception, match="no catchment for request"):
+        app.catchment_ids(asked, polys, known).collect()
+
+
+def test_requests_to_cubes(spark, small, tmp_path):
+    box = cube.request(small, box=(0, 1, 0, 0), t=(1, 2))
+    assert rows(box, "t", "sum") == [(1, 4.0)]
+    assert rows(cube.request(small, t=(2, 9), stats=False), "t", "v") == sorted([(2, None), (2, None), (3, 5.0)], key=str)
+    cells = zonal.overlap_boxes(spark.createDataFrame([(1, 0.0, 2.0, 0.0, 1.0)], "id int, xmin double, xmax double, ymin double, ymax double"))
+    assert rows(cube.request(small, overlap=cells), "id", "t", "sum") == [(1, 1, 4.0)]
+    assert cube.dropped(cube.statistics(small)).first() == (3, 1)
+    with pytest.raises(ValueError):
+        cube.request(small, box=(0, 0, 0, 0), overlap=cells)
+    path = str(tmp_path / "c")
+    cube.write_cube(small.withColumn("t", F.col("t") * 30_000_000), path)
+    start, end = datetime(1970, 1, 2), datetime(1973, 1, 1)
+    assert rows(app.radar_series(spark, path, start, end), "t", "max") == [(30_000_000, 3.0), (90_000_000, 5.0)]
+    with pytest.raises(LookupError):
+        app.radar_series(spark, path, datetime(1990, 1, 1), datetime(1991, 1, 1))
+    with pytest.raises(ValueError):
+        app.radar_series(spark, path, end, start)
+
+
+def test_created_cube_is_empty_until_written(spark, tmp_path):
+    path = str(tmp_path / "tot_prec")
+    product = catalog.FORECAST["tot_prec"]
+    cube.create_cube(spark, path, product, forecast=True)
+    assert cube.open_cube(spark, path).count() == 0 and cube.attribute(spark, path, "f") == "hours 0 45"
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        cube.create_cube(spark, path, product, forecast=True)
+    run = 1_700_000_000 // 86_400 * 86_400
+    totals = spark.createDataFrame([(run, f, 0, 0, 2.0 * f) for f in range(28)] + [(run + 3600, 0, 0, 0, 1.0)], "run long, f int, ix int, iy int, v double")
+    now = datetime(2023, 12, 31)
+    app.update_forecast_year(str(tmp_path), product, totals.where("f < 20"), now)  # not complete yet
+    assert cube.open_cube(spark, path).count() == 0
+    for _ in range(2):
+        app.update_forecast_year(str(tmp_path), product, totals, now)
+    assert rows(cube.open_cube(spark, path), "run", "f", "v", "year") == [(run, f, 2.0 if f else 0.0, 2023) for f in range(28)]
+
+
+def test_replies_with_features(spark, tmp_path):
+    text = '<w:C><g:member><a:r g:id="1"><a:n>x &lt; y</a:n><a:s><g:posList>1 2 3 4 5 6</g:posList><g:posList> 7\n8 </g:posList></a:s></a:r></g:member><g:member><a:r><a:k>1</a:k></a:r></g:member></w:C>'
+    replies = spark.createDataFrame([(1, text), (2, "<ows:ExceptionReport/>"), (3, None), (4, "")], "id int, reply string")
+    got = services.parse_features(replies, "a:r", ["n", "k"]).collect()
+    assert [(r.id, r.n, r.k, [[tuple(p) for p in ring] for ring in r.rings]) for r in got] == [(1, "x < y", None, [[(1, 2), (3, 4), (5, 6)], [(7, 8)]]), (1, None, "1", [])]
+    one, two = "[[[0,0],[1,0],[1,1]]]", "[[[5,5],[6,5],[6,6]],[[5.1,5.1],[5.2,5.1],[5.2,5.2]]]"
+    shapes = [f'{{"type":"Polygon","coordinates":{one}}}', f'{{"type":"MultiPolygon","coordinates":[{one},{two}]}}', '{"type":"Point","coordinates":[1,2]}', "no json", None]
+    parts = spark.createDataFrame([(s,) for s in shapes], "s string").select(services.parse_parts(F.col("s")).alias("p"), services.parse_geojson(F.col("s")).alias("r")).collect()
+    assert [None if r.p is None else [len(p) for p in r.p] for r in parts] == [[1], [1, 2], None, None, None]
+    assert [None if r.r is None else len(r.r) for r in parts] == [1, 3, None, None, None]
+    (tmp_path / "f.json").write_text('{"type":"FeatureCollection","features":[' + ",\n".join(f'{{"type":"Feature","properties":{{"id":{i},"name":"n"}},"geometry":{s}}}' for i, s in enumerate(shapes[:2])) + "]}")
+    assert rows(services.read_geojson(spark, str(tmp_path / "f.json"), ["id", "name"]), "id", "name", "part") == [("0", "n", 0), ("1", "n", 0), ("1", "n", 1)]
+
+
+def test_discharge_asks_the_chosen_service(spark):
+    known = spark.createDataFrame([("s",)], "station string")
+    asked = {"gauge": lambda *a: a, "sensor": lambda *a: a[0]}
+    assert app.discharge(known, "s", 1, 2, asked, "gauge") == ("s", 1, 2) and app.discharge(known, "s", 1, 2, asked, "sensor") == "s"
+    with pytest.raises(LookupError):
+        app.discharge(known, "x", 1, 2, asked, "gauge")
+    with pytest.raises(ValueError):
+        app.discharge(known, "s", 1, 2, asked, "other")
