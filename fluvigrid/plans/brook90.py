@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
+from dataclasses import fields, replace
 
 import numpy as np
 import pandas as pd
@@ -13,10 +15,13 @@ from pyspark.sql import functions as F
 from ..functions.scalar import daily_energy, vapor_pressure, with_default
 from ..operators import stations, temporal
 from .model import OUTPUTS, Column, Soil, simulate
-from .parameters import flow, land_cover
+from .parameters import LandCover, flow, land_cover
 
 SOIL_FIELDS = ("thick", "stonef", "psif", "thetaf", "thsat", "bexp", "kf", "wetinf")
 WEATHER_FIELDS = ("doy", "month", "solrad", "tmax", "tmin", "ea", "uw", "prec", "mesfl")
+#: Outputs that add up over days, and those that are a state at the end of a day.
+FLOWS = ("precc", "evpp", "floww", "irvpp", "isvpp", "ptrann", "pintt", "snvpp", "slvpp", "trandd", "smltd", "slfld", "rfald", "sfald")
+STORES = ("snoww", "swatt")
 _RESULT = "catchment long, cover string, soil string, area double, date date, error string, " + ", ".join(f"{k} double" for k in OUTPUTS)
 
 
@@ -54,21 +59,26 @@ def parameters(characteristics: DataFrame, profiles: DataFrame, terrain: DataFra
     return characteristics.join(profiles, "soil").join(terrain, "catchment")
 
 
-def _column(row: dict, flow_type: str, dtimax: float) -> Column:
+def _column(row: dict, flow_type: str, dtimax: float, cover: dict[str, float]) -> Column:
     p = row["profile"]
     idepth, infexp = flow(flow_type)
     return Column(
-        land_cover(row["cover"]), Soil(**{k: np.array(p[k], float) for k in SOIL_FIELDS}), np.radians(row["latitude"]), np.radians(row["slope"]), np.radians(row.get("aspect") or 0.0), idepth, infexp, dtimax
+        replace(land_cover(row["cover"]), **cover), Soil(**{k: np.array(p[k], float) for k in SOIL_FIELDS}), np.radians(row["latitude"]), np.radians(row["slope"]), np.radians(row.get("aspect") or 0.0), idepth, infexp, dtimax
     )
 
 
-def run(runs: DataFrame, weather: DataFrame, flow_type: str = "topdown", dtimax: float = 0.5) -> DataFrame:
+def run(runs: DataFrame, weather: DataFrame, flow_type: str = "topdown", dtimax: float = 0.5, overrides: dict[str, float] | None = None) -> DataFrame:
     """Simulate every run under its catchment's weather: ``catchment, cover, soil, area, date, error`` and daily outputs.
 
     A catchment is one group: its runs are few and are simulated side by side, so a group is one catchment's days
     and parameter sets. A run that cannot be built or that fails gives one row with ``error`` and null outputs.
+    ``overrides`` sets parameters of all land covers; names that there are none of are left out with a warning.
     """
     flow(flow_type)
+    known = {f.name for f in fields(LandCover)}
+    if unknown := sorted(set(overrides or {}) - known):
+        warnings.warn(f"unknown parameters are not set: {', '.join(unknown)}", stacklevel=2)
+    cover = {k: v for k, v in (overrides or {}).items() if k in known}
     days = weather.groupBy("catchment").agg(F.sort_array(F.collect_list(F.struct("date", *WEATHER_FIELDS))).alias("days"))
     packed = runs.groupBy("catchment").agg(F.collect_list(F.struct(*[c for c in runs.columns if c != "catchment"])).alias("runs")).join(days, "catchment")
 
@@ -84,7 +94,7 @@ def run(runs: DataFrame, weather: DataFrame, flow_type: str = "topdown", dtimax:
                 for r in own:
                     r = dict(r) if isinstance(r, dict) else r.asDict(recursive=True)
                     try:
-                        built.append(_column(r, flow_type, dtimax))
+                        built.append(_column(r, flow_type, dtimax, cover))
                         good.append(r)
                     except (ValueError, KeyError, TypeError) as e:
                         yield failed(key, r, str(e))
@@ -110,6 +120,15 @@ def catchment_average(results: DataFrame, value: str = "swatt", fail: float = 0.
     return mean.join(gate.select("catchment", "status"), "catchment")
 
 
+def totals(results: DataFrame, flows: tuple[str, ...] = FLOWS, stores: tuple[str, ...] = STORES) -> DataFrame:
+    """Flows summed, and stores at their last day, over months, years and whole runs: ``catchment, cover, soil, year,
+    month, days`` and the values; year or month are null in rows that span them. Failed runs have none."""
+    good = results.where("error is null").withColumn("year", F.year("date")).withColumn("month", F.month("date"))
+    values = [F.sum(k).alias(k) for k in flows] + [F.max_by(k, "date").alias(k) for k in stores]
+    sets = [("year", "month"), ("year",), ()]
+    return good.groupingSets([["catchment", "cover", "soil", *s] for s in sets], "catchment", "cover", "soil", "year", "month").agg(F.count(F.lit(1)).alias("days"), *values)
+
+
 def wide(averages: DataFrame, catchments: list[int], name: str = "swatt_avg") -> DataFrame:
     """One column per catchment, as ``<id>_<name>``, one row per date."""
     out = averages.groupBy("date").pivot("catchment", catchments).agg(F.first("avg"))

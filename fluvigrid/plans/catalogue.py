@@ -925,3 +925,14 @@ def geojson_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(F.col("id") % 2 == 1, shape("MultiPolygon", F.concat(F.lit("["), box(0), F.lit(","), box(1), F.lit("]")))).otherwise(shape("Polygon", box(0)))
     parts = adapters.boxes(spark, sf_dir).select("id", F.posexplode(services.parse_parts(text)).alias("part", "rings"))
     return parts.select("id", "part", *zonal.bounding_box(F.col("rings")))
+
+
+@query("""WITH days AS (SELECT ts::DATE AS date, greatest(0, coalesce(avg(CASE WHEN event_type = 'signup' THEN value END) - 100, 0)) / 8 AS precip FROM events GROUP BY 1),
+runs AS (SELECT DISTINCT n_regionkey AS catchment, ['Coniferous Forest', 'Grass Land', 'Cultivated', 'Deciduous Forest'][n_nationkey % 4 + 1] AS cover, (n_nationkey % 2)::VARCHAR AS soil FROM nation)
+SELECT catchment::BIGINT AS catchment, cover, soil, year(date)::INT AS year, month(date)::INT AS month, count(*) AS days, round(sum(precip * (1 + catchment / 10)), 6) AS precc, true AS closed
+FROM runs, days GROUP BY GROUPING SETS ((catchment, cover, soil, year(date), month(date)), (catchment, cover, soil, year(date)), (catchment, cover, soil))""")
+def brook90_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precipitation is what the weather has, and what comes in stays or leaves: the largest daily residual is under 0.003 mm."""
+    daily = brook90.run(*_runs(spark, sf_dir)).withColumn("off", (F.abs("balerd") >= 0.003).cast("double"))
+    out = brook90.totals(daily, ("precc", "off"), ())
+    return r6(out.withColumn("closed", F.col("off") == 0).drop("off"), "precc")

@@ -25,7 +25,7 @@ class LandCover:
 
 
 # Land-cover classes; day-value pairs for height and leaf area, root shares of layers of 100 mm.
-_FOREST_ROOTS = (0.22, 0.17, 0.13, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02, 0.02, *(0.01,) * 8)
+_FOREST_ROOTS = (0.22, 0.17, 0.13, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02, 0.02, 0.01, 0.01, 0.01, 0.01, 0.01, 0.01, 0.01, 0.01)
 _SUMMER = (1, 0, 100, 0, 213, 1, 278, 1, 308, 0, 366, 0)
 LAND_COVER = {
     "Coniferous Forest": LandCover((1, 1, 366, 1), (1, 1, 366, 1), 0.14, 0.14, 0.3, 0.02, 25, 6, 3100, 8, 0.5, 0.53, 0.004, 0.5, _FOREST_ROOTS),

@@ -441,6 +441,25 @@ def test_failed_runs_are_reported(spark, sf):
         brook90.run(bad, weather, "sideways")
 
 
+def test_totals_and_overrides(spark, sf):
+    from fluvigrid.plans.catalogue import _runs
+
+    runs, weather = _runs(spark, sf)
+    own = runs.where("catchment = 1")
+    daily = brook90.run(own, weather).cache()
+    days = daily.toPandas()
+    got = brook90.totals(daily).toPandas()
+    one = days[(days.cover == days.cover[0]) & (days.soil == days.soil[0])].sort_values("date")
+    whole = got[got.year.isna() & (got.cover == days.cover[0]) & (got.soil == days.soil[0])]
+    assert len(whole) == 1 and whole.days.iloc[0] == len(one)
+    assert whole.evpp.iloc[0] == pytest.approx(one.evpp.sum()) and whole.swatt.iloc[0] == one.swatt.iloc[-1]
+    months = got[got.month.notna()]
+    assert months.floww.sum() == pytest.approx(days.floww.sum()) and months.days.sum() == len(days)
+    with pytest.warns(UserWarning, match="nonsense"):
+        bare = brook90.run(own, weather, overrides={"maxlai": 0.0, "nonsense": 1.0})
+    assert bare.agg(F.sum("trandd")).first()[0] < 0.1 * days.trandd.sum()
+
+
 def test_flood_features(spark):
     q = spark.createDataFrame([(1, datetime(2024, 1, 1, 0, 30), 2.0)], "station int, ts timestamp, v double")
     rain = spark.createDataFrame([(0, 1.0)], "t long, v double")
