@@ -6,7 +6,7 @@ adds column and offset indexes, so reading some documents or only the metadata t
 
 A text is encoded word by word through a memo: the tokenizer's normaliser and splitter never join across an ASCII
 blank, so the ids of a text are the ids of its words, one after another. Every word unknown to the memo goes
-through the tokenizer itself.
+through the tokenizer itself, or straight to its model where the normaliser and splitter have nothing to do.
 """
 
 from __future__ import annotations
@@ -14,8 +14,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import compress, repeat
-from operator import is_
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -90,56 +89,61 @@ class WordEncoder:
         """(ids of each text with the end id, how many; all ids one after another)."""
         words = pc.split_pattern(pa.array([folded(t) for t in texts], pa.string()), " ")
         coded = words.values.dictionary_encode()
-        known = [*self._ids(coded.dictionary.to_pylist()), np.array([end_id], "<u4").tobytes()]
-        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        start = np.cumsum(size) - size
+        known = self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        known.append(np.array([end_id], "<u4").tobytes())
         ends = words.offsets.to_numpy()[1:]
         word = np.insert(coded.indices.to_numpy(), ends, len(known) - 1)
-        n = size[word]
-        stops = np.cumsum(n)
-        at = np.repeat(start[word] - (stops - n), n)
-        at += np.arange(len(at))
-        return np.diff(stops[ends + np.arange(len(ends))], prepend=0), np.frombuffer(b"".join(known), "<u4")[at]
+        ids = pa.array(known, pa.large_binary()).take(pa.array(word))
+        _, offsets, data = ids.buffers()
+        stops = np.frombuffer(offsets, np.int64, len(ids) + 1)[ends + np.arange(1, len(ends) + 1)] // 4
+        return np.diff(stops, prepend=0), np.frombuffer(data, "<u4", stops[-1])
 
     def _ids(self, words: list[str]) -> list[bytes]:
-        """The ids of different words."""
+        """The ids of different words. A full memo starts anew with these."""
         known = list(map(self.memo.get, words))
-        new = list(compress(words, map(is_, known, repeat(None))))
-        if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo, new = {}, words
+        missing = [i for i, k in enumerate(known) if k is None]
+        new = [words[i] for i in missing]
         learned = self._learn(new)
-        if len(learned) <= MEMO_WORDS:
-            self.memo.update(learned)
-        return [learned[w] if k is None or w in learned else k for w, k in zip(words, known, strict=True)]
-
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """Encode words. One of lower-case letters of the first 256 characters passes the normaliser and the splitter
-        unchanged, so it goes to the tokenizer's model; others take the whole way, many at once."""
-        out: dict[str, bytes] = {"": b""}
+        for i, k in zip(missing, learned, strict=True):
+            known[i] = k
+        if len(self.memo) + len(new) <= MEMO_WORDS:
+            self.memo.update(zip(new, learned, strict=True))
+        elif len(words) <= MEMO_WORDS:
+            self.memo = dict(zip(words, known, strict=True))
+        return known
+
+    def _learn(self, new: list[str]) -> list[bytes]:
+        """Encode words. One of lower-case letters of the first 256 characters passes the normaliser unchanged, and the
+        splitter parts it only from the ASCII marks at its end, which stay together; so both go to the tokenizer's
+        model. Other words take the whole way, many at once."""
+        out = [b""] * len(new)
         rest, tokenize, letters = [], self.model.tokenize, self.letters
-        for word in new:
-            if word.isascii():
-                plain = word if word.isalpha() and word.islower() else None
+        for i, word in enumerate(new):
+            head = word if word.isalpha() else word.rstrip(punctuation)
+            if head.isascii():
+                plain = head if not head or head.isalpha() and head.islower() else None
             else:
-                raw = word.encode("utf-8")
-                plain = raw.decode("latin-1").translate(letters) if max(word) < "\u0100" and word.isalpha() and word == word.lower() else None
+                plain = head.encode("utf-8").decode("latin-1").translate(letters) if max(head) < "\u0100" and head.isalpha() and head == head.lower() else None
             if plain is None:
-                rest.append(word)
-            else:
-                out[word] = struct.pack(f"<{len(t := tokenize(plain))}I", *[x.id for x in t])
-        odd = [w for w in rest if SEPARATOR in w]
-        for word in odd:
-            out[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        rest = [w for w in rest if w and SEPARATOR not in w]
+                rest.append(i)
+                continue
+            ids = [x.id for x in tokenize(plain)] if plain else []
+            if len(head) < len(word):
+                ids += [x.id for x in tokenize(word[len(head) :])]
+            out[i] = struct.pack(f"<{len(ids)}I", *ids)
+        for i in rest:
+            if SEPARATOR in new[i]:
+                out[i] = np.array(self.tokenizer.encode(new[i], add_special_tokens=False).ids, "<u4").tobytes()
+        rest = [i for i in rest if SEPARATOR not in new[i]]
         joined = f" {SEPARATOR} "
         for at in range(0, len(rest), JOINED_WORDS):
             part = rest[at : at + JOINED_WORDS]
-            (got,) = self.tokenizer.encode_batch_fast([joined.join(part)], add_special_tokens=False)  # ids without offsets
+            (got,) = self.tokenizer.encode_batch_fast([joined.join(new[i] for i in part)], add_special_tokens=False)  # ids without offsets
             ids = np.array(got.ids, "<u4")
             cuts = np.flatnonzero(ids == self.separator)
             raw = ids.tobytes()
-            for word, lo, hi in zip(part, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)], strict=True):
-                out[word] = raw[lo:hi]
+            for i, lo, hi in zip(part, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)], strict=True):
+                out[i] = raw[lo:hi]
         return out
 
 

@@ -87,6 +87,32 @@ def test_word_memo_is_bounded(monkeypatch):
         assert ids[: sizes[0]].tolist() == [*enc.tokenizer.encode(t, add_special_tokens=False).ids, 1] and len(ids) == sizes.sum()
 
 
+def test_words_are_encoded_once_and_without_the_splitter(monkeypatch):
+    """A memo that starts anew keeps the words at hand; marks at a word's end don't send it the whole way."""
+    monkeypatch.setattr(token_output, "MEMO_WORDS", 100)
+    enc = token_output.WordEncoder(tokenizer_path())
+    words, learned, learn = sorted(set(prose(300).split())), [], enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda new: learned.append(len(new)) or learn(new))
+    enc.encode([" ".join(words[:80])], 1)
+    enc.encode([" ".join(words[:95])], 1)
+    enc.encode([" ".join(words[20:110])], 1)
+    enc.encode([" ".join(words[20:110])], 1)
+    assert learned == [80, 15, 15, 0]
+
+    marked = ["abc###", "déjà.***", "ñ'", "''", "so_", "'s", "it's'", "<|endoftext|>", "a<|endoftext|>!", "x.y..", "(abc)", "É!!", "2..", "日!!"]
+    real, whole = enc.tokenizer, []
+
+    class Spy:
+        def encode_batch_fast(self, texts, **options):
+            whole.extend(texts[0].split(f" {token_output.SEPARATOR} "))
+            return real.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(enc, "tokenizer", Spy())
+    got = learn(marked)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [real.encode(w, add_special_tokens=False).ids for w in marked]
+    assert whole == marked[5:]
+
+
 def test_odd_texts_encode_as_the_tokenizer_does():
     enc, rng = token_output.WordEncoder(tokenizer_path()), random.Random(3)
     odd = "abcXYZ  ..,,'’st\n\t\x01\x1c\x85\xa0éÉßµªº²¼ñÿøÇİıΑΣς\u0301\u0308日本語かفا😀<|>endoftext_-@#ſ"
