@@ -352,6 +352,23 @@ def test_secrets_of_long_texts_and_clashing_columns(spark, tmp_path):
     assert [(s["start"], s["rank"], s["end"], s["kind"]) for s in rows[1]["spans"]] == brute_secrets(text)
 
 
+def test_secrets_of_both_lots(spark, tmp_path):
+    texts = [f"é token=secret{k:06d} {'ab12' * 6}{k % 10} AKIA{'Z9' * 8}{k}" for k in range(20)] + ["no", None, ""]
+    docs = documents(spark, texts + texts).union(documents(spark, texts[:3]))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert docs.where(F.xxhash64("doc_id") < 0).count() not in (0, docs.count())
+    want = []
+    for i, t in list(enumerate(texts + texts)) + list(enumerate(texts[:3])):
+        spans = brute_secrets(t)
+        line = ",".join(f"{kind}:{start}:{end}" for start, _, end, kind in spans)
+        want.append((i, *([s[1] for s in spans].count(k) for k in range(3)), hashlib.sha256(line.encode()).hexdigest(), line))
+    got = QUERIES["op5_secret_scans"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    ledger = str(tmp_path / "ledger")
+    lots = [secret_scan.scan_versions(documents(spark, [t]), ledger) for t in ("token=abcdefg", "token=hijklmno", "token=pqrstuvwx")]
+    assert [[s["end"] for s in r["spans"]] for r in lots[0].union(lots[1]).union(lots[2]).collect()] == [[13], [14], [15]]
+
+
 # 6
 
 
